@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name, module, name of its SQL in that module (None: not expressible in SQL, tested by brute force)
 _QUERIES = [
+    ("op1_seeded_alignment", "op1_decontamination", None),
     ("op2_randomness_battery", "op2_secrets", None),
     ("op3_feistel_sharding", "op3_sharding", None),
     ("op6_best_fit_packing", "op6_packing", None),
