@@ -11,6 +11,7 @@ _QUERIES = [
     ("op3_feistel_sharding", "op3_sharding", None),
     ("op6_best_fit_packing", "op6_packing", None),
     ("op8_robust_outliers", "op8_quality", None),
+    ("op9_signature_trees", "op9_jaccard", None),
     ("op7_content_addressed_warc", "op7_warc", "OP7_SQL"),
 ]
 
