@@ -13,6 +13,7 @@ _QUERIES = [
     ("op8_robust_outliers", "op8_quality", None),
     ("op9_signature_trees", "op9_jaccard", None),
     ("op7_content_addressed_warc", "op7_warc", "OP7_SQL"),
+    ("op10_language_mixture", "op10_language", None),
 ]
 
 
