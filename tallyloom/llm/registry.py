@@ -9,6 +9,8 @@ _QUERIES = [
     ("op1_seeded_alignment", "op1_decontamination", None),
     ("op2_randomness_battery", "op2_secrets", None),
     ("op3_feistel_sharding", "op3_sharding", None),
+    ("op4_anchor_expansion", "op4_pii", None),
+    ("op5_conditional_compression", "op5_licenses", None),
     ("op6_best_fit_packing", "op6_packing", None),
     ("op8_robust_outliers", "op8_quality", None),
     ("op9_signature_trees", "op9_jaccard", None),
