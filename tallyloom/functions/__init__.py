@@ -1 +1 @@
-
+"""Column builders: sequences, count vectors, distances, scores."""

@@ -1 +1 @@
-
+"""Queries over the driver's tables: fixtures, plans and their SQL."""
