@@ -13,8 +13,9 @@ over the classes is traversed against itself, and its node pairs are pruned by t
   pruned where the sizes' ratio or that bound can't reach the threshold.
 * Pairs of sets that survive are compared token by token.
 
-A first pass compares the members of a node with its smallest class only, which ties large groups of near copies
-together with as many pairs as members. The tree below a node is traversed only where the node then still holds several
+A first pass compares each class with the smallest class it shares a node with, and then the members of a node with its
+smallest class where those are still apart, which ties large groups of near copies together with about as many pairs
+as members. The tree below a node is traversed only where the node then still holds several
 components, in blocks of bounded size, and node pairs inside one component are pruned too. Links missing from such a
 component join what is already joined, so the components are those of all links. Components come from star contraction,
 tables of edges that shrink step by step.
@@ -37,6 +38,7 @@ from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, words
 GROWTH = 1.6  # of a size range
 BLOCK = 1024  # members of a node that one task takes in on either side
 FAN_OUT = 8
+KEYS_LISTED = 64
 
 
 def size_ranges(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,8 +56,8 @@ def size_ranges(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a set's bitmap: a power of two of at least its size, from 64 to 65536."""
-    return 1 << min(16, max(6, int(n - 1).bit_length()))
+    """Bits of a set's bitmap: a power of two of at least eight times its size, from 64 to 2^19."""
+    return 1 << min(19, max(6, int(8 * n - 1).bit_length()))
 
 
 def token_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,21 +287,28 @@ def traverse(x: Tree, y: Tree, num: int, den: int) -> tuple[np.ndarray, np.ndarr
 
 
 def tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs below upper nodes; members: sig, p, q (blocks), blk, node, n_shingles, bitmap, comp."""
+    """Candidate pairs below upper nodes; members: sig, p, q (blocks), blk, node, n_shingles, bitmap, comp, sigs.
+
+    A pair that also meets below a smaller key, as far as the members' lists of keys (sigs) tell, is left to that one.
+    """
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
         width = int(np.median([len(x) for x in frame["bitmap"]]))
         width = 1 << (width.bit_length() - 1)
 
-        def of(block: int) -> tuple[Tree, np.ndarray]:
+        here = int(frame["sig"].iloc[0])
+
+        def of(block: int) -> tuple[Tree, np.ndarray, list[frozenset]]:
             part = frame[frame["blk"] == block]
-            return Tree(part["n_shingles"].to_numpy(), [np.frombuffer(x, np.uint8) for x in part["bitmap"]], part["comp"].to_numpy(), width), part["node"].to_numpy()
+            smaller = [frozenset(x[: np.searchsorted(x, here)].tolist()) for x in part["sigs"]]
+            return Tree(part["n_shingles"].to_numpy(), [np.frombuffer(x, np.uint8) for x in part["bitmap"]], part["comp"].to_numpy(), width), part["node"].to_numpy(), smaller
 
-        (x, ids), (y, others) = of(p), of(q)
+        (x, ids, s), (y, others, t) = of(p), of(q)
         i, j = traverse(x, y, num, den)
         a, b = ids[i], others[j]
-        keep = a != b
+        keep = a < b if p == q else a != b
+        keep[keep] = [s[u].isdisjoint(t[v]) for u, v in zip(i[keep].tolist(), j[keep].tolist(), strict=True)]
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
 
     return members.groupBy("sig", "p", "q").applyInPandas(pairs, "a long, b long")
@@ -334,6 +343,16 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct(), "components")
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no component holds both of."""
+    of = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of each row under "reachable by links": doc_id, n_shingles, component_id (the smallest id in it).
 
@@ -365,10 +384,14 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     sets = materialise(token_table(again, n), "tokens")  # a repeated row's set may come twice, and its pairs then do
     names = sets.select("k1", "node")
 
-    # first pass: every member against its node's smallest
-    stars = held.select("k1", "pivot").distinct()
-    stars = stars.join(names.select("k1", F.col("node").alias("a")), "k1").join(names.select(F.col("k1").alias("pivot"), F.col("node").alias("b")), "pivot").where("a <> b")
-    first = materialise(check_pairs(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den), "links")
+    # first pass: every class against the smallest class it shares a node with, then nodes' members against the node's smallest
+    stars = held.select("k1", "pivot").distinct().join(names.select("k1", F.col("node").alias("a")), "k1").join(names.select(F.col("k1").alias("pivot"), F.col("node").alias("b")), "pivot").where("a <> b")
+    stars = materialise(stars.select("a", "b", "pivot"), "stars")
+    nearest = stars.groupBy("a").agg(F.min(F.struct("pivot", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    first = materialise(check_pairs(_in_order(nearest), sets, num, den), "links")
+    comps = components(first)
+    rest = _apart(stars, comps).join(nearest, ["a", "b"], "left_anti")
+    first = materialise(first.union(check_pairs(_in_order(rest), sets, num, den)), "links")
     comps = components(first)
 
     # second pass: below nodes whose other members still are in several components
@@ -390,7 +413,8 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
         & (F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1"))
     ).select(F.col("x.sig").alias("sig"), F.col("x.blk").alias("p"), F.col("y.blk").alias("q"))
     sides = pairs.select("sig", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("blk"))
-    second = few.union(tree_pairs(sides.join(deep, ["sig", "blk"]).join(light, "node"), num, den)).distinct()
+    keys = deep.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, KEYS_LISTED).alias("sigs"))  # no more than a text has slices
+    second = few.union(tree_pairs(sides.join(deep, ["sig", "blk"]).join(light, "node").join(keys, "node"), num, den)).distinct()
     links = materialise(check_pairs(second, sets, num, den), "links")
     comps = components(first.union(links)) if links.take(1) else comps
 
