@@ -196,7 +196,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, min_coverage:
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of df that hold no benchmark item, with their columns as they are."""
     found = materialise(contaminated(df, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks")
-    return df.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")), "left_anti")
+    return df.join(found, df["doc_id"].eqNullSafe(found["_id"]) & F.xxhash64(df["text"]).eqNullSafe(found["_key"]), "left_anti")
 
 
 def op1_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

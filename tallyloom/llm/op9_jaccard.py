@@ -426,7 +426,7 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
 def keep_one_of_each(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of df that have the smallest id of their class, with their columns as they are; rows without an id stay."""
     keep = materialise(similar_groups(df, n, similarity).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return df.join(keep, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return df.join(keep, df["doc_id"] == keep["_gone"], "left_anti")
 
 
 def op9_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
