@@ -13,9 +13,14 @@ def revcomp(s: Column) -> Column:
     return F.translate(F.reverse(F.regexp_replace(s, "[^ACGT]", "N")), "ACGT", "TGCA")
 
 
+def flip(s: Column) -> Column:
+    """Reverse complement of a sequence known to hold only ACGT, such as a window."""
+    return F.translate(F.reverse(s), "ACGT", "TGCA")
+
+
 def canonical(s: Column) -> Column:
-    """The smaller of a sequence and its reverse complement; letter order is code order, since A < C < G < T."""
-    return F.least(s, revcomp(s))
+    """The smaller of a sequence over ACGT and its reverse complement; letter order is code order, since A < C < G < T."""
+    return F.least(s, flip(s))
 
 
 def oriented(s: Column, stranded: bool) -> Column:
@@ -36,11 +41,11 @@ def decode(code: Column, k: int) -> Column:
 def windows(df: DataFrame, seq: str, k: int, name: str = "kmer") -> DataFrame:
     """One row for each window of k bases of column `seq` (which is dropped), repeats kept; windows with other letters go.
 
-    A long sequence is first cut into overlapping chunks, since substring walks a string from its start.
+    The sequence is split at other letters, and long stretches are cut into overlapping chunks, since substring walks a
+    string from its start.
     """
-    n = F.length(F.col(seq))
-    starts = F.sequence(F.lit(0), F.floor((n - k) / CHUNK).cast("int"))
-    chunk = F.when(n >= k, F.transform(starts, lambda c: F.substring(F.col(seq), c * CHUNK + 1, F.lit(CHUNK + k - 1))))
-    cut = df.withColumn("_chunk", F.explode(chunk)).drop(seq)
+    cut = df.withColumn("_run", F.explode(F.filter(F.split(F.col(seq), "[^ACGT]+"), lambda s: F.length(s) >= k))).drop(seq)
+    starts = F.sequence(F.lit(0), F.floor((F.length("_run") - k) / CHUNK).cast("int"))
+    cut = cut.withColumn("_chunk", F.explode(F.transform(starts, lambda c: F.substring(F.col("_run"), c * CHUNK + 1, F.lit(CHUNK + k - 1))))).drop("_run")
     inner = F.transform(F.sequence(F.lit(1), F.length("_chunk") - (k - 1)), lambda i: F.substring(F.col("_chunk"), i, F.lit(k)))
-    return cut.withColumn(name, F.explode(inner)).drop("_chunk").where(~F.col(name).rlike("[^ACGT]"))
+    return cut.withColumn(name, F.explode(inner)).drop("_chunk")

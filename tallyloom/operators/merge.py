@@ -47,10 +47,10 @@ def joints(contigs: DataFrame, overlap: int, stranded: bool) -> DataFrame:
     )
     side = lambda end, mer, is_pre: F.struct(F.col(end).alias("end"), F.col(mer).alias("mer"), F.lit(is_pre).alias("is_pre"))
     each = ends.select("id", F.explode(F.array(side("pre", "head", True), side("suf", "rear", False))).alias("e")).select("id", "e.*")
-    rc = F.lit(False) if stranded else seq.revcomp(F.col("end")) < F.col("end")
+    rc = F.lit(False) if stranded else seq.flip(F.col("end")) < F.col("end")
     each = each.withColumn("knot", seq.oriented(F.col("end"), stranded)).withColumn("rc", rc)
     if not stranded:
-        each = each.where(F.col("end") != seq.revcomp(F.col("end")))
+        each = each.where(F.col("end") != seq.flip(F.col("end")))
     # a prefix read forward follows the knot, a suffix leads to it; read backward they change places
     pred = F.col("is_pre") == F.col("rc")
     one = lambda is_pred: F.max(F.when(pred == is_pred, F.struct("id", (~F.col("rc")).alias("fwd"), "mer")))
@@ -102,7 +102,7 @@ def contract(contigs: DataFrame, edges: DataFrame, overlap: int, stranded: bool,
     parts = ranked.join(contigs, "id")
     turned = parts.select(
         "path", F.col("rank"), "fwd", "rep", "rep_value",
-        F.when(F.col("fwd"), F.col("seq")).otherwise(seq.revcomp(F.col("seq"))).alias("seq"),
+        F.when(F.col("fwd"), F.col("seq")).otherwise(seq.flip(F.col("seq"))).alias("seq"),
         F.when(F.col("fwd"), F.col("members")).otherwise(F.reverse("members")).alias("members"),
     )
     value = REP_MODES[rep_mode](F.col("rep_value"))

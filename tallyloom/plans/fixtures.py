@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one partition, a large table needs no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def parts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities of parts by order number modulo 20."""
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity")
@@ -56,20 +62,20 @@ def dna(text: Column) -> Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_idx, seq of all documents; the source is the sample."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return docs.select(F.substring("source", 4, 9).cast("int").alias("sample_idx"), dna(F.col("text")).alias("seq"))
 
 
 def kmers_long(spark: SparkSession, sf_dir: str, k: int, stranded: bool = False, least: int = 3) -> DataFrame:
     """Cells of k-mers that occur in `least` samples or more."""
-    each = seq.windows(reads(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
+    each = seq.windows(reads(spark, sf_dir), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
     cells = each.groupBy("feature", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     return cells.join(cells.groupBy("feature").agg(F.count(F.lit(1)).alias("ns")).where(F.col("ns") >= least).select("feature"), "feature", "left_semi")
 
 
 def kmers(spark: SparkSession, sf_dir: str, k: int = 13, stranded: bool = False) -> FeatureMatrix:
     """The same cells as a matrix; one grouping gives both the recurrence and the vector."""
-    each = seq.windows(reads(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
+    each = seq.windows(reads(spark, sf_dir), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
     cells = each.groupBy("feature", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
     grouped = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "cnt"))).alias("m")).where(F.size("m") >= 3)
     dense = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
@@ -96,7 +102,7 @@ d AS (SELECT f.feature, CAST(s.i AS int) sample_idx, coalesce(g.cnt, 0.0) x FROM
 
 def sequences(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """name, seq of all texts of a table."""
-    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("name"), dna(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, name).select(key, "text")).select(F.col(key).cast("string").alias("name"), dna(F.col("text")).alias("seq"))
 
 
 def query_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

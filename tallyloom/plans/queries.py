@@ -417,8 +417,7 @@ CELLS = f"src AS (SELECT CAST(substr(source, 4) AS int) sample_idx, {fx.dna_sql(
 
 
 def _cells(spark, d, least: int) -> DataFrame:
-    reads = fx.reads(spark, d).repartition(spark.sparkContext.defaultParallelism)
-    return tools.count_kmers(reads, 13, stranded=False, least=least)
+    return tools.count_kmers(fx.reads(spark, d), 13, stranded=False, least=least)
 
 
 @register("tool_kmer_count", f"WITH {CELLS} SELECT sample_idx, feature, cnt FROM l WHERE cnt >= 2")
