@@ -142,6 +142,37 @@ def roc_auc(scores: DataFrame) -> DataFrame:
     return wins.agg((F.sum("w") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
+def pr_auc(scores: DataFrame) -> DataFrame:
+    """One row, auc: the average precision (columns label, score), rows of equal score entering together."""
+    counted = scores.groupBy((-F.col("score")).alias("down")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    sums = running_sums(counted, "down", ["pos", "n"])
+    return sums.agg((F.sum(F.col("pos") * F.col("sum_pos") / F.col("sum_n")) / F.nullif(F.sum("pos"), F.lit(0))).alias("auc"))
+
+
+def rank_correlation(scores: DataFrame, names: list[str]) -> DataFrame:
+    """left, right, correlation: Spearman's, of each two score columns over all rows; ranks are averages over ties."""
+    ranked = scores
+    for name in names:
+        counted = scores.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        rank = running_sums(counted, name, ["n"]).select(F.col(name).alias("_v"), (F.col("sum_n") - (F.col("n") - 1) / 2.0).alias(f"rank_{name}"))
+        ranked = ranked.join(rank, F.col(name) == F.col("_v")).drop("_v")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sums = ranked.agg(*(F.struct(F.covar_pop(f"rank_{a}", f"rank_{b}").alias("c"), F.var_pop(f"rank_{a}").alias("v"), F.var_pop(f"rank_{b}").alias("w")).alias(f"{a}_{b}") for a, b in pairs))
+    each = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"{a}_{b}").alias("s")) for a, b in pairs))
+    known = F.when(F.col("s.v") * F.col("s.w") > 0, F.col("s.c") / F.sqrt(F.when(F.col("s.v") * F.col("s.w") > 0, F.col("s.v") * F.col("s.w"))))
+    return sums.select(F.explode(each).alias("e")).select("e.*").select("left", "right", known.alias("correlation"))
+
+
+def top_membership(scores: DataFrame, names: list[str], top: int, key: str = "feature") -> DataFrame:
+    """members (the score columns in whose top rows a key is, comma-joined), n."""
+    tops = [scores.orderBy(F.desc(n), key).limit(top).select(key, F.lit(n).alias("which")) for n in names]
+    every = tops[0]
+    for t in tops[1:]:
+        every = every.union(t)
+    sets = every.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("which")), ",").alias("members"))
+    return sets.groupBy("members").agg(F.count(F.lit(1)).alias("n"))
+
+
 def jaccard(a: DataFrame, b: DataFrame, key: str = "kmer") -> DataFrame:
     """One row, jaccard: distinct keys in both over distinct keys in either."""
     both = a.select(key, F.lit(1).alias("x")).union(b.select(key, F.lit(2).alias("x"))).groupBy(key).agg(F.count_distinct("x").alias("n"))

@@ -504,6 +504,39 @@ def tool_roc_auc(spark, d):
     return tools.roc_auc(_labelled(spark, d)).select(r6("auc").alias("auc"))
 
 
+@register("tool_pr_auc", f"WITH l AS ({LABELLED}), c AS (SELECT score, count(*) FILTER (WHERE label = 1) p, count(*) n FROM l GROUP BY 1), w AS (SELECT p, sum(p) OVER (ORDER BY score DESC) sp, sum(n) OVER (ORDER BY score DESC) sn FROM c) SELECT round(sum(p * sp / CAST(sn AS double)) / CAST(sum(p) AS double), 6) + 0.0 AS auc FROM w")
+def tool_pr_auc(spark, d):
+    return tools.pr_auc(_labelled(spark, d)).select(r6("auc").alias("auc"))
+
+
+SCORES = f"s AS (SELECT feature, round({SD}, 6) sd, round({SINGLE['rsd1']}, 6) rsd1, round(max(x), 6) top FROM d GROUP BY 1)"
+
+
+def _scores(spark, d) -> DataFrame:
+    c = F.col("counts")
+    return fx.parts(spark, d).df.select("feature", F.round(vec.sd(c), 6).alias("sd"), F.round(score.rsd(c, vec.mean(c)), 6).alias("rsd1"), F.round(F.array_max(c), 6).alias("top"))
+
+
+def _pair_sql(a: str, b: str) -> str:
+    return f"SELECT '{a}' AS left, '{b}' AS right, round(covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})), 6) + 0.0 AS correlation FROM k"
+
+
+RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("sd", "rsd1", "top"))
+
+
+@register("tool_rank_correlation", f"WITH {P}, {SCORES}, k AS (SELECT {RANKED} FROM s) " + " UNION ALL ".join(_pair_sql(*p) for p in (("sd", "rsd1"), ("sd", "top"), ("rsd1", "top"))))
+def tool_rank_correlation(spark, d):
+    return tools.rank_correlation(_scores(spark, d), ["sd", "rsd1", "top"]).withColumn("correlation", r6("correlation"))
+
+
+TOPS_SQL = " UNION ALL ".join(f"(SELECT feature, '{c}' w FROM s ORDER BY {c} DESC, feature LIMIT 50)" for c in ("sd", "rsd1", "top"))
+
+
+@register("tool_top_membership", f"WITH {P}, {SCORES}, t AS ({TOPS_SQL}), m AS (SELECT feature, string_agg(w, ',' ORDER BY w) members FROM t GROUP BY 1) SELECT members, count(*) AS n FROM m GROUP BY 1")
+def tool_top_membership(spark, d):
+    return tools.top_membership(_scores(spark, d), ["sd", "rsd1", "top"], 50)
+
+
 @register("tool_kmer_jaccard", f"WITH {contigs_sql('a', 'benchmark', 'item_id')}, {contigs_sql('b', 'documents', 'doc_id')}, x AS (SELECT DISTINCT kmer FROM a), y AS (SELECT DISTINCT kmer FROM b) SELECT round((SELECT count(*) FROM x JOIN y USING (kmer)) / CAST((SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM y)) AS double), 6) AS jaccard")
 def tool_kmer_jaccard(spark, d):
     side = lambda name, key: seq.windows(fx.sequences(spark, d, name, key), "seq", 31).select(seq.canonical(F.col("kmer")).alias("kmer"))
