@@ -164,4 +164,5 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert ids["secret_scans"] == ids["decontamination"] == ids["packing"] and 9000 in ids["near_duplicates"] and 9000 not in ids["decontamination"]
     assert {r["text"] for r in seen["secret_scans"] if r["doc_id"] == 9001} == {more[1][1].replace("password=abcdef123456", "[SECRET]")}
     assert 5 in ids["near_duplicates"] and not {6, 7, *range(100, 120)} & ids["near_duplicates"]
-    assert sorted(map(str, pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(str(r[:5]) for r in seen["packing"]) or pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+    whole = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r[:5]) for r in whole) == sorted(str(r[:5]) for r in seen["packing"])
