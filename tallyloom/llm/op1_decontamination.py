@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, table
-from .words import U, Words, chunks, shingles, words
+from .words import U, Words, chunks, shingles, slices, words
 
 N = 4
 RARE_FACTOR = 4
@@ -46,7 +46,7 @@ def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Data
     """Distinct n-grams of the items: item_id, gram, and the item's number of words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             items, grams, sizes = [], [], []
             for at, run in chunks(_lowered(batch.column(1))):
                 w = _words(run)
@@ -85,7 +85,7 @@ def document_frequency(df: DataFrame, text_col: str, n: int, known: Broadcast) -
     """gram, n_docs for the corpus n-grams that pass the filter, summed up in each batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen = []
             for _, run in chunks(_lowered(batch.column(0))):
                 w = _words(run)
@@ -113,7 +113,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, n: int, seeds: Broadcast
     """Stretches of words around the seed hits of each text, with the hits' grams and their places in the stretch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, first_words, text, grams, places = [], [], [], [], []
             for at, run in chunks(_lowered(batch.column(2))):
                 w = _words(run)
@@ -157,7 +157,7 @@ def align(pairs: DataFrame) -> DataFrame:
     """Scores for rows of doc_id, key, item_id, item_text, passage, first_word, lo, hi, n_seeds."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             texts, items = _lowered(c["passage"]), _lowered(c["item_text"])
             lo, hi = c["lo"].to_pylist(), c["hi"].to_pylist()

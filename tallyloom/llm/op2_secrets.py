@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .op8_quality import let
+from .op8_quality import let, once
 from .shared import materialise, table
 
 PATTERNS = {
@@ -199,8 +199,8 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact_secrets(df: DataFrame, mark: str = "[SECRET]", max_false: float = MAX_FALSE) -> DataFrame:
     """df with every secret in `text` replaced by a mark and n_chars set anew where that changed the text."""
     rows = df.select(F.struct("*").alias("_row"), F.col("text").alias("_t"))
-    cuts = fit_cuts(materialise(rows.select(findings(F.col("_t")).alias("_f")).select(F.struct("_f.tokens").alias("_f")).where(F.size("_f.tokens") > 0), "tokens"), max_false)
-    spans = rows.withColumn("_f", findings(F.col("_t"))).withColumn("_s", all_spans(F.col("_f"), cuts))
+    cuts = fit_cuts(materialise(rows.select(once(findings(F.col("_t"))).alias("_f")).select(F.struct("_f.tokens").alias("_f")).where(F.size("_f.tokens") > 0), "tokens"), max_false)
+    spans = rows.withColumn("_f", once(findings(F.col("_t")))).withColumn("_s", all_spans(F.col("_f"), cuts))
     step = lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"),

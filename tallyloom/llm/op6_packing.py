@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, table, with_row_number
-from .words import ASCII_LOWER, U, chunks, encoded, words
+from .words import ASCII_LOWER, U, chunks, encoded, slices, words
 
 CACHE_WORDS = 600_000
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -98,7 +98,7 @@ def token_pieces(df: DataFrame, capacity: int, vocabulary: str, end_id: int, id_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _word_ids(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = encoded(batch.column(1))
             rows: list[tuple] = []
             for at, run in chunks(texts):

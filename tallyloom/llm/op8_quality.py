@@ -38,6 +38,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value, not to be evaluated again by filters and projections that the optimizer moves below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -179,9 +184,10 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_quality(df: DataFrame) -> DataFrame:
     """The rows of df that quality_report keeps, with their columns as they are."""
-    rows = df.select(F.struct("*").alias("_row"), F.col("lang").alias("_l"), F.col("source").alias("_s"), text_counts(F.col("text")).alias("_c"))
+    rows = df.select(F.struct("*").alias("_row"), F.col("lang").alias("_l"), F.col("source").alias("_s"), once(text_counts(F.col("text"))).alias("_c"))
     flagged = _with_point(_grouped(rows, "_l", "_s"))
-    model = fit(materialise(flagged.where(~F.col("_failed")).select("_lang", "_source", *(f"_x{k}" for k in range(len(AXES)))), "points"))
+    points = materialise(flagged.select("_lang", "_source", "_failed", *(f"_x{k}" for k in range(len(AXES)))), "points")
+    model = fit(points.where(~F.col("_failed")))
     return _judged(flagged, model).where("_kept").select("_row.*")
 
 

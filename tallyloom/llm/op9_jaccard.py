@@ -23,19 +23,22 @@ tables of edges that shrink step by step.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bits import bit_filter, passing
 from .shared import materialise, table
-from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, words
+from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, slices, words
 
-GROWTH = 1.6  # of a size range
+GROWTH = 1.3  # of a size range
 BLOCK = 1024  # members of a node that one task takes in on either side
 FAN_OUT = 8
 KEYS_LISTED = 64
@@ -49,8 +52,11 @@ def size_ranges(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     slices, spare = [], []
     for lo, hi in zip(low, [*(x - 1 for x in low[1:]), low[-1] * 2], strict=True):
         differ = (hi + hi * den // num) * (den - num) // (den + num)
-        e = 2 + -(-3 * (differ + 1) // 100) if differ else 0
-        slices.append(differ + 1 + e if differ else 0)
+        e, m = 0, differ + 1
+        for _ in range(20 if differ else 0):  # half as many again as the smallest sets of the range leave empty on average
+            e = 2 + int(1.5 * m * math.exp(-lo / m))
+            m = differ + 1 + e
+        slices.append(m if differ else 0)
         spare.append(e)
     return np.array(low), np.array(slices), np.array(spare)
 
@@ -131,7 +137,7 @@ def set_table(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     ranges = size_ranges(num, den)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_tokens, k1, k2, keys = [], [], [], []
             for _, tokens, cuts in _sets(batch, 1, n):
                 a, b = set_keys(tokens, cuts)
@@ -153,26 +159,26 @@ def set_table(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(cut, schema)
 
 
-def token_table(df: DataFrame, n: int) -> DataFrame:
-    """node, n_shingles, k1, tokens, bitmap of the rows of (doc_id, text, w1, w2) whose set is named w1, w2."""
+def token_table(df: DataFrame, n: int, id_col: str, text_col: str, wanted: Broadcast) -> DataFrame:
+    """node (the id), n_shingles, tokens, bitmap and sketch (the bitmap folded to an eighth) of the rows whose id can be a wanted one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for at, tokens, cuts in _sets(batch, 1, n):
-                a, b = set_keys(tokens, cuts)
-                bitmaps = []
+                bitmaps, sketches = [], []
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     bits = np.zeros(bitmap_bits(int(y - x)), np.uint8)
                     bits[(tokens[x:y] & U(len(bits) - 1)).astype(np.int64)] = 1
-                    bitmaps.append(np.packbits(bits, bitorder="little").tobytes())
-                part = batch.slice(at, len(cuts) - 1)
-                same = (part.column(2).to_numpy() == a) & (part.column(3).to_numpy() == b)
+                    packed = np.packbits(bits, bitorder="little")
+                    bitmaps.append(packed.tobytes())
+                    sketches.append(fold(packed, max(8, len(packed) // 8)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(a), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens.view(np.int64))), pa.array(bitmaps, pa.binary())],
-                    names=["node", "n_shingles", "k1", "tokens", "bitmap"],
-                ).filter(pa.array(same))
+                    [batch.column(0).slice(at, len(cuts) - 1), pa.array(np.diff(cuts), pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens.view(np.int64))), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.binary())],
+                    names=["node", "n_shingles", "tokens", "bitmap", "sketch"],
+                )
 
-    return df.select("doc_id", "text", "w1", "w2").mapInArrow(cut, "node long, n_shingles long, k1 long, tokens array<long>, bitmap binary")
+    rows = passing(df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), "node", wanted)
+    return rows.mapInArrow(cut, "node long, n_shingles long, tokens array<long>, bitmap binary, sketch binary")
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -225,12 +231,21 @@ def linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
 
 
+def _needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of sets that pairs (a, b) name, and few others: what the joins then shuffle follows the pairs."""
+    return passing(sets, "node", bit_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
+
+
 def check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among distinct candidate pairs (a, b): the bitmaps' bound first, then the tokens of what it leaves."""
-    side = lambda s, *cols: sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{as_}_{s}") for c, as_ in cols))
-    small = (("n_shingles", "n"), ("bitmap", "bits"))
-    left = possible(pairs.join(side("a", *small), "a").join(side("b", *small), "b"), num, den)
-    return linked(left.join(side("a", ("tokens", "tokens")), "a").join(side("b", ("tokens", "tokens")), "b"), num, den)
+    """Links among distinct candidate pairs (a, b): the bound of the sketches, then of the bitmaps, then the tokens of what is left."""
+    side = lambda df, s, **cols: df.select(F.col("node").alias(s), *(F.col(c).alias(f"{as_}_{s}") for c, as_ in cols.items()))
+    left = materialise(pairs, "pairs")
+    for bits in ("sketch", "bitmap"):
+        light = _needed(sets.select("node", "n_shingles", bits), left)
+        named = {"n_shingles": "n", bits: "bits"}
+        left = materialise(possible(left.join(side(light, "a", **named), "a").join(side(light, "b", **named), "b"), num, den).distinct(), "possible")
+    full = _needed(sets.select("node", "tokens"), left)
+    return linked(left.join(side(full, "a", tokens="tokens"), "a").join(side(full, "b", tokens="tokens"), "b"), num, den)
 
 
 class Tree:
@@ -359,7 +374,7 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     Rows link when the Jaccard similarity of their sets of n-word shingles is at least the ratio `similarity`. A-Z are
     lower-cased, words end at ASCII white space; a text of fewer than n words has its word sequence as its one
     shingle. Null, empty and wordless texts have the empty set and are a class by themselves. Rows with a null id link nothing
-    and have a null class; repeated rows fall into one class; an empty table gives an empty result; other columns
+    and have a null class; rows with one id are one document, which links as each of them does; an empty table gives an empty result; other columns
     aren't read.
     """
     num, den = similarity
@@ -379,10 +394,8 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     held = materialise(held, "nodes")
 
     # token sets and bitmaps of the classes under them; equal first halves of names only add candidates
-    wanted = classes.join(held.select("k1").distinct(), "k1").select(F.col("node").alias("doc_id"), F.col("k1").alias("w1"), F.col("k2").alias("w2"))
-    again = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
-    sets = materialise(token_table(again, n), "tokens")  # a repeated row's set may come twice, and its pairs then do
-    names = sets.select("k1", "node")
+    names = materialise(classes.join(held.select("k1").distinct(), "k1").select("k1", "node"), "names")
+    sets = materialise(token_table(df, n, id_col, text_col, bit_filter(names, "node")), "tokens")
 
     # first pass: every class against the smallest class it shares a node with, then nodes' members against the node's smallest
     stars = held.select("k1", "pivot").distinct().join(names.select("k1", F.col("node").alias("a")), "k1").join(names.select(F.col("k1").alias("pivot"), F.col("node").alias("b")), "pivot").where("a <> b")

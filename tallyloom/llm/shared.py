@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
+from ..storage import materialise, shared_root
 
+__all__ = ["materialise", "scratch_path", "shared_root", "table", "with_row_number"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one (local mode and tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="spark-tallyloom-")
-    atexit.register(shutil.rmtree, root, True)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+_ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,13 +23,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, survives lost executors, has known sizes."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_row_number(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
     """Number all rows from 0 in the given order, without one task ever holding more than a range of them.
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -108,6 +109,13 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows: bounds what a task holds as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encoded(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.to_pylist()]
