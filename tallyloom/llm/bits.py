@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U
+from .words import U, slices
 
 MAX_BITS = 27
 
@@ -33,13 +33,18 @@ def can_hold(values: np.ndarray, array: np.ndarray) -> np.ndarray:
     return ((array[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1)).astype(bool)
 
 
+def kept(batch: pa.RecordBatch, at: int, bits: Broadcast) -> pa.RecordBatch:
+    """The rows of a batch whose value in column `at` the bit array lets through; nulls go."""
+    v = batch.column(at)
+    return batch.filter(pa.array(can_hold(v.fill_null(0).to_numpy(), bits.value) & v.is_valid().to_numpy(zero_copy_only=False)))
+
+
 def passing(df: DataFrame, column: str, bits: Broadcast) -> DataFrame:
     """The rows of df whose long column the bit array lets through; nulls go."""
     at = df.columns.index(column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(at)
-            yield batch.filter(pa.array(can_hold(v.fill_null(0).to_numpy(), bits.value) & v.is_valid().to_numpy(zero_copy_only=False)))
+        for batch in slices(batches):
+            yield kept(batch, at, bits)
 
     return df.mapInArrow(cut, df.schema)

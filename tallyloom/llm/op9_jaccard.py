@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bits import bit_filter, passing
+from .bits import bit_filter, kept, passing
 from .shared import materialise, table
 from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, slices, words
 
@@ -163,7 +163,7 @@ def token_table(df: DataFrame, n: int, id_col: str, text_col: str, wanted: Broad
     """node (the id), n_shingles, tokens, bitmap and sketch (the bitmap folded to an eighth) of the rows whose id can be a wanted one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(kept(b, 0, wanted) for b in batches):
             for at, tokens, cuts in _sets(batch, 1, n):
                 bitmaps, sketches = [], []
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -177,8 +177,7 @@ def token_table(df: DataFrame, n: int, id_col: str, text_col: str, wanted: Broad
                     names=["node", "n_shingles", "tokens", "bitmap", "sketch"],
                 )
 
-    rows = passing(df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), "node", wanted)
-    return rows.mapInArrow(cut, "node long, n_shingles long, tokens array<long>, bitmap binary, sketch binary")
+    return df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).mapInArrow(cut, "node long, n_shingles long, tokens array<long>, bitmap binary, sketch binary")
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
