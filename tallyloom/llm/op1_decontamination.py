@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The benchmark's word n-grams get their document frequency in the corpus. An item's seeds are its n-grams that are not
-   much more frequent than the item's median n-gram, so stock phrases seed nothing, while an item that leaked into
-   any share of the corpus keeps its seeds.
+1. All word n-grams of the benchmark's items are seeds, however frequent they are in the corpus: an item that leaked in a
+   popular edited copy may have no others left.
 2. Corpus tasks look n-grams up in a bit array of the seeds. Its size is fixed by a parameter at most, whatever
    the benchmark, and it only pre-selects: hits are joined to the seeds by their 64-bit hashes. Around its hits each
    text gives passages, as wide to either side as the longest item.
-3. Pairs of passage and item that share a seed are aligned by words (Smith-Waterman: match 2, mismatch -1, gap -1); the
-   score over that of the whole item is the coverage, and pairs that reach the threshold are contaminated.
+3. Pairs of passage and item that share a seed are bounded by the item's words that the passage holds at all, which loses
+   none: a stock phrase alone reaches no threshold. The rest are aligned by words (Smith-Waterman: match 2, mismatch -1,
+   gap -1); the score over that of the whole item is the coverage, and pairs that reach the threshold are contaminated.
 
 Words are lower-cased runs of characters other than ASCII white space and punctuation.
 """
@@ -26,7 +26,6 @@ from .shared import materialise, table
 from .words import U, Words, chunks, shingles, slices, words
 
 N = 4
-RARE_FACTOR = 4
 MIN_COVERAGE = 0.5
 MAX_FILTER_BITS = 27
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -81,31 +80,6 @@ def _hits(grams: np.ndarray, array: np.ndarray) -> np.ndarray:
     return np.flatnonzero((array[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1))
 
 
-def document_frequency(df: DataFrame, text_col: str, n: int, known: Broadcast) -> DataFrame:
-    """gram, n_docs for the corpus n-grams that pass the filter, summed up in each batch before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            seen = []
-            for _, run in chunks(_lowered(batch.column(0))):
-                w = _words(run)
-                h, first = shingles(w, n)
-                hit = _hits(h, known.value)
-                pairs = np.unique(np.stack([h[hit], (np.searchsorted(w.first, first[hit], "right")).astype(U)]), axis=1)
-                seen.append(pairs[0])
-            g, c = np.unique(np.concatenate(seen) if seen else np.zeros(0, U), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c, pa.int64())], names=["gram", "n"])
-
-    return df.select(F.col(text_col)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
-
-
-def rare_seeds(grams: DataFrame, frequency: DataFrame, factor: int = RARE_FACTOR) -> DataFrame:
-    """The grams of each item whose document frequency is at most `factor` times that of the item's median gram (each plus one)."""
-    known = grams.join(frequency, "gram", "left").fillna(0, ["n_docs"])
-    middle = known.groupBy("item_id").agg(F.percentile_approx("n_docs", 0.5).alias("m"))
-    return known.alias("k").join(middle.alias("m"), F.col("k.item_id").eqNullSafe(F.col("m.item_id"))).where(F.col("n_docs") + 1 <= factor * (F.col("m") + 1)).select("k.item_id", "gram", "item_words")
-
-
 _PASSAGE = "doc_id long, key long, first_word long, passage string, grams array<long>, places array<int>"
 
 
@@ -153,8 +127,11 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def align(pairs: DataFrame) -> DataFrame:
-    """Scores for rows of doc_id, key, item_id, item_text, passage, first_word, lo, hi, n_seeds."""
+def align(pairs: DataFrame, min_coverage: float = 0.0) -> DataFrame:
+    """Scores for rows of doc_id, key, item_id, item_text, passage, first_word, lo, hi, n_seeds.
+
+    Pairs whose coverage must be below min_coverage, since the passage lacks too many of the item's words, get 0.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,7 +141,9 @@ def align(pairs: DataFrame) -> DataFrame:
             got, size = [], []
             for i in range(len(texts)):
                 p, t = _words([texts[i]]).hashes, _words([items[i]]).hashes
-                got.append(smith_waterman(t, p[max(0, lo[i] - len(t)) : hi[i] + len(t)]))
+                p = p[max(0, lo[i] - len(t)) : hi[i] + len(t)]
+                most = int(np.isin(t, p).sum())
+                got.append(smith_waterman(t, p) if most >= min_coverage * len(t) else 0)
                 size.append(len(t))
             got, size = np.array(got, np.int64), np.array(size, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -182,14 +161,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, min_coverage:
     n words; null ids are kept; repeated rows give one row; empty tables give none; other columns aren't read.
     """
     grams = materialise(item_grams(benchmark, n, item_col, item_text_col), "grams")
-    seeds = materialise(rare_seeds(grams, document_frequency(df, text_col, n, gram_filter(grams))), "seeds")
-    margin = seeds.agg(F.max("item_words")).first()[0]
-    found = materialise(passages(df, id_col, text_col, n, gram_filter(seeds), int(margin or 1)).withColumn("p", F.monotonically_increasing_id()), "passages")
+    margin = grams.agg(F.max("item_words")).first()[0]
+    found = materialise(passages(df, id_col, text_col, n, gram_filter(grams), int(margin or 1)).withColumn("p", F.monotonically_increasing_id()), "passages")
     hits = found.select("p", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("p", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
-    pairs = hits.join(seeds, "gram").groupBy("p", "item_id").agg(F.count_distinct("gram").alias("n_seeds"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    pairs = hits.join(grams, "gram").groupBy("p", "item_id").agg(F.count_distinct("gram").alias("n_seeds"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text"))
     full = pairs.join(found.drop("grams", "places"), "p").join(items, F.col("item_id").eqNullSafe(F.col("item")))
-    best = align(full).where(F.col("coverage") >= min_coverage).groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", "score", "n_seeds", "passage_start")).alias("b"))
+    best = align(full, min_coverage).where(F.col("coverage") >= min_coverage).groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", "score", "n_seeds", "passage_start")).alias("b"))
     return best.select("doc_id", "key", "item_id", "b.n_seeds", "b.score", "b.coverage", "b.passage_start")
 
 

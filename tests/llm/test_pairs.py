@@ -143,6 +143,17 @@ def test_leaks(spark, wide, empty):
     assert leaks.contaminated(empty, benchmark).count() == 0 and leaks.contaminated(df, benchmark.limit(0)).count() == 0
 
 
+def test_popular_edited_copy_leaks(spark):
+    """Every fifth word changed, always alike, so that most of the item's 4-grams are nowhere in the corpus."""
+    rng = random.Random(8)
+    item = prose(rng, 20)
+    copy = " ".join(f"changed{i}" if i % 5 == 4 else w for i, w in enumerate(item.split(" ")))
+    benchmark = spark.createDataFrame([(1, item), (2, prose(rng, 20))], "item_id long, text string")
+    for n in (3, 50):
+        df = spark.createDataFrame([(i, f"{prose(rng, 30)} {copy} {prose(rng, 30)}", "en", "a", 0) for i in range(n)], SCHEMA)
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.contaminated(df, benchmark).collect()} == {(i, 1) for i in range(n)}
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline as pipeline
 
