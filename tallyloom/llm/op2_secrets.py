@@ -6,15 +6,17 @@ hypothesis of uniform independent draws from that alphabet, three tests give p-v
 counts, the runs test above and below the alphabet's middle, and the lag-1 serial correlation of the letters' places.
 Fisher's method combines them.
 
-Random tokens have uniform p-values, worded ones small ones. Over all tokens of one encoding and length band, the
-share of random tokens is estimated from the p-values above one half, and the lowest cut is taken at which at most
-MAX_FALSE of the tokens above it are estimated not to be random. Short tokens, on which the tests have little power,
-so have cuts of their own. Tokens at or above their cut become spans of kind random, unless a pattern's span already
-covers part of them.
+The tests alone can't tell short random tokens from words, so a token also has a score against words: the logarithm of
+its p-value, less the log-likelihood ratio of its letter pairs under the corpus's own words and under uniform letters.
+What is tested is that a token is worded. The null distribution of the score is learnt, for each encoding and length
+band, from tokens that are put together from words of the corpus. All tokens that Benjamini-Hochberg rejects at
+MAX_FALSE within their encoding and band become spans of kind random, unless randomness itself is rejected
+(p below MIN_P), or a pattern's span already covers part of them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +47,13 @@ ENCODINGS = [
     ("base64url", UPPER + LOWER + DIGITS + "-_"),
     ("any66", UPPER + LOWER + DIGITS + "+/-_"),
 ]
-BANDS = (20, 32, 48, 64, 128)
+BANDS = (20, 24, 28, 32, 40, 48, 64, 128)
 MAX_FALSE = 0.05
-GRID = 100
+MIN_P = 0.01
+#: texts, their first characters, and stretches of words in each, that the tokens of known words are made of
+NULL_TEXTS, NULL_CHARS, NULL_STARTS, NULL_WORDS = 2000, 4000, 4, 128
+TAIL = 0.05  # the upper share of the worded scores to which an exponential tail is fitted
+STEPS, LEVELS = 4, 400  # levels of the tail probability in each power of e, and in all
 _SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -113,15 +119,29 @@ def _p_values(token: Column, alphabet: Column) -> Column:
     return let(minus_logs, lambda s: F.exp(-s) * (1.0 + s + s * s / 2.0))  # chi-squared with 6 d.f. at 2 s
 
 
-def _tokens(text: Column) -> Column:
-    """All tokens with an inferred encoding: start, end, stratum, p."""
+def _score(token: Column, p: Column, pairs: list[float]) -> Column:
+    """How little a token looks like words: ln p less the log-likelihood ratio of its pairs of letters."""
+    if not pairs:
+        return F.log(F.greatest(p, F.lit(1e-300)))
+    table = F.array(*(F.lit(float(x)) for x in pairs))
+    places = F.transform(F.split(F.lower(token), ""), lambda c: F.ascii(c) - ord("a"))
+    letter = lambda v: (v >= 0) & (v < 26)
+    ratio = let(places, lambda x: F.aggregate(F.transform(x, lambda v, i: F.when((i > 0) & letter(v) & letter(F.get(x, i - 1)), F.get(table, F.get(x, i - 1) * 26 + v)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, v: a + v))
+    return F.log(F.greatest(p, F.lit(1e-300))) - ratio
+
+
+def _tokens(text: Column, pairs: list[float]) -> Column:
+    """All tokens with an inferred encoding: start, end, stratum, p, score."""
 
     def tested(place: Column, word: Column) -> Column:
         n = F.length(word)
         which = reduce(lambda rest, k: F.when(word.rlike("^[" + ENCODINGS[k][1].replace("-", r"\-") + "]+$"), F.lit(k)).otherwise(rest), reversed(range(len(ENCODINGS))), F.lit(len(ENCODINGS) - 1))
         band = reduce(lambda rest, k: F.when(n >= BANDS[k], F.lit(k)).otherwise(rest), range(1, len(BANDS)), F.lit(0))
         alphabets = F.array(*(F.lit(a) for _, a in ENCODINGS))
-        return let(which, lambda w: F.struct(place["start"].alias("start"), place["end"].alias("end"), (w * len(BANDS) + band).alias("stratum"), _p_values(word, F.get(alphabets, w)).alias("p")))
+        def judged(w: Column) -> Column:
+            return let(_p_values(word, F.get(alphabets, w)), lambda p: F.struct(place["start"].alias("start"), place["end"].alias("end"), (w * len(BANDS) + band).alias("stratum"), p.alias("p"), _score(word, p, pairs).alias("score")))
+
+        return let(which, judged)
 
     def all_of(words: Column) -> Column:
         both = F.zip_with(_places(text, TOKEN, words), words, lambda s, w: F.struct(s.alias("s"), w.alias("w")))
@@ -129,31 +149,88 @@ def _tokens(text: Column) -> Column:
         return F.transform(opaque, lambda x: tested(x["s"], x["w"]))
 
     mixed = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20}"
-    return F.when(text.rlike(mixed), let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), all_of)).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,p:double>>"))
+    return F.when(text.rlike(mixed), let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), all_of)).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,p:double,score:double>>"))
 
 
-def findings(text: Column) -> Column:
-    """A struct of the pattern spans by kind and the tested tokens of a text (null: empty)."""
-    return let(F.coalesce(text, F.lit("")), lambda t: F.struct(*(_spans(t, k).alias(k) for k in PATTERNS), _tokens(t).alias("tokens")))
+def findings(text: Column, pairs: list[float] = ()) -> Column:
+    """A struct of the pattern spans by kind and the tested tokens of a text (null: empty); pairs: see letter_pairs."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.struct(*(_spans(t, k).alias(k) for k in PATTERNS), _tokens(t, pairs).alias("tokens")))
 
 
-def fit_cuts(found: DataFrame, max_false: float = MAX_FALSE) -> dict[int, float]:
-    """The cut of each encoding and length band, from all tokens of a column _f of findings: at most 45 strata.
+def some_words(texts: DataFrame) -> DataFrame:
+    """h, w: the words, in order, of a column _t in NULL_TEXTS distinct texts at most, those with the smallest hashes.
 
-    Strata where no cut keeps the estimate under max_false have none, and report nothing.
+    Opaque tokens give no words.
+    """
+    hashed = texts.where(F.length("_t") > 0).select(F.xxhash64("_t").alias("h"), "_t")
+    some = hashed.join(hashed.select("h").distinct().orderBy("h").limit(NULL_TEXTS), "h", "left_semi").select("h", F.substring("_t", 1, NULL_CHARS).alias("t")).dropDuplicates(["h"])
+    return materialise(some.select("h", F.regexp_extract_all(F.regexp_replace("t", TOKEN, " "), F.lit("[A-Za-z]{2,19}"), F.lit(0)).alias("w")).where(F.size("w") > 0), "words")
+
+
+def letter_pairs(words: DataFrame) -> list[float]:
+    """For each letter and the next, at 26 * first + second: the log of the pair's likelihood in words over that of uniform letters. Empty without words."""
+    x = words.select(F.explode("w").alias("x")).select(F.lower("x").alias("x"))
+    pair = x.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring(F.col("x"), i, F.lit(2)))).alias("pair"))
+    n = {r["pair"]: r["n"] for r in pair.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 26 x 26 rows
+    if not n:
+        return []
+    total = {a: sum(n.get(a + b, 0) for b in LOWER) for a in LOWER}
+    return [math.log(26.0 * (n.get(a + b, 0) + 1.0) / (total[a] + 26.0)) for a in LOWER for b in LOWER]
+
+
+def worded_tokens(words: DataFrame, pairs: list[float], strata: list[int]) -> DataFrame:
+    """stratum, score of tokens that are made of the words of some_words: of each stratum's encoding and its band's least length."""
+    start = F.explode(F.sequence(F.lit(0), F.lit(NULL_STARTS - 1)))
+    runs = words.select("h", "w", start.alias("k")).select("h", "k", F.slice("w", F.floor(F.col("k") * F.size("w") / NULL_STARTS).cast("int") + 1, F.lit(NULL_WORDS)).alias("w"))
+    kinds = []
+    for stratum in strata:
+        name, alphabet = ENCODINGS[stratum // len(BANDS)]
+        joined = F.array_join("w", {"base64": "/", "base64url": "-", "any66": "-"}.get(name, " "))
+        if name == "any66":
+            joined = F.concat(F.get("w", F.lit(0)), F.lit("/"), joined)
+        cased = F.upper(joined) if LOWER[-1] not in alphabet and name != "hex_lower" else F.initcap(joined) if name == "base62" else F.lower(joined)
+        n = BANDS[stratum % len(BANDS)]
+        # letters only, then two digits
+        body = F.substring(F.regexp_replace(cased, "[^" + alphabet.replace("-", r"\-") + "]", ""), 1, n - 2)
+        digits = F.lpad(F.pmod(F.xxhash64("h", "k"), F.lit(100)).cast("string"), 2, "0")
+        if name == "base32":
+            digits = F.translate(digits, "0189", "2345")
+        kinds.append(F.struct(F.lit(stratum).alias("stratum"), F.lit(alphabet).alias("alphabet"), F.lit(n).alias("n"), F.concat(body, digits).alias("token")))
+    made = runs.repartition("h").select(F.explode(F.array(*kinds)).alias("x")).select("x.*").where(F.length("token") == F.col("n"))
+    return made.select("stratum", let(F.col("token"), lambda t: _score(t, _p_values(t, F.col("alphabet")), pairs)).alias("score"))
+
+
+def worded_tails(words: DataFrame, pairs: list[float], strata: list[int]) -> dict[int, tuple[float, float]]:
+    """For each stratum the score that the share TAIL of worded tokens exceeds, and by how much on average."""
+    known = materialise(worded_tokens(words, pairs, strata), "worded")
+    top = known.groupBy("stratum").agg(F.percentile_approx("score", 1.0 - TAIL, 10000).alias("least"))
+    excess = known.join(top, "stratum").groupBy("stratum", "least").agg(F.avg(F.when(F.col("score") > F.col("least"), F.col("score") - F.col("least"))).alias("mean"))
+    return {r["stratum"]: (r["least"], r["mean"] or 1.0) for r in excess.collect()}  # at most one row for each stratum
+
+
+def fit_cuts(found: DataFrame, words: DataFrame, pairs: list[float], max_false: float = MAX_FALSE) -> dict[int, float]:
+    """The least score of each encoding and length band that is reported, from all tokens of a column _f of findings: at most 72 strata.
+
+    A stratum without any worded token to compare with reports all that MIN_P leaves. Strata where nothing is rejected have
+    no cut, and report nothing.
     """
-    tokens = found.select(F.explode("_f.tokens").alias("k")).select("k.stratum", F.least(F.floor(F.col("k.p") * GRID), F.lit(GRID - 1)).cast("int").alias("bin"))
-    counted: dict[int, list[int]] = {}
-    for r in tokens.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")).collect():  # at most strata x GRID rows
-        counted.setdefault(r["stratum"], [0] * GRID)[r["bin"]] = r["n"]
-    cuts = {}
+    tokens = materialise(found.select(F.explode("_f.tokens").alias("k")).select("k.stratum", "k.p", "k.score"), "opaque")
+    total = {r["stratum"]: r["n"] for r in tokens.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tails = worded_tails(words, pairs, sorted(total)) if total else {}
+    cuts = {k: -1e300 for k in total if k not in tails}
+    if not tails:
+        return cuts
+    by = lambda i: F.create_map(*(F.lit(x) for k, v in tails.items() for x in (k, float(v[i]))))
+    level = F.least(F.floor((F.col("score") - F.try_element_at(by(0), F.col("stratum"))) / F.try_element_at(by(1), F.col("stratum")) * STEPS), F.lit(LEVELS)).cast("int")
+    counted: dict[int, dict[int, int]] = {}
+    for r in tokens.where(F.col("p") >= MIN_P).select("stratum", level.alias("level")).where("level >= 0").groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n")).collect():  # at most strata x (LEVELS + 1) rows
+        counted.setdefault(r["stratum"], {})[r["level"]] = r["n"]
     for stratum, n in counted.items():
-        total = sum(n)
-        random_share = min(1.0, sum(n[GRID // 2 :]) / (0.5 * total))
-        for k in range(GRID):
-            above = sum(n[k:])
-            if above and 1.0 - min(1.0, random_share * (1 - k / GRID) * total / above) <= max_false:
-                cuts[stratum] = k / GRID
+        least, mean = tails[stratum]
+        for k in range(LEVELS + 1):
+            above = sum(v for x, v in n.items() if x >= k)
+            if above and TAIL * math.exp(-k / STEPS) * total[stratum] <= max_false * above:
+                cuts[stratum] = least + k * mean / STEPS
                 break
     return cuts
 
@@ -166,7 +243,7 @@ def all_spans(found: Column, cuts: dict[int, float]) -> Column:
 
     def with_random(b: Column) -> Column:
         free = lambda t: ~F.exists(b, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-        random = F.filter(found["tokens"], lambda t: F.coalesce(t["p"] >= F.try_element_at(limits, t["stratum"]), F.lit(False)) & free(t))
+        random = F.filter(found["tokens"], lambda t: (t["p"] >= MIN_P) & F.coalesce(t["score"] >= F.try_element_at(limits, t["stratum"]), F.lit(False)) & free(t))
         return F.array_sort(F.concat(b, F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(len(PATTERNS)).alias("kind"), t["end"].alias("end")))))
 
     return let(base, with_random)
@@ -183,8 +260,10 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has none (the SHA-256 is that of the empty string); null ids and repeated rows are kept, each
     row reported by itself; an empty table gives an empty result; other columns aren't read.
     """
-    kept = materialise(df.select(F.col(id_col).alias("_id"), findings(F.col(text_col)).alias("_f")), "secrets")
-    spans = kept.withColumn("_s", all_spans(F.col("_f"), fit_cuts(kept, max_false)))
+    words = some_words(df.select(F.col(text_col).alias("_t")))
+    pairs = letter_pairs(words)
+    kept = materialise(df.select(F.col(id_col).alias("_id"), findings(F.col(text_col), pairs).alias("_f")), "secrets")
+    spans = kept.withColumn("_s", all_spans(F.col("_f"), fit_cuts(kept, words, pairs, max_false)))
     number = lambda i: F.size(F.filter("_s", lambda s: s["kind"] == i)).cast("long")
     base = F.filter("_s", lambda s: s["kind"] < len(PATTERNS))
     return spans.select(
@@ -199,8 +278,10 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact_secrets(df: DataFrame, mark: str = "[SECRET]", max_false: float = MAX_FALSE) -> DataFrame:
     """df with every secret in `text` replaced by a mark and n_chars set anew where that changed the text."""
     rows = df.select(F.struct("*").alias("_row"), F.col("text").alias("_t"))
-    cuts = fit_cuts(materialise(rows.select(once(findings(F.col("_t"))).alias("_f")).select(F.struct("_f.tokens").alias("_f")).where(F.size("_f.tokens") > 0), "tokens"), max_false)
-    spans = rows.withColumn("_f", once(findings(F.col("_t")))).withColumn("_s", all_spans(F.col("_f"), cuts))
+    words = some_words(rows.select("_t"))
+    pairs = letter_pairs(words)
+    cuts = fit_cuts(materialise(rows.select(once(findings(F.col("_t"), pairs)).alias("_f")).select(F.struct("_f.tokens").alias("_f")).where(F.size("_f.tokens") > 0), "tokens"), words, pairs, max_false)
+    spans = rows.withColumn("_f", once(findings(F.col("_t"), pairs))).withColumn("_s", all_spans(F.col("_f"), cuts))
     step = lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"),

@@ -59,6 +59,27 @@ def test_random_tokens_and_redaction(spark):
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in clean} == {(1, "é [SECRET] x", 12), (2, "plain", 5), (3, None, None)}
 
 
+def test_secrets_alone_and_among_worded_tokens(spark):
+    rng = random.Random(15)
+    lower36, base62 = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["ba", "ne", "ri", "to", "sel", "mar", "en", "st", "der", "lo", "ing", "qua"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    secret = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    slug = lambda n: ("".join(rng.choice(words) for _ in range(n))[: n - 2]) + str(rng.randint(10, 99))
+    # one secret by itself in its stratum
+    found = []
+    for i in range(4):
+        rows = [(j, prose(200), "en", "a", 0) for j in range(60)] + [(1000, f"{prose(9)} {secret(base62, 45)} {prose(9)}", "en", "a", 0)]
+        found += [r["n_random"] for r in secrets.secret_report(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 1000").collect()]
+    assert sum(found) >= 3, found
+    # 950 worded tokens and 50 secrets of one stratum
+    rows = [(i, f"{prose(30)} {slug(45)} {prose(30)}", "en", "a", 0) for i in range(950)] + [(1000 + i, f"{prose(30)} {secret(lower36, 45)} {prose(30)}", "en", "a", 0) for i in range(50)]
+    n = {r["doc_id"]: r["n_random"] for r in secrets.secret_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    caught, wrong = sum(n[1000 + i] for i in range(50)), sum(n[i] for i in range(950))
+    assert caught >= 45 and wrong <= 0.1 * (caught + wrong), (caught, wrong)
+
+
 def test_uniform_p_values_for_uniform_tokens(spark):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("0123456789abcdef") for _ in range(22)), "en", "a", 0) for i in range(2000)]
