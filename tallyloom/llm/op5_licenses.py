@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-A text is cut into blocks (paragraphs, and their single lines), and blocks with a licensing cue word are candidates. Each candidate is
-compressed alone and with every template as a zstandard raw dictionary; the share of bytes that a template
-saves ranks the templates. Winners in that order are confirmed by exact wording: the block must hold the template's words
-with few edits (a word alignment), and the words that were inserted, dropped or replaced are reported.
+Round each licensing cue word of a text, whatever its lines and paragraphs, every template gets a window of its own length
+to either side, with a margin for edits. A window that lacks too many of the template's words is passed over, which loses
+none. The others are decided by exact wording: the window must hold the template's words with few edits (a word
+alignment), and the words that were inserted, dropped or replaced are reported. Compression measures each notice and
+decides nothing, since in a short notice chance outweighs it: the bytes that the template saves as a zstandard raw
+dictionary, over those that the template takes by itself.
 
 The templates are a parameter; the default is a set of short standard notices.
 """
@@ -43,42 +45,16 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "All-rights-reserved": ["All rights reserved."],
 }
-CUES = r"(?i)licen[cs]|copyright|warrant|permission is|redistribut|rights reserved|creative commons|public domain|spdx|\bcc[ -]by"
-MIN_SAVING = 0.25
+CUES = r"(?i)licen[cs]|copyright|warrant|permission\s+is|redistribut|rights\s+reserved|creative\s+commons|public\s+domain|spdx|\bcc[ -]by"
 MAX_EDITS = 0.2
 LEVEL = 3
-MAX_BLOCK = 4096  # characters; a longer paragraph is taken line by line
-WINDOW = 240
+MARGIN = 40  # characters beyond a template's length and its edits
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 #: words whose change changes the licence: version numbers and the names of conditions
 _STRICT = re.compile(r"(?:v?[0-9]+(?:\.[0-9]+)*|by|nc|sa|nd|by-.*|attribution.*|noncommercial|sharealike|mit|apache|gnu|lesser|affero|mozilla|not)$")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidate blocks: paragraphs with a cue of at most MAX_BLOCK characters, and the lines with one (of long lines, WINDOW characters to either side of each cue)."""
-    out = []
-    cue = re.compile(CUES)
-    if not cue.search(text):
-        return out
-    for p in re.finditer(r"[^\n]+(?:\n[^\n]+)*", text):
-        if not cue.search(p[0]):
-            continue
-        lines = [(p.start() + m.start(), p.start() + m.end()) for m in re.finditer(r"[^\n]+", p[0]) if cue.search(m[0])]
-        if "\n" in p[0] and len(p[0]) <= MAX_BLOCK:
-            out.append((p.start(), p.end()))
-        for a, b in lines:
-            if b - a <= 2 * WINDOW:
-                out.append((a, b))
-                continue
-            stop = a
-            for m in cue.finditer(text, a, b):
-                if m.start() >= stop:
-                    stop = min(b, m.end() + WINDOW)
-                    out.append((max(a, m.start() - WINDOW), stop))
-    return out
-
-
 class Matcher:
     """Templates as zstandard raw dictionaries and as words."""
 
@@ -86,23 +62,53 @@ class Matcher:
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
+        empty = len(self.alone.compress(b""))
         self.templates = []
         for name, notices in templates.items():
             for notice in notices:
                 raw = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, notice, _WORD.findall(notice.lower()), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of the block's compressed size that they save, the largest first."""
-        data = block.lower().encode("utf-8", "surrogatepass")
-        plain = len(self.alone.compress(data))
-        savings = [(1.0 - len(t[3].compress(data)) / plain, i) for i, t in enumerate(self.templates)]
-        return sorted((s for s in savings if s[0] >= MIN_SAVING), key=lambda s: (-s[0], s[1]))
+                self.templates.append((name, notice, _WORD.findall(notice.lower()), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), len(self.alone.compress(notice.lower().encode())) - empty))
+
+    def saving(self, block: str, i: int) -> float:
+        """The bytes that template i saves in the block, with single spaces between words, over its own compressed size."""
+        data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
+        return (len(self.alone.compress(data)) - len(self.templates[i][3].compress(data))) / self.templates[i][4]
+
+    def notices(self, text: str) -> list[tuple[int, int, int, int, float, list[str]]]:
+        """Template, start, end, edits, saving, wording of each confirmed notice; those of different templates can overlap."""
+        found, stops = [], [0] * len(self.templates)
+        for cue in re.finditer(CUES, text):
+            for k, t in enumerate(self.templates):
+                if cue.start() < stops[k]:
+                    continue
+                reach = int((1.0 + MAX_EDITS) * len(t[1])) + MARGIN
+                lo, hi = max(stops[k], cue.start() - reach), min(len(text), cue.end() + reach)
+                # a notice beside the cue is noted, and the rest of the window that holds the cue searched on
+                while lo <= cue.start() and cue.end() <= hi and (hit := self.confirm(text[lo:hi], k)):
+                    start, stop, edits, wording = lo + hit[0], lo + hit[1], hit[2], hit[3]
+                    found.append((k, start, stop, edits, self.saving(text[start:stop], k), wording))
+                    if stop <= cue.start():
+                        lo = stops[k] = stop
+                    elif start >= cue.end():
+                        hi = start
+                    else:
+                        stops[k] = stop
+                        break
+        return found
 
     def confirm(self, block: str, i: int) -> tuple[int, int, int, list[str]] | None:
         """Start, end, edits and their wording where the block holds template i with few edits, none of them in a strict word."""
         words = list(_WORD.finditer(block))
         have, want = [w[0].lower() for w in words], self.templates[i][2]
+        known = set(have)
+        if sum(w not in known for w in want) > MAX_EDITS * len(want):
+            return None
+        longest = difflib.SequenceMatcher(None, want, have, autojunk=False).find_longest_match()
+        # words further from the longest match than the template and its edits reach can't belong to the notice
+        spare = int(MAX_EDITS * len(want)) + 1
+        at = max(0, longest.b - longest.a - spare)
+        words = words[at : longest.b - longest.a + len(want) + spare]
+        have = have[at : at + len(words)]
         steps = difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
         equal = [s for s in steps if s[0] == "equal"]
         if not equal:
@@ -129,8 +135,7 @@ class Matcher:
 def license_notices(df: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Notices found in df: the id, license, start, end (code points), saving, edits, differences, notice.
 
-    Per block the first template in order of saving that is confirmed is reported; blocks that overlap give the notice
-    with fewest edits, then the longest. Null and empty texts have none; repeated rows are all scanned; an empty table
+    Of confirmed notices that overlap, the one with most words of its template less twice its edits is reported. Null and empty texts have none; repeated rows are all scanned; an empty table
     gives an empty result; other columns aren't read.
     """
     chosen = templates or TEMPLATES
@@ -140,18 +145,12 @@ def license_notices(df: DataFrame, templates: dict[str, list[str]] | None = None
         for batch in batches:
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                found = []
-                for a, b in blocks(text) if text else []:
-                    for saving, k in matcher.ranked(text[a:b]):
-                        if hit := matcher.confirm(text[a:b], k):
-                            start, stop, edits, wording = hit
-                            found.append((edits, -(stop - start), a + start, a + stop, k, saving, "; ".join(wording)))
-                            break
+                found = matcher.notices(text) if text else []
                 taken: list[tuple[int, int]] = []
-                for edits, _, start, stop, k, saving, wording in sorted(found):
+                for k, start, stop, edits, saving, wording in sorted(found, key=lambda x: (2 * x[3] - len(matcher.templates[x[0]][2]), x[:3])):
                     if all(stop <= x or start >= y for x, y in taken):
                         taken.append((start, stop))
-                        rows.append((i, matcher.templates[k][0], start, stop, saving, edits, wording, text[start:stop]))
+                        rows.append((i, matcher.templates[k][0], start, stop, saving, edits, "; ".join(wording), text[start:stop]))
             c = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(x, t) for x, t in zip(c[1:], kinds, strict=True))], names=[id_col, "license", "start", "end", "saving", "edits", "differences", "notice"])

@@ -125,6 +125,23 @@ def test_licenses(spark, docs, wide, empty):
     assert licenses.license_notices(empty).count() == 0
 
 
+def test_licenses_inside_prose(spark):
+    rng = random.Random(16)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    notices = [(name, notice) for name, all_of in licenses.TEMPLATES.items() for notice in all_of]
+    texts, want = [], set()
+    for name, notice in notices:
+        for kind, text in (("line", notice), ("wrapped", notice.replace(" ", "\r\n", 3))):
+            want.add((len(texts), name))
+            texts.append(f"{prose(45)} {text} {prose(45)}" if kind == "line" else f"{prose(800)}\r\n{text}\r\n{prose(45)}")
+    # two notices and a long list of authors in one line
+    mit = dict(licenses.TEMPLATES)["MIT"][1]
+    want |= {(len(texts), "MIT"), (len(texts), "All-rights-reserved")}
+    texts.append(f"Copyright (c) {prose(25)} {mit} {prose(5)} All rights reserved. {prose(90)}")
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {(r["doc_id"], r["license"]) for r in licenses.license_notices(df).collect()} == want
+
+
 def counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup = set(), 0
