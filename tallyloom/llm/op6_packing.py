@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, table, with_row_number
-from .words import ASCII_LOWER, U, chunks, encoded, slices, words
+from .words import ASCII_LOWER, U, chunks, encoded, same_words, slices, words
 
 CACHE_WORDS = 600_000
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,9 +37,11 @@ class WordIds:
 
     def clear(self) -> None:
         self.hashes, self.offset, self.length, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.bytes: dict[int, bytes] = {}  # of each hash
 
-    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _add(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        self.bytes.update(zip(hashes.tolist(), found, strict=True))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in found], add_special_tokens=False)]
         length = np.fromiter(map(len, each), np.int64, len(each))
         offset = len(self.ids) + np.cumsum(length) - length
         self.ids = np.concatenate([self.ids, np.fromiter((i for e in each for i in e), np.uint32, int(length.sum()))])
@@ -52,7 +54,8 @@ class WordIds:
 
         A word here ends at white space, and before punctuation that follows an ASCII letter or digit: the tokenizer's
         own pattern splits there too, and it lower-cases, so joining the words' ids gives the text's ids. A text with
-        a special token's "<|" is tokenised whole.
+        a special token's "<|" is tokenised whole. Hashes only find words: where two words of the chunk, or one of it and a
+        known one, share a hash and not their bytes, all the chunk's texts are tokenised whole.
         """
         w = words(texts, ASCII_LOWER, cut_after_alnum=True)
         distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -61,9 +64,11 @@ class WordIds:
         at = np.searchsorted(self.hashes, distinct)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == distinct[known]
+        if not same_words(w, first[which]) or any(self.bytes[h] != w.bytes(i) for h, i in zip(distinct[known].tolist(), first[known], strict=True)):
+            return [self._whole(t) for t in texts]
         new = np.flatnonzero(~known)
         if len(new):
-            self._add(distinct[new], [w.buffer[w.starts[i] : w.ends[i]].decode("utf-8", "surrogatepass") for i in first[new]])
+            self._add(distinct[new], [w.bytes(i) for i in first[new]])
             at = np.searchsorted(self.hashes, distinct)
         length = self.length[at][which]
         total = np.concatenate([[0], np.cumsum(length)])
@@ -72,9 +77,12 @@ class WordIds:
         out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i, t in enumerate(texts):
             if b"<|" in t:
-                out[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
+                out[i] = self._whole(t)
         return out
 
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
+
 
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:

@@ -1,39 +1,27 @@
 """Array kernels over the bytes of many texts at once; they run inside Arrow tasks.
 
-A chunk of texts is joined into one byte buffer. Words are runs of bytes other than a set of separators, and each
-gets a 64-bit hash from one running sum over the buffer: the sum of byte * P^position modulo 2^64, divided by
-P^start, then mixed with the word's length.
+A chunk of texts is joined into one byte buffer. Words are runs of bytes other than a set of separators. A word's 64-bit
+hash takes in its bytes eight at a time, with a bijective mix of the state after each eight; words of over LONG bytes
+are hashed by BLAKE2. Whoever needs certainty compares the bytes as well (`same_words`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_pow = np.ones(1, U)
-_inv = np.ones(1, U)
+LONG = 256
 
 SPACES = b" \t\n\x0b\x0c\r"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CHUNK_BYTES = 2 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, CHUNK_BYTES + (1 << 18))
-        with np.errstate(over="ignore"):
-            _pow = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size, _P, U)]))
-            _inv = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size, _P_INV, U)]))
-    return _pow, _inv
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
@@ -42,14 +30,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def blocks(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 0, 1, ...: which words are longer than 8 k bytes, and their bytes from 8 k on, eight as one integer (zeros after the end).
+
+    The buffer needs seven bytes after the last word's end.
+    """
+    eights = np.ndarray((max(0, len(buffer) - 7),), "<u8", buffer, 0, (1,))
+    which, at, left = np.arange(len(starts)), starts, ends - starts
+    while len(which):
+        x = eights[at]
+        short = np.flatnonzero(left < 8)
+        x[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+        yield which, x
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+
+
+def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    h = mix(size.astype(U) + U(0xD6E8FEB86659FD93))
+    brief = np.flatnonzero(size <= LONG)
+    for which, x in blocks(buffer, starts[brief], ends[brief]):
+        at = brief[which]
+        h[at] = mix(h[at] ^ x)
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(blake2b(buffer[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 @dataclass
 class Words:
-    buffer: bytes  # all texts of the chunk, each followed by a space
+    buffer: bytes  # all texts of the chunk, each followed by a space, and seven more
     starts: np.ndarray  # of each word, in the buffer
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray  # for each text, the number of words before it; one entry more than texts
 
+    def bytes(self, i: int) -> bytes:
+        return self.buffer[self.starts[i] : self.ends[i]]
+
     def text(self, i: int, j: int) -> str:
         """Words i to j - 1 with what stands between them."""
         return self.buffer[self.starts[i] : self.ends[j - 1]].decode("utf-8", "replace") if j > i else ""
@@ -72,7 +91,7 @@ def words(texts: list[bytes], translate: bytes | None = None, cut_after_alnum: b
 
     cut_after_alnum also begins a word where ASCII punctuation follows an ASCII letter or digit.
     """
-    buffer = b" ".join(texts) + b" "
+    buffer = b" ".join(texts) + b" " * 8
     if translate:
         buffer = buffer.translate(translate)
     b = np.frombuffer(buffer, np.uint8)
@@ -85,14 +104,19 @@ def words(texts: list[bytes], translate: bytes | None = None, cut_after_alnum: b
         cut[1:] = alnum[:-1] & ~alnum[1:] & ~space[1:] & (b[1:] < 128)
         begins, stops = begins | cut, stops | cut
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-    power, inverse = _powers(len(b) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(b) + 1, U)
-        np.cumsum((b.astype(U) + U(1)) * power[: len(b)], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts]
-        h = mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) if texts else np.zeros(1, np.int64)
-    return Words(buffer, starts, ends, h, np.searchsorted(starts, offsets))
+    return Words(buffer, starts, ends, word_hashes(buffer, starts, ends), np.searchsorted(starts, offsets))
+
+
+def same_words(w: Words, like: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word whose number `like` gives."""
+    size = w.ends - w.starts
+    if not (size == size[like]).all():
+        return False
+    brief = np.flatnonzero(size <= LONG)
+    other = like[brief]
+    pairs = zip(blocks(w.buffer, w.starts[brief], w.ends[brief]), blocks(w.buffer, w.starts[other], w.ends[other]), strict=True)
+    return all((x == y).all() for (_, x), (_, y) in pairs) and all(w.bytes(i) == w.bytes(like[i]) for i in np.flatnonzero(size > LONG) if like[i] != i)
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

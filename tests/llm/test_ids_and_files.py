@@ -95,8 +95,26 @@ def test_word_ids_equal_the_tokenizer(spark):
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["It's don't x''s a.b,,c -- É ÉCOLE 12a3 <|endoftext|> end", "İstanbul KK   x y ﬁ é . 'S", "", "….,;a", "日本語 text😀!!😀", "a\x1cb\x85c \tQ'LL"]
-    got = packing.WordIds(t).encode([x.encode() for x in texts])
-    assert [list(g) for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    thue = lambda n, a, b: "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+    texts += [thue(n, a, b) for n in (1024, 2048) for a, b in ("ab", "ba")] + ["z" * 300 + " " + "z" * 299 + "y"]
+    for ids in (packing.WordIds(t), packing.WordIds(t)):
+        for _ in range(2):  # from the tokenizer, then from what is kept
+            got = ids.encode([x.encode() for x in texts])
+            assert [list(g) for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_word_ids_with_colliding_hashes(monkeypatch):
+    """With a hash that only looks at lengths, words are told apart by their bytes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm import words
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(words, "word_hashes", lambda buffer, starts, ends: (ends - starts).astype(np.uint64))
+    ids = packing.WordIds(t)
+    for texts in (["the cat"], ["the dog"], ["one of the"]):
+        assert [list(g) for g in ids.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_archive(spark, tmp_path):
