@@ -6,7 +6,8 @@ them likeliest. Languages enter the set one by one, each time the one that gains
 log-likelihood exceeds PENALTY * log(n-grams) (a Bayesian information criterion). The prediction is the language with
 the largest proportion and the score is that proportion.
 
-The model has 2^HASH_BITS rows for each language, whatever the corpus; MAX_LANGUAGES bounds what is broadcast.
+The model has 2^HASH_BITS numbers of 4 bytes for each language, whatever the corpus, in blocks of BLOCK languages; the
+driver gathers one block at a time and broadcasts it. A thousand languages are 131 MB in a worker.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialise, table
 from .words import U, mix
 
 HASH_BITS = 15
@@ -26,16 +28,17 @@ SIZES = (2, 3)
 SMOOTHING = 0.5
 PENALTY = 8.0
 ROUNDS = 30
-MAX_LANGUAGES = 256
+BLOCK = 32  # languages whose numbers are in one array
+HELD_LANGUAGES = 64  # whose counts a task holds at once
 CHUNK_CHARS = 1 << 19
 _LETTERS = None
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point below 0x20000 whether it is a letter; higher planes hold letters of few languages and count as such."""
+    """For each code point whether it is a letter."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([chr(c).isalpha() for c in range(0x20000)])
+        _LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
     return _LETTERS
 
 
@@ -54,7 +57,7 @@ def buckets(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         joined = [" " + (t or "").lower() + " " for t in texts[at:end]]
         c = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(end - at), [len(t) for t in joined])
-        is_letter = np.where(c < 0x20000, letter[np.minimum(c, 0x1FFFF)], True)
+        is_letter = letter[c]
         letters = np.bincount(owner[is_letter], minlength=end - at)
         c = np.where(is_letter, c, 32)
         keep = np.ones(len(c), bool)
@@ -88,7 +91,7 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 both = np.bincount((which[owner] << HASH_BITS) + grams, minlength=len(names) << HASH_BITS).reshape(len(names), -1)
                 for name, i in names.items():
                     sums[name] = sums.get(name, 0) + both[i]
-            while len(sums) > MAX_LANGUAGES:
+            while len(sums) > HELD_LANGUAGES:
                 name = next(iter(sums))
                 yield _counted(name, sums.pop(name))
         for name, n in sums.items():
@@ -103,18 +106,19 @@ def _counted(name: str, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages and their n-gram likelihoods (languages x 2^HASH_BITS)."""
-    counts = gram_counts(df, text_col, lang_col).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang").limit(MAX_LANGUAGES + 1)
-    rows = counts.collect()  # at most MAX_LANGUAGES x 2^HASH_BITS numbers
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: map rare names to families first")
-    langs = [r["lang"] for r in rows]
-    model = np.full((len(langs), 1 << HASH_BITS), SMOOTHING)
-    for i, r in enumerate(rows):
-        c = np.array(r["c"], np.int64).reshape(-1, 2)
-        model[i, c[:, 0]] += c[:, 1]
-    return langs, (model / model.sum(axis=1, keepdims=True) if len(langs) else model)
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[Broadcast]]:
+    """The languages in order of name, and their n-gram likelihoods: for each BLOCK of them 2^HASH_BITS x languages."""
+    spark = df.sparkSession
+    counts = materialise(gram_counts(df, text_col, lang_col), "grams")
+    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    blocks = []
+    for at in range(0, len(langs), BLOCK):
+        names = langs[at : at + BLOCK]
+        part = counts.where(F.col("lang").isin(names)).select((F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1).alias("i"), "bucket", "n").toArrow()  # at most BLOCK x 2^HASH_BITS rows
+        model = np.full((1 << HASH_BITS, len(names)), SMOOTHING)
+        model[part["bucket"].to_numpy(), part["i"].to_numpy()] += part["n"].to_numpy()
+        blocks.append(spark.sparkContext.broadcast((model / model.sum(axis=0)).astype(np.float32)))
+    return langs, blocks
 
 
 def proportions(p: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -130,52 +134,54 @@ def proportions(p: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tupl
     return share, float(weight @ np.log(p @ share))
 
 
-def mixture(p: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The languages of a text, chosen forward under the penalty, and their proportions; p: n-grams x languages."""
-    alone = weight @ np.log(p)
+def mixture(blocks: list[np.ndarray], grams: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The languages of a text with these n-grams, chosen forward under the penalty, and their proportions."""
+    alone = np.concatenate([weight @ np.log(b[grams].astype(float)) for b in blocks])
+    width = blocks[0].shape[1]
+    column = lambda k: blocks[k // width][grams, k % width].astype(float)
     chosen, share, best = [int(np.argmax(alone))], np.ones(1), float(alone.max())
+    p = column(chosen[0])[:, None]
     penalty = PENALTY * np.log(max(2.0, weight.sum()))
-    while len(chosen) < p.shape[1]:
-        now = p[:, chosen] @ share
+    while len(chosen) < len(alone):
         # what a language adds at a small proportion: the slope of the log-likelihood there, none where it doesn't rise
-        slope = (weight / now) @ p - weight.sum()
+        steep = weight / (p @ share)
+        slope = np.concatenate([steep @ b[grams] for b in blocks]) - weight.sum()
         slope[chosen] = -np.inf
         k = int(np.argmax(slope))
         if slope[k] <= 0:
             break
-        trial, likelihood = proportions(p[:, [*chosen, k]], weight)
+        wider = np.column_stack([p, column(k)])
+        trial, likelihood = proportions(wider, weight)
         if 2.0 * (likelihood - best) <= penalty:
             break
-        chosen, share, best = [*chosen, k], trial, likelihood
+        chosen, p, share, best = [*chosen, k], wider, trial, likelihood
     return chosen, share
 
 
-def detect(df: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(df: DataFrame, langs: list[str], model: list[Broadcast], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixture of each row: the id, lang_pred, score, languages and their proportions, the largest first.
 
     A null text and one without letters give `und` with score 0 and no languages, as does a model of no language. Repeated
     rows are all predicted; ids aren't looked at; an empty table gives an empty result; other columns aren't read.
     """
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast((langs, np.ascontiguousarray(model.T)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, likelihood = held.value
+        likelihood = [b.value for b in model]
         for batch in batches:
             pred, score, sets, shares = [], [], [], []
             for _, grams, owner, letters in buckets(batch.column(1).to_pylist()):
                 order = np.argsort(owner, kind="stable")
                 grams, cuts = grams[order], np.searchsorted(owner[order], np.arange(len(letters) + 1))
                 for i in range(len(letters)):
-                    if not letters[i] or not names:
+                    if not letters[i] or not langs:
                         pred.append("und"), score.append(0.0), sets.append([]), shares.append([])
                         continue
                     g, n = np.unique(grams[cuts[i] : cuts[i + 1]], return_counts=True)
-                    chosen, share = mixture(likelihood[g], n.astype(float))
+                    chosen, share = mixture(likelihood, g, n.astype(float))
                     by = np.argsort(-share, kind="stable")
-                    pred.append(names[chosen[by[0]]])
+                    pred.append(langs[chosen[by[0]]])
                     score.append(float(min(1.0, max(0.0, share[by[0]]))))
-                    sets.append([names[chosen[k]] for k in by])
+                    sets.append([langs[chosen[k]] for k in by])
                     shares.append([float(share[k]) for k in by])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],

@@ -206,3 +206,41 @@ def test_language_mixtures(spark, docs, wide, empty):
     assert language.detect(docs, langs, model).count() == docs.count() and same(language.detect(docs, langs, model), language.detect(wide, langs, model))
     assert language.detect(empty, langs, model).count() == 0 and language.train(empty)[0] == []
     assert all(r["lang_pred"] == "und" for r in language.detect(docs, [], language.train(empty)[1]).collect())
+
+
+def test_three_hundred_languages_and_no_letters(spark):
+    rng = random.Random(14)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    rows = [(i, " ".join("".join(rng.choice(letters[5 * (i % 300) : 5 * (i % 300) + 5]) for _ in range(5)) for _ in range(30)), f"l{i % 300:03}", None, 0) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    langs, model = language.train(df)
+    assert len(langs) == 300 and len(model) == 10
+    got = {r["doc_id"]: r["lang_pred"] for r in language.detect(df, langs, model).collect()}
+    assert got == {i: f"l{i % 300:03}" for i in range(600)}
+    flags = [(1, "\U0001f3f4\U000e0067\U000e0062\U000e007f", None, None, 0), (2, "\U000f0000 \U00100000", None, None, 0), (3, "\U00020000\U00020001", None, None, 0)]
+    assert [r["lang_pred"] != "und" for r in language.detect(spark.createDataFrame(flags, SCHEMA), langs, model).orderBy("doc_id").collect()] == [False, False, True]
+
+
+def test_mixture_proportions_maximise_the_likelihood():
+    """Expectation-maximisation against a grid over all proportions of two languages."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p, weight = rng.random((50, 2)) / 20, rng.integers(1, 9, 50).astype(float)
+    share, likelihood = language.proportions(p, weight, 2000)
+    grid = [float(weight @ np.log(p @ np.array([x, 1 - x]))) for x in np.linspace(0, 1, 2001)]
+    assert likelihood >= max(grid) - 0.05 and abs(share[0] - np.argmax(grid) / 2000) < 0.05
+
+
+def test_language_held_out(spark):
+    """The registered query's accuracy on the held-out fifth of the driver's smallest table."""
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    held = language.op10_language_mixture(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, n = held.where("lang = lang_pred").count(), held.count()
+    assert n > 100 and right >= 0.97 * n, (right, n)
