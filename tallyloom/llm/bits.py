@@ -15,17 +15,27 @@ from .words import U, slices
 MAX_BITS = 27
 
 
+def bit_filters(df: DataFrame, group: str, column: str, most_bits: int = MAX_BITS) -> dict[int, Broadcast]:
+    """For each value of an int column `group` (few), the bits of a long column's values: 16 bits a value, between 2^16 and 2^most_bits bits."""
+    values = df.select(F.col(group).alias("g"), F.col(column).alias("v")).distinct()
+    bits = {r["g"]: min(most_bits, max(16, (16 * r["n"] - 1).bit_length())) for r in values.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not bits:
+        return {}
+    mask = F.try_element_at(F.create_map(*(F.lit(x) for g, b in bits.items() for x in (g, (1 << b) - 1))), F.col("g"))
+    place = values.select("g", F.col("v").bitwiseAND(mask.cast("long")).alias("at"))
+    part = place.select("g", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("g", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    groups, at, word = part["g"].to_numpy(), part["word"].to_numpy(), part["bits"].to_numpy().view(U)  # at most 2^(bits - 6) for each group
+    out = {}
+    for g, b in bits.items():
+        array = np.zeros(1 << (b - 6), U)
+        array[at[groups == g]] = word[groups == g]
+        out[g] = df.sparkSession.sparkContext.broadcast(array)
+    return out
+
+
 def bit_filter(df: DataFrame, column: str, most_bits: int = MAX_BITS) -> Broadcast:
-    """The bits of a long column's values (by their low bits): 16 bits a value, between 2^16 and 2^most_bits bits in all."""
-    values = df.select(F.col(column).alias("v")).distinct()
-    count = max(1, values.count())
-    bits = min(most_bits, max(16, (16 * count - 1).bit_length()))
-    place = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = values.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    array = np.zeros(1 << (bits - 6), U)
-    for r in rows:  # at most 2^(bits - 6)
-        array[r["word"]] = r["bits"] % (1 << 64)
-    return df.sparkSession.sparkContext.broadcast(array)
+    """The bits of a long column's values (by their low bits)."""
+    return bit_filters(df.withColumn("_g", F.lit(0)), "_g", column, most_bits).get(0) or df.sparkSession.sparkContext.broadcast(np.zeros(1 << 10, U))
 
 
 def can_hold(values: np.ndarray, array: np.ndarray) -> np.ndarray:

@@ -1,10 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. All word n-grams of the benchmark's items are seeds, however frequent they are in the corpus: an item that leaked in a
-   popular edited copy may have no others left.
-2. Corpus tasks look n-grams up in a bit array of the seeds. Its size is fixed by a parameter at most, whatever
-   the benchmark, and it only pre-selects: hits are joined to the seeds by their 64-bit hashes. Around its hits each
-   text gives passages, as wide to either side as the longest item.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The benchmark's items are cut into word n-grams (items of fewer than n words: their whole sequence), and each gram's
+   documents are counted over the whole corpus. What counts as a copy keeps at least 1 / KEPT of an item's grams (t of
+   G). Any such copy then holds one of the G - t + 1 rarest: these are the item's seeds, and the most frequent t - 1,
+   which match half the corpus in vain, are none. An item whose grams are all frequent still has its rarest.
+2. Corpus tasks look n-grams up in bit arrays, of all grams and of the seeds, one pair for each class of item lengths. A
+   stretch of hits of one class with at least t distinct grams and a seed is a passage, as wide to either side as the class's
+   longest item, so a long item doesn't widen the others' passages. The arrays' sizes have a fixed bound, whatever the
+   benchmark, and only pre-select: passages are joined to items by the seeds' 64-bit hashes.
 3. Pairs of passage and item that share a seed are bounded by the item's words that the passage holds at all, which loses
    none: a stock phrase alone reaches no threshold. The rest are aligned by words (Smith-Waterman: match 2, mismatch -1,
    gap -1); the score over that of the whole item is the coverage, and pairs that reach the threshold are contaminated.
@@ -15,19 +18,22 @@ Words are lower-cased runs of characters other than ASCII white space and punctu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .bits import bit_filters, can_hold
 from .shared import materialise, table
 from .words import U, Words, chunks, shingles, slices, words
 
 N = 4
+KEPT = 8
 MIN_COVERAGE = 0.5
-MAX_FILTER_BITS = 27
 MATCH, MISMATCH, GAP = 2, 1, 1
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TABLE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -41,71 +47,128 @@ def _words(texts: list[bytes]) -> Words:
     return words(texts, _TABLE)
 
 
+def _least_kept(grams):
+    """t: the distinct grams of an item's `grams` that a copy of it holds at least."""
+    return F.greatest(F.lit(1), F.floor(grams / KEPT)).cast("int")
+
+
 def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Distinct n-grams of the items: item_id, gram, and the item's number of words."""
+    """Distinct grams of the items: item_id, gram, n (the gram's words), item_words, and grams (the item's number of them)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            items, grams, sizes = [], [], []
+            items, grams, sizes, widths = [], [], [], []
             for at, run in chunks(_lowered(batch.column(1))):
                 w = _words(run)
-                h, first = shingles(w, n)
-                owner = np.searchsorted(w.first, first, "right") - 1
-                items.append(owner + at)
-                grams.append(h)
-                sizes.append(np.diff(w.first)[owner])
-            where = np.concatenate(items) if items else np.zeros(0, np.int64)
+                count = np.diff(w.first)
+                for k in range(1, n + 1):
+                    h, first = shingles(w, k)
+                    owner = np.searchsorted(w.first, first, "right") - 1
+                    mine = count[owner] >= n if k == n else count[owner] == k
+                    items.append(owner[mine] + at)
+                    grams.append(h[mine])
+                    sizes.append(count[owner[mine]])
+                    widths.append(np.full(int(mine.sum()), k))
+            cat = lambda x, t=pa.int64(): pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(where)), pa.array(np.concatenate(grams).view(np.int64) if grams else where, pa.int64()), pa.array(np.concatenate(sizes) if sizes else where, pa.int64())],
-                names=["item_id", "gram", "item_words"],
+                [batch.column(0).take(cat(items)), cat([g.view(np.int64) for g in grams]), cat(widths), cat(sizes)],
+                names=["item_id", "gram", "n", "item_words"],
             )
 
-    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col)).mapInArrow(cut, "item_id long, gram long, item_words long").distinct()
+    found = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col)).mapInArrow(cut, "item_id long, gram long, n long, item_words long").distinct()
+    # repeated rows of one item are one item; different texts under one id count together
+    return found.withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy("item_id", "item_words")))
+
+
+@dataclass
+class LengthClass:
+    """Items of about one length: the words in a gram, the longest item, t, and the bits of all grams and of the seeds."""
+
+    n: int
+    longest: int
+    least: int
+    grams: Broadcast
+    seeds: Broadcast | None = None
+
+
+def _class(n: int):
+    """A number for the items of each length below n words, and for each doubling beyond."""
+    words = F.col("item_words")
+    return F.when(words < n, words).otherwise(n + F.floor(F.log2(words.cast("double")))).cast("int")
+
 
+def length_classes(grams: DataFrame) -> dict[int, LengthClass]:
+    """Classes of the items in `grams`, which has a column class: one for each doubling of the length."""
+    rows = grams.groupBy("class").agg(F.max("n").alias("n"), F.max("item_words").alias("longest"), F.min(_least_kept(F.col("grams"))).alias("least")).collect()  # about log2 of the longest item
+    bits = bit_filters(grams, "class", "gram")
+    return {r["class"]: LengthClass(r["n"], r["longest"], r["least"], bits[r["class"]]) for r in rows}
 
-def gram_filter(grams: DataFrame, most_bits: int = MAX_FILTER_BITS) -> Broadcast:
-    """A bit array with the bit of each gram set: 16 bits for each gram, between 2^16 and 2^most_bits bits in all."""
-    count = max(1, grams.select("gram").distinct().count())
-    bits = min(most_bits, max(16, (16 * count - 1).bit_length()))
-    place = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = grams.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    array = np.zeros(1 << (bits - 6), U)
-    for r in rows:  # at most 2^(bits - 6)
-        array[r["word"]] = r["bits"] % (1 << 64)
-    return grams.sparkSession.sparkContext.broadcast(array)
 
+def _hits(w: Words, hashed: dict[int, tuple[np.ndarray, np.ndarray]], c: LengthClass) -> tuple[np.ndarray, np.ndarray]:
+    if c.n not in hashed:
+        hashed[c.n] = shingles(w, c.n)
+    h, first = hashed[c.n]
+    at = np.flatnonzero(can_hold(h, c.grams.value)) if len(h) else np.zeros(0, np.int64)
+    return h[at], first[at]
 
-def _hits(grams: np.ndarray, array: np.ndarray) -> np.ndarray:
-    place = grams & U(len(array) * 64 - 1)
-    return np.flatnonzero((array[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1))
+
+def document_counts(df: DataFrame, text_col: str, classes: list[LengthClass]) -> DataFrame:
+    """gram, n_docs: in how many rows of df each gram is that the bit arrays let through; summed up in each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [np.zeros(0, U)]
+            for _, run in chunks(_lowered(batch.column(0))):
+                w, hashed = _words(run), {}
+                for c in classes:
+                    h, first = _hits(w, hashed, c)
+                    owner = np.searchsorted(w.first, first, "right")
+                    order = np.lexsort((h, owner))
+                    h, owner = h[order], owner[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                    found.append(h[new])
+            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    return df.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
+
+
+def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of each item's grams (item_id, gram, grams, ...) the grams - t + 1 in fewest documents."""
+    rank = F.row_number().over(Window.partitionBy("item_id", "item_words").orderBy(F.coalesce("n_docs", F.lit(0)), "gram"))
+    return grams.join(counts, "gram", "left").withColumn("_rank", rank).where(F.col("_rank") <= F.col("grams") - _least_kept(F.col("grams")) + 1).drop("_rank", "n_docs")
 
 
 _PASSAGE = "doc_id long, key long, first_word long, passage string, grams array<long>, places array<int>"
 
 
-def passages(df: DataFrame, id_col: str, text_col: str, n: int, seeds: Broadcast, margin: int) -> DataFrame:
-    """Stretches of words around the seed hits of each text, with the hits' grams and their places in the stretch."""
+def passages(df: DataFrame, id_col: str, text_col: str, classes: list[LengthClass]) -> DataFrame:
+    """Stretches of words around the hits of each text, with their seeds and those's places in the stretch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, first_words, text, grams, places = [], [], [], [], []
             for at, run in chunks(_lowered(batch.column(2))):
-                w = _words(run)
-                h, first = shingles(w, n)
-                hit = _hits(h, seeds.value)
-                if not len(hit):
-                    continue
-                g, p = h[hit].view(np.int64), first[hit]
-                owner = np.searchsorted(w.first, p, "right") - 1
-                edges = np.flatnonzero((np.diff(owner) > 0) | (np.diff(p) > margin)) + 1
-                for a, b in zip([0, *edges], [*edges, len(p)], strict=True):
-                    doc = owner[a]
-                    lo, hi = max(w.first[doc], p[a] - margin), min(w.first[doc + 1], p[b - 1] + n + margin)
-                    rows.append(at + doc)
-                    first_words.append(lo - w.first[doc])
-                    text.append(w.text(lo, hi))
-                    grams.append(g[a:b])
-                    places.append((p[a:b] - lo).astype(np.int32))
+                w, hashed = _words(run), {}
+                for c in classes:
+                    g, p = _hits(w, hashed, c)
+                    if not len(g):
+                        continue
+                    owner = np.searchsorted(w.first, p, "right") - 1
+                    edges = np.flatnonzero((np.diff(owner) > 0) | (np.diff(p) > c.longest)) + 1
+                    seed = can_hold(g, c.seeds.value)
+                    for a, b in zip([0, *edges], [*edges, len(p)], strict=True):
+                        mine = a + np.flatnonzero(seed[a:b])
+                        if not len(mine) or b - a < c.least or len(np.unique(g[a:b])) < c.least:
+                            continue
+                        doc = owner[a]
+                        lo, hi = max(w.first[doc], p[mine[0]] - c.longest), min(w.first[doc + 1], p[mine[-1]] + c.n + c.longest)
+                        rows.append(at + doc)
+                        first_words.append(lo - w.first[doc])
+                        text.append(w.text(lo, hi))
+                        grams.append(g[mine].view(np.int64))
+                        places.append((p[mine] - lo).astype(np.int32))
             where = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(where), batch.column(1).take(where), pa.array(first_words, pa.int64()), pa.array(text, pa.string()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
@@ -139,8 +202,9 @@ def align(pairs: DataFrame, min_coverage: float = 0.0) -> DataFrame:
             texts, items = _lowered(c["passage"]), _lowered(c["item_text"])
             lo, hi = c["lo"].to_pylist(), c["hi"].to_pylist()
             got, size = [], []
+            known = {t: _words([t]).hashes for t in set(items)}
             for i in range(len(texts)):
-                p, t = _words([texts[i]]).hashes, _words([items[i]]).hashes
+                p, t = _words([texts[i]]).hashes, known[items[i]]
                 p = p[max(0, lo[i] - len(t)) : hi[i] + len(t)]
                 most = int(np.isin(t, p).sum())
                 got.append(smith_waterman(t, p) if most >= min_coverage * len(t) else 0)
@@ -157,22 +221,31 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, min_coverage:
     """Pairs of text and benchmark item whose alignment covers at least `min_coverage` of the item.
 
     Returns one row for each id, text and item: doc_id, key (the text's xxhash64), item_id, n_seeds, score, coverage,
-    passage_start (in words), of the best passage. Null or empty texts and items match nothing, nor do items of fewer than
-    n words; null ids are kept; repeated rows give one row; empty tables give none; other columns aren't read.
+    passage_start (in words), of the best passage. An item of fewer than n words is found where all its words stand in a
+    row. A copy that keeps fewer than 1 / KEPT of an item's n-grams isn't found. Null or empty texts and items match nothing; null ids
+    are kept; repeated rows give one row; empty tables give none; other columns aren't read.
     """
-    grams = materialise(item_grams(benchmark, n, item_col, item_text_col), "grams")
-    margin = grams.agg(F.max("item_words")).first()[0]
-    found = materialise(passages(df, id_col, text_col, n, gram_filter(grams), int(margin or 1)).withColumn("p", F.monotonically_increasing_id()), "passages")
+    grams = materialise(item_grams(benchmark, n, item_col, item_text_col).withColumn("class", _class(n)), "grams")
+    by_class = length_classes(grams)
+    classes = list(by_class.values())
+    seeds = materialise(rare_seeds(grams, document_counts(df, text_col, classes)), "seeds")
+    for k, bits in bit_filters(seeds, "class", "gram").items():
+        by_class[k].seeds = bits
+    found = materialise(passages(df, id_col, text_col, classes).withColumn("p", F.monotonically_increasing_id()), "passages")
     hits = found.select("p", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("p", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
-    pairs = hits.join(grams, "gram").groupBy("p", "item_id").agg(F.count_distinct("gram").alias("n_seeds"), F.min("place").alias("lo"), F.max("place").alias("hi"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text"))
+    pairs = hits.join(seeds.select("gram", "item_id").distinct(), "gram").groupBy("p", "item_id").agg(F.count_distinct("gram").alias("n_seeds"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text")).distinct()
     full = pairs.join(found.drop("grams", "places"), "p").join(items, F.col("item_id").eqNullSafe(F.col("item")))
     best = align(full, min_coverage).where(F.col("coverage") >= min_coverage).groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", "score", "n_seeds", "passage_start")).alias("b"))
     return best.select("doc_id", "key", "item_id", "b.n_seeds", "b.score", "b.coverage", "b.passage_start")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of df that hold no benchmark item, with their columns as they are."""
+    """The rows of df that hold no benchmark item, with their columns as they are.
+
+    Rows with a null or empty text stay, and so do rows with a null id that hold no item; repeated rows stay or go together;
+    an empty table gives an empty one.
+    """
     found = materialise(contaminated(df, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks")
     return df.join(found, df["doc_id"].eqNullSafe(found["_id"]) & F.xxhash64(df["text"]).eqNullSafe(found["_key"]), "left_anti")
 

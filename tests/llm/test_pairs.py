@@ -154,6 +154,44 @@ def test_popular_edited_copy_leaks(spark):
         assert {(r["doc_id"], r["item_id"]) for r in leaks.contaminated(df, benchmark).collect()} == {(i, 1) for i in range(n)}
 
 
+def test_seeds_lose_no_copy_and_short_items_leak(spark):
+    """Against brute force over all pairs: every text that keeps an eighth of an item's 4-grams and half the alignment is found."""
+    rng = random.Random(21)
+    vocabulary = prose(rng, 60).replace(".", "").split(" ")
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, say(rng.choice([1, 2, 3, 4, 5, 9, 20, 40, 90]))) for i in range(24)]
+    stock = say(6)
+    items = [(i, w if len(w) < 9 else w[: len(w) // 2] + stock + w[len(w) // 2 :]) for i, w in items]  # a stock phrase in all
+    texts = []
+    for _ in range(150):
+        w = list(rng.choice(items)[1])
+        for k in range(len(w)):
+            if rng.random() < rng.choice([0.0, 0.1, 0.3]):
+                w[k] = rng.choice(vocabulary)
+        texts.append([*say(rng.randint(0, 30)), *w, *say(rng.randint(0, 30)), *stock])
+    want = set()
+    for d, t in enumerate(texts):
+        for i, w in items:
+            n = min(4, len(w))
+            grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+            there = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+            number = {x: k for k, x in enumerate(vocabulary)}
+            if len(grams & there) >= max(1, len(grams) // leaks.KEPT) and brute_alignment([number[x] for x in w], [number[x] for x in t]) >= leaks.MATCH * len(w) * 0.5:
+                want.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(t), "en", "a", 0) for d, t in enumerate(texts)], SCHEMA)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.contaminated(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert want <= got and len(want) > 100, (len(want), sorted(want - got)[:5])
+    assert not {(d, i) for d, i in got - want if len(dict(items)[i]) < 4}
+
+
+def test_words_without_collisions(spark):
+    """Thue-Morse words, on which polynomial hashes collide, are different words everywhere."""
+    thue = lambda n, a, b: "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+    texts = [thue(n, a, b) for n in (64, 1024, 2048) for a, b in ("ab", "ba")]
+    got = jaccard.similar_groups(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA), 4, (85, 100)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(len(texts))]
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline as pipeline
 
