@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from .words import U, slices
 
 MAX_BITS = 27
+BITS_EACH = 64
 
 
 def bit_filters(df: DataFrame, group: str, column: str, most_bits: int = MAX_BITS) -> dict[int, Broadcast]:
-    """For each value of an int column `group` (few), the bits of a long column's values: 16 bits a value, between 2^16 and 2^most_bits bits."""
+    """For each value of an int column `group` (few), the bits of a long column's values: two bits set by each (places from its
+    low and its high half) in BITS_EACH bits a value, between 2^16 and 2^most_bits in all."""
     values = df.select(F.col(group).alias("g"), F.col(column).alias("v")).distinct()
-    bits = {r["g"]: min(most_bits, max(16, (16 * r["n"] - 1).bit_length())) for r in values.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bits = {r["g"]: min(most_bits, max(16, (BITS_EACH * r["n"] - 1).bit_length())) for r in values.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not bits:
         return {}
     mask = F.try_element_at(F.create_map(*(F.lit(x) for g, b in bits.items() for x in (g, (1 << b) - 1))), F.col("g"))
-    place = values.select("g", F.col("v").bitwiseAND(mask.cast("long")).alias("at"))
+    place = values.select("g", F.explode(F.array(F.col("v"), F.shiftright("v", 32))).alias("v")).select("g", F.col("v").bitwiseAND(mask.cast("long")).alias("at"))
     part = place.select("g", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("g", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
     groups, at, word = part["g"].to_numpy(), part["word"].to_numpy(), part["bits"].to_numpy().view(U)  # at most 2^(bits - 6) for each group
     out = {}
@@ -39,8 +41,17 @@ def bit_filter(df: DataFrame, column: str, most_bits: int = MAX_BITS) -> Broadca
 
 
 def can_hold(values: np.ndarray, array: np.ndarray) -> np.ndarray:
-    place = values.astype(np.int64).view(U) & U(len(array) * 64 - 1)
-    return ((array[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1)).astype(bool)
+    mask = U(len(array) * 64 - 1)
+    values = values.astype(np.int64)
+
+    def has(v: np.ndarray) -> np.ndarray:
+        place = v.view(U) & mask
+        return ((array[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1)).astype(bool)
+
+    found = has(values)
+    at = np.flatnonzero(found)
+    found[at] = has(values[at] >> 32)
+    return found
 
 
 def kept(batch: pa.RecordBatch, at: int, bits: Broadcast) -> pa.RecordBatch:

@@ -109,11 +109,14 @@ def words(texts: list[bytes], translate: bytes | None = None, cut_after_alnum: b
 
 
 def same_words(w: Words, like: np.ndarray) -> bool:
-    """Whether each word has the bytes of the word whose number `like` gives."""
+    """Whether each word has the bytes of the word whose number `like` gives, and which has the same hash.
+
+    Up to eight bytes a word's hash is a bijection of them, for each length, so those needn't be looked at.
+    """
     size = w.ends - w.starts
     if not (size == size[like]).all():
         return False
-    brief = np.flatnonzero(size <= LONG)
+    brief = np.flatnonzero((size > 8) & (size <= LONG) & (like != np.arange(len(size))))
     other = like[brief]
     pairs = zip(blocks(w.buffer, w.starts[brief], w.ends[brief]), blocks(w.buffer, w.starts[other], w.ends[other]), strict=True)
     return all((x == y).all() for (_, x), (_, y) in pairs) and all(w.bytes(i) == w.bytes(like[i]) for i in np.flatnonzero(size > LONG) if like[i] != i)
