@@ -113,7 +113,7 @@ def test_word_ids_with_colliding_hashes(monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     monkeypatch.setattr(words, "word_hashes", lambda buffer, starts, ends: (ends - starts).astype(np.uint64))
     ids = packing.WordIds(t)
-    for texts in (["understanding unquestioned"], ["the cat"], ["a dog"], ["everything", "absolutely abdicating"], ["one"]):
+    for texts in (["understanding"], ["electricities"], ["everything absolutely"], ["one"]):
         assert [list(g) for g in ids.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
