@@ -176,19 +176,82 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     rows = [(i, " ".join(word() for _ in range(rng.randint(25, 300))), "en", "a", 0) for i in range(300)]
     rows += [(1000 + i, " ".join(word() + "###" for _ in range(100)), "en", "a", 0) for i in range(60)]
     rows += [(2000 + i, " ".join(word().upper() for _ in range(100)), "en", "a", 0) for i in range(30)]
+    rows += [(3000 + i, " ".join(f"{w} {w} {w} {w}" for w in (word() for _ in range(25))), "en", "a", 0) for i in range(5)]
     kept = {r["doc_id"] for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
     assert kept == set(range(300))
 
 
-def test_distance_agrees_with_numpy(spark):
+def numpy_mcd(x, floor, starts=60, seed=0):
+    """The smallest determinant, and its centre, over concentration steps from random subsets; pivots are not below `floor`."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    a = rng.normal(size=(4, 4))
-    s, m, x = a @ a.T + np.eye(4), rng.normal(size=4), rng.normal(size=4)
-    lit = lambda v: F.lit(float(v))
-    got = spark.range(1).select(quality.squared_distance([lit(v) for v in x], [lit(v) for v in m], {(i, j): lit(s[i, j]) for i in range(4) for j in range(i, 4)})).first()[0]
-    assert abs(got - (x - m) @ np.linalg.solve(s, x - m)) < 1e-9
+    rng, p, h = np.random.default_rng(seed), x.shape[1], int(quality.SUBSET * len(x))
+
+    def factor(c):
+        c, pivots, factors = c.copy(), [], np.eye(p)
+        for k in range(p):
+            pivots.append(max(c[k, k], floor[k]))
+            factors[k, k + 1 :] = c[k, k + 1 :] / pivots[k]
+            c[k + 1 :, k + 1 :] -= np.outer(factors[k, k + 1 :], c[k, k + 1 :])
+        return np.array(pivots), factors
+
+    best = (np.inf, None)
+    for _ in range(starts):
+        s = rng.choice(len(x), p + 1, replace=False)
+        last = np.inf
+        while True:
+            m = x[s].mean(0)
+            pivots, factors = factor(np.cov(x[s].T, bias=True) * quality.CONSISTENCY)
+            d = (np.linalg.solve(factors.T, (x - m).T).T ** 2 / pivots).sum(1)
+            s, now = np.argsort(d)[:h], np.log(pivots).sum()
+            if len(s) == h and now >= last - 1e-9:
+                break
+            last = now if last < np.inf else 1e300
+        best = min(best, (last, m), key=lambda b: b[0])
+    return best
+
+
+def as_points(spark, x, size, group="g"):
+    names = [f"_x{k}" for k in range(quality.P)] + [f"_v_{n}" for n in quality.SIZES]
+    rows = [(group, *map(float, r), *([float(size)] * len(quality.SIZES))) for r in x]
+    return spark.createDataFrame(rows, "_group string, " + ", ".join(f"{n} double" for n in names))
+
+
+def test_fit_finds_the_smallest_determinant(spark):
+    """Against FAST-MCD in NumPy: a fifth of the points are far outliers in one direction, and one axis has no scatter."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(quality.P, quality.P)) * 0.1
+    x = rng.normal(size=(1000, quality.P)) @ a.T + 0.5
+    x[:, 3] = 0.0
+    x[:200] += np.array([1.5, 1.0, -1.0, 0.0, 1.0, 0.5])
+    size = 400
+    want, centre = numpy_mcd(x, [v / size for _, v, _ in quality.AXES])
+    got = quality.fit(as_points(spark, x, size)).first()
+    typical = 2.0 ** (round(np.log2(size) * 16) / 16)
+    assert abs(got["_typical_n_words"] - typical) < 1e-9
+    assert got["_logdet"] <= want + 0.15, (got["_logdet"], want)
+    assert np.abs(np.array([got[f"_m{k}"] for k in range(quality.P)]) - centre).max() < 0.03
+
+
+def test_distances_are_chi_squared_for_normal_points(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(quality.P, quality.P)) + 2 * np.eye(quality.P)
+    x = rng.normal(size=(4000, quality.P)) @ a.T
+    points = as_points(spark, x, 1e6)
+    model = quality.fit(points)
+    d = sorted(r[0] for r in points.join(model, "_group").select(quality.squared_distance([F.col(f"_x{k}") - F.col(f"_m{k}") for k in range(quality.P)])).collect())
+    assert abs(d[2000] / quality.chi_squared_quantile(0.5, quality.P) - 1) < 0.08 and abs(d[3600] / quality.chi_squared_quantile(0.9, quality.P) - 1) < 0.08
+
+
+def test_small_groups_are_pooled(spark):
+    rows = [("en", "a")] * 250 + [("en", f"s{i}") for i in range(210)] + [("fr", "b")] * 150 + [("de", "c")] * 3
+    df = spark.createDataFrame([(*r, False) for r in rows], "_lang string, _source string, _failed boolean")
+    got = {(r["_lang"], r["_source"]): r["_group"] for r in quality.groups(df).collect()}
+    assert got["en", "a"] == '["en","a"]' and got["en", "s5"] == '["en"]' and got["fr", "b"] == got["de", "c"] == "[]"
 
 
 def test_language_mixtures(spark, docs, wide, empty):
