@@ -80,6 +80,81 @@ def test_secrets_alone_and_among_worded_tokens(spark):
     assert caught >= 45 and wrong <= 0.1 * (caught + wrong), (caught, wrong)
 
 
+def test_many_secrets_in_one_text(spark):
+    """Work in proportion to the matches: 100,000 in one text, in seconds."""
+    import time
+
+    one = "secret=abcdef12 "
+    df = spark.createDataFrame([(1, one * 100_000, "en", "a", 0), (2, None, None, None, None)], SCHEMA)
+    began = time.time()
+    r = secrets.secret_report(df).where("doc_id = 1").first()
+    assert r["n_assign"] == 100_000 and r["spans"].startswith("assign:0:15,assign:16:31,") and r["spans"].endswith(f",assign:{16 * 99_999}:{16 * 99_999 + 15}")
+    clean = secrets.redact_secrets(df, "X").where("doc_id = 1").first()
+    assert clean["text"] == "X " * 100_000 and clean["n_chars"] == 200_000
+    assert time.time() - began < 90
+
+
+def test_running_results_and_redaction_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    rng = random.Random(30)
+    rows = []
+    for i in range(200):
+        t = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 60)))
+        at, spans = 0, []
+        while len(t) > at + 1 and rng.random() < 0.95:
+            a = at + rng.randint(0, 2)
+            b = min(len(t), a + rng.randint(1, 9))
+            spans += [(a, b)] * (a < b)
+            at = max(at, a) + rng.randint(0, 4)
+        rows.append((i, t, spans, [rng.randint(0, 9) for _ in range(rng.randint(0, 30))]))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int>>, v array<int>")
+    got = df.select("i", secrets.redacted(F.col("t"), F.col("s"), "#").alias("r"), secrets.running(F.col("v"), lambda a, v: a + v, F.lit(0)).alias("sums")).collect()
+    for r in got:
+        _, t, spans, v = rows[r["i"]]
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += t[at:a] + "#"
+            at = max(at, b)
+        assert r["r"] == (out + t[at:] if spans else t), (t, spans)
+        assert r["sums"] == [sum(v[: k + 1]) for k in range(len(v))]
+
+
+def test_error_function(spark):
+    import math
+
+    z = [k / 50 for k in range(-200, 1200)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets._erfc(F.col("z"))).collect()]
+    assert max(abs(a / math.erfc(x) - 1) for a, x in zip(got, z, strict=True)) < 1e-7
+
+
+def test_a_lone_token_needs_evidence(spark):
+    """By itself in its stratum, a worded token is reported neither in a corpus of words nor in one without."""
+    rng = random.Random(32)
+    words = ["".join(rng.choice(["ba", "ne", "ri", "to", "sel", "mar"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    prose = [(i, " ".join(rng.choice(words) for _ in range(300)), "en", "a", 0) for i in range(40)]
+    token = [(1000, "version1release-version1release", "en", "a", 0)]
+    for rows in (token, [*prose, *token], [*prose, (1000, "banerito7selmarneri-tobane", "en", "a", 0)]):
+        assert sum(r["n_random"] for r in secrets.secret_report(spark.createDataFrame(rows, SCHEMA)).collect()) == 0
+
+
+def test_cuts_against_their_own_rule(spark):
+    """The cut of each stratum is the lowest at which the tail's expected count is within the allowed share of the found."""
+    import math
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice(["ba", "ne", "ri", "to", "sel", "mar"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(400)),) for _ in range(100)], "_t string")
+    runs = secrets.word_runs(texts)
+    pairs = secrets.letter_pairs(runs)
+    scores = [(4 * len(secrets.BANDS) + 3, 0.5, rng.gauss(-20 if i % 4 else 20, 15)) for i in range(400)]
+    cuts = secrets.fit_cuts(spark.createDataFrame(scores, "stratum int, p double, score double"), runs, pairs)
+    (least, mean), = secrets.worded_tails(runs, pairs, [scores[0][0]]).values()
+    expected = lambda c: secrets.TAIL * math.exp(-(c - least) / mean) * len(scores)
+    allowed = [k for k in range(secrets.LEVELS + 1) if (n := sum(s >= least + k * mean / secrets.STEPS for *_, s in scores)) and expected(least + k * mean / secrets.STEPS) <= secrets.MAX_FALSE * n]
+    assert abs(cuts[scores[0][0]] - (least + allowed[0] * mean / secrets.STEPS)) < 1e-9
+
+
 def test_uniform_p_values_for_uniform_tokens(spark):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("0123456789abcdef") for _ in range(22)), "en", "a", 0) for i in range(2000)]
