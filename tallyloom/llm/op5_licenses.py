@@ -1,163 +1,214 @@
 """License scans by conditional compression.
 
-Round each licensing cue word of a text, whatever its lines and paragraphs, every template gets a window of its own length
-to either side, with a margin for edits. A window that lacks too many of the template's words is passed over, which loses
-none. The others are decided by exact wording: the window must hold the template's words with few edits (a word
-alignment), and the words that were inserted, dropped or replaced are reported. Compression measures each notice and
-decides nothing, since in a short notice chance outweighs it: the bytes that the template saves as a zstandard raw
-dictionary, over those that the template takes by itself.
-
-The templates are a parameter; the default is a set of short standard notices.
+1. Candidate blocks. A notice with at most E edited words keeps one of E + 1 disjoint stretches of its template's words
+   intact, so texts are searched for the templates' stretches, and nothing else is needed to find every notice. Hits of one
+   template that put its beginning at about one place are a candidate; its block is as long as the template, and E more
+   words to either side.
+2. Ranking. Each block is compressed by itself and with the template as zstandard raw dictionary. The bytes saved, doubled,
+   over the block's and the template's own compressed sizes rank a text's candidates: what a template has and the
+   block lacks counts against it, as does what the block has and the template lacks.
+3. Confirmation, from the first in rank on. The template's words are aligned with the block's by least edits
+   (insertions, deletions, replacements). At most the share MAX_EDITS may be edited, none of them a strict word (a number, a
+   name of a licence or of a condition, a negation), and no negation may stand shortly before the notice. A confirmed
+   notice takes its words; candidates further down the ranking may be confirmed in what is left.
+
+Words are runs of characters other than ASCII white space and punctuation, A-Z lower-cased. The templates are a parameter; the default is
+license_texts.
 """
 
 from __future__ import annotations
 
-import difflib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .shared import table
+from .words import ASCII_LOWER, U, Words, chunks, encoded, shingles, slices, words
 
-# fixed values: standard notices by SPDX identifier
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "Apache-2.0-header": [
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    ],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "All-rights-reserved": ["All rights reserved."],
-}
-CUES = r"(?i)licen[cs]|copyright|warrant|permission\s+is|redistribut|rights\s+reserved|creative\s+commons|public\s+domain|spdx|\bcc[ -]by"
 MAX_EDITS = 0.2
 LEVEL = 3
-MARGIN = 40  # characters beyond a template's length and its edits
-
-_WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
-#: words whose change changes the licence: version numbers and the names of conditions
-_STRICT = re.compile(r"(?:v?[0-9]+(?:\.[0-9]+)*|by|nc|sa|nd|by-.*|attribution.*|noncommercial|sharealike|mit|apache|gnu|lesser|affero|mozilla|not)$")
+CONTEXT = 4  # words before a notice that may negate it
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_TABLE = bytes(32 if c in _PUNCTUATION else ASCII_LOWER[c] for c in range(256))
+# fixed values: words whose change changes the licence, and those that deny one
+_NEGATIONS = frozenset(b"no not never longer without isn wasn cannot neither nor unless formerly except".split())
+_NAMES = frozenset(b"by nc sa nd attribution noncommercial sharealike noderivatives mit bsd isc apache gnu gpl lesser affero mozilla eclipse only later".split())
+
+
+def _strict(word: bytes) -> bool:
+    return word in _NAMES or word in _NEGATIONS or word.lstrip(b"v").isdigit()
+
+
+@dataclass
+class Template:
+    name: str
+    words: list[bytes]
+    hashes: np.ndarray
+    size: int  # compressed by itself
+    compressor: object
+
+    @property
+    def edits(self) -> int:
+        return int(MAX_EDITS * len(self.words))
+
+
+def align(want: np.ndarray, have: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """Least edits that turn all of `want` into a stretch of `have`, and the steps (place in want or -1, place in have or -1)."""
+    steps = np.arange(len(have) + 1)
+    table = np.zeros((len(want) + 1, len(have) + 1), np.int32)
+    for i, x in enumerate(want):
+        row = np.append(i + 1, np.minimum(table[i, 1:] + 1, table[i, :-1] + (have != x)))
+        table[i + 1] = np.minimum.accumulate(row - steps) + steps
+    j, i, path = int(np.argmin(table[-1])), len(want), []
+    least = int(table[-1, j])
+    while i:
+        if j and table[i, j] == table[i - 1, j - 1] + (have[j - 1] != want[i - 1]):
+            i, j = i - 1, j - 1
+            path.append((i, j))
+        elif table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            path.append((i, -1))
+        else:
+            j -= 1
+            path.append((-1, j))
+    return least, path[::-1]
 
 
 class Matcher:
-    """Templates as zstandard raw dictionaries and as words."""
+    """Templates as zstandard raw dictionaries, as words, and as the stretches that find them."""
 
     def __init__(self, templates: dict[str, list[str]]):
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        empty = len(self.alone.compress(b""))
-        self.templates = []
+        self.templates: list[Template] = []
+        stretches: dict[int, list[tuple[int, int, int]]] = {}  # by number of words: hash, template, place
         for name, notices in templates.items():
             for notice in notices:
-                raw = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, notice, _WORD.findall(notice.lower()), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), len(self.alone.compress(notice.lower().encode())) - empty))
-
-    def saving(self, block: str, i: int) -> float:
-        """The bytes that template i saves in the block, with single spaces between words, over its own compressed size."""
-        data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
-        return (len(self.alone.compress(data)) - len(self.templates[i][3].compress(data))) / self.templates[i][4]
-
-    def notices(self, text: str) -> list[tuple[int, int, int, int, float, list[str]]]:
-        """Template, start, end, edits, saving, wording of each confirmed notice; those of different templates can overlap."""
-        found, stops = [], [0] * len(self.templates)
-        for cue in re.finditer(CUES, text):
-            for k, t in enumerate(self.templates):
-                if cue.start() < stops[k]:
+                w = words([notice.encode()], _TABLE)
+                n = len(w.hashes)
+                if not n:
                     continue
-                reach = int((1.0 + MAX_EDITS) * len(t[1])) + MARGIN
-                lo, hi = max(stops[k], cue.start() - reach), min(len(text), cue.end() + reach)
-                # a notice beside the cue is noted, and the rest of the window that holds the cue searched on
-                while lo <= cue.start() and cue.end() <= hi and (hit := self.confirm(text[lo:hi], k)):
-                    start, stop, edits, wording = lo + hit[0], lo + hit[1], hit[2], hit[3]
-                    found.append((k, start, stop, edits, self.saving(text[start:stop], k), wording))
-                    if stop <= cue.start():
-                        lo = stops[k] = stop
-                    elif start >= cue.end():
-                        hi = start
-                    else:
-                        stops[k] = stop
-                        break
-        return found
-
-    def confirm(self, block: str, i: int) -> tuple[int, int, int, list[str]] | None:
-        """Start, end, edits and their wording where the block holds template i with few edits, none of them in a strict word."""
-        words = list(_WORD.finditer(block))
-        have, want = [w[0].lower() for w in words], self.templates[i][2]
-        known = set(have)
-        if sum(w not in known for w in want) > MAX_EDITS * len(want):
+                texts = [w.bytes(i) for i in range(n)]
+                raw = b" ".join(texts)
+                held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                t = Template(name, texts, w.hashes, len(self.alone.compress(raw)), zstandard.ZstdCompressor(level=LEVEL, dict_data=held))
+                cuts = np.linspace(0, n, t.edits + 2).astype(int)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    h = shingles(Words(w.buffer, w.starts[a:b], w.ends[a:b], w.hashes[a:b], np.array([0, b - a])), int(b - a))[0][0]
+                    stretches.setdefault(int(b - a), []).append((int(h), len(self.templates), int(a)))
+                self.templates.append(t)
+        self.stretches = {}
+        for n, found in stretches.items():
+            found.sort()
+            self.stretches[n] = tuple(np.array(x, d) for x, d in zip(zip(*found, strict=True), (U, np.int64, np.int64), strict=True))
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every stretch found in the texts of a chunk: the text, the template, and the word where that would begin."""
+        text, which, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (hashes, template, place) in self.stretches.items():
+            h, first = shingles(w, n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            at = np.flatnonzero(hi > lo)
+            each = (hi - lo)[at]
+            entry = np.repeat(lo[at], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            text.append(np.repeat(np.searchsorted(w.first, first[at], "right") - 1, each))
+            which.append(template[entry])
+            begins.append(np.repeat(first[at], each) - place[entry])
+        return np.concatenate(text), np.concatenate(which), np.concatenate(begins)
+
+    def candidates(self, w: Words) -> Iterator[tuple[int, list[tuple[float, int, int, int]]]]:
+        """Each text with candidates, and these by rank: saving, template, first word and end of the block."""
+        text, which, begins = self.hits(w)
+        order = np.lexsort((begins, which, text))
+        text, which, begins = text[order], which[order], begins[order]
+        spare = np.array([t.edits for t in self.templates])[which]
+        apart = np.ones(len(text), bool)
+        apart[1:] = (text[1:] != text[:-1]) | (which[1:] != which[:-1]) | (np.diff(begins) > np.maximum(spare[1:], 1))
+        cuts = np.append(np.flatnonzero(apart), len(text))
+        now: list = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            t = self.templates[which[a]]
+            lo, hi = max(begins[a] - t.edits, w.first[text[a]]), min(begins[b - 1] + len(t.words) + t.edits, w.first[text[a] + 1])
+            now.append((self.saving(w, int(lo), int(hi), int(which[a])), int(which[a]), int(lo), int(hi)))
+            if b == len(text) or text[b] != text[a]:
+                yield int(text[a]), sorted(now, key=lambda x: (-x[0], *x[1:]))
+                now = []
+
+    def saving(self, w: Words, lo: int, hi: int, k: int) -> float:
+        """Twice the bytes that template k saves in words lo to hi - 1, over both compressed sizes."""
+        block = b" ".join(w.bytes(i) for i in range(lo, hi))
+        size = len(self.alone.compress(block))
+        return 2.0 * (size - len(self.templates[k].compressor.compress(block))) / (size + self.templates[k].size)
+
+    def confirmed(self, w: Words, lo: int, hi: int, start: int, k: int) -> tuple[int, int, int, list[str]] | None:
+        """First word, end, edits and wording where words lo to hi - 1 hold template k; start: the text's first word."""
+        t = self.templates[k]
+        edits, path = align(t.hashes, w.hashes[lo:hi])
+        if edits > t.edits:
             return None
-        longest = difflib.SequenceMatcher(None, want, have, autojunk=False).find_longest_match()
-        # words further from the longest match than the template and its edits reach can't belong to the notice
-        spare = int(MAX_EDITS * len(want)) + 1
-        at = max(0, longest.b - longest.a - spare)
-        words = words[at : longest.b - longest.a + len(want) + spare]
-        have = have[at : at + len(words)]
-        steps = difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
-        equal = [s for s in steps if s[0] == "equal"]
-        if not equal:
+        have = lambda j: w.bytes(lo + j)
+        wording = []
+        for i, j in path:
+            a, b = t.words[i] if i >= 0 else b"", have(j) if j >= 0 else b""
+            if a != b:
+                if _strict(a) or _strict(b):
+                    return None
+                wording.append(f"-{a.decode()}+{b.decode('utf-8', 'replace')}")
+        places = [j for _, j in path if j >= 0]
+        if not places:
             return None
-        first, last = equal[0], equal[-1]
-        edits, wording = 0, []
-        for tag, a, b, c, d in steps:
-            # what the block has before and after the notice isn't part of it
-            if tag == "equal" or (tag == "insert" and (d <= first[3] or c >= last[4])):
-                continue
-            if tag == "replace" and d <= first[3]:
-                c = d
-            elif tag == "replace" and c >= last[4]:
-                d = c
-            edits += max(b - a, d - c)
-            wording.append(f"-{' '.join(want[a:b])}+{' '.join(have[c:d])}")
-            if any(_STRICT.match(w) for w in [*want[a:b], *have[c:d]]):
-                return None
-        if edits > MAX_EDITS * len(want):
+        first, end = lo + places[0], lo + places[-1] + 1
+        if any(w.bytes(x) in _NEGATIONS for x in range(max(start, first - CONTEXT), first)):
             return None
-        return words[first[3]].start(), words[last[4] - 1].end(), edits, wording
+        return first, end, edits, wording
+
+    def notices(self, w: Words) -> Iterator[tuple[int, str, int, int, float, int, list[str]]]:
+        """Text, license, first word, end, saving, edits, wording of each notice in the texts of a chunk."""
+        taken = np.zeros(len(w.hashes), bool)
+        for text, ranked in self.candidates(w):
+            for saving, k, lo, hi in ranked:
+                edges = np.flatnonzero(np.diff(taken[lo:hi].astype(np.int8), prepend=1, append=1))
+                free = [(lo + int(a), lo + int(b)) for a, b in edges.reshape(-1, 2)]
+                while free:
+                    a, b = free.pop()
+                    if b > a and (found := self.confirmed(w, a, b, int(w.first[text]), k)):
+                        first, end, edits, wording = found
+                        taken[first:end] = True
+                        yield text, self.templates[k].name, first, end, saving, edits, wording
+                        free += [(a, first), (end, b)]
 
 
 def license_notices(df: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Notices found in df: the id, license, start, end (code points), saving, edits, differences, notice.
 
-    Of confirmed notices that overlap, the one with most words of its template less twice its edits is reported. Null and empty texts have none; repeated rows are all scanned; an empty table
+    Of notices that overlap, the one further up the text's ranking is reported. Null and empty texts have none; repeated rows are all scanned; an empty table
     gives an empty result; other columns aren't read.
     """
-    chosen = templates or TEMPLATES
+    chosen = TEMPLATES if templates is None else templates
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(chosen)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = matcher.notices(text) if text else []
-                taken: list[tuple[int, int]] = []
-                for k, start, stop, edits, saving, wording in sorted(found, key=lambda x: (2 * x[3] - len(matcher.templates[x[0]][2]), x[:3])):
-                    if all(stop <= x or start >= y for x, y in taken):
-                        taken.append((start, stop))
-                        rows.append((i, matcher.templates[k][0], start, stop, saving, edits, "; ".join(wording), text[start:stop]))
+            for at, run in chunks(encoded(batch.column(1))):
+                w = words(run, _TABLE)
+                begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in run])])
+                for text, name, first, end, saving, edits, wording in matcher.notices(w) if len(w.hashes) and matcher.templates else ():
+                    raw, a, b = run[text], int(w.starts[first] - begins[text]), int(w.ends[end - 1] - begins[text])
+                    start, notice = len(raw[:a].decode("utf-8", "surrogatepass")), raw[a:b].decode("utf-8", "surrogatepass")
+                    rows.append((at + text, name, start, start + len(notice), saving, edits, "; ".join(wording), notice))
             c = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(x, t) for x, t in zip(c[1:], kinds, strict=True))], names=[id_col, "license", "start", "end", "saving", "edits", "differences", "notice"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    candidates = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).rlike(CUES))
-    return candidates.mapInArrow(scan, f"`{id_col}` {kind}, license string, start long, end long, saving double, edits long, differences string, notice string")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, f"`{id_col}` {kind}, license string, start long, end long, saving double, edits long, differences string, notice string")
 
 
 def op5_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,70 @@ def test_licenses_inside_prose(spark):
     assert {(r["doc_id"], r["license"]) for r in licenses.license_notices(df).collect()} == want
 
 
+def brute_edits(want, have):
+    """Least edits between all of `want` and a stretch of `have`."""
+    row = [0] * (len(have) + 1)
+    for i, x in enumerate(want, 1):
+        last, row = row, [i]
+        for j, y in enumerate(have, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_license_candidates_and_ranking_by_brute_force(spark):
+    """Edited copies of random templates: every template within its edits is a candidate; the winner is the closest of alike ones."""
+    from tallyloom.llm.words import words
+
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 9))) for _ in range(400)]  # no strict words among them
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base = say(60)
+    templates = {"base": base, "longer": base[:40] + say(12) + base[40:], "short": say(5), "tiny": say(3), "other": say(25)}
+    matcher = licenses.Matcher({k: [" ".join(v)] for k, v in templates.items()})
+    texts, want = [], []
+    for i in range(160):
+        name = rng.choice(list(templates))
+        copy = []
+        for x in templates[name]:
+            u, share = rng.random(), rng.choice([0.0, 0.05, 0.1])
+            copy += [] if u < share / 3 else [x, rng.choice(vocabulary)] if u < 2 * share / 3 else [rng.choice(vocabulary)] if u < share else [x]
+        texts.append([*say(rng.randint(0, 50)), *copy, *say(rng.randint(0, 50))])
+        want.append(name)
+    w = words([" ".join(t).encode() for t in texts], licenses._TABLE)
+    found = {i: [matcher.templates[k].name for _, k, *_ in ranked] for i, ranked in matcher.candidates(w)}
+    for i, t in enumerate(texts):
+        for k, m in enumerate(matcher.templates):
+            least = brute_edits([x.decode() for x in m.words], t)
+            assert licenses.align(m.hashes, w.hashes[w.first[i] : w.first[i + 1]])[0] == least
+            assert least > m.edits or m.name in found[i], (i, m.name, least)
+    got = {}
+    for i, name, *_ in matcher.notices(w):
+        got.setdefault(i, []).append(name)
+    near = [i for i, t in enumerate(texts) if brute_edits(templates[want[i]], t) <= licenses.MAX_EDITS * len(templates[want[i]])]
+    assert len(near) > 120 and all(want[i] in got[i] for i in near)
+    assert not any("base" in got[i] for i in near if want[i] == "longer") and not any("longer" in got[i] for i in near if want[i] == "base")
+
+
+def test_whole_licenses_long_lines_and_denials(spark):
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    t = licenses.TEMPLATES
+    long = prose(560)
+    cases = [
+        (f"{prose(30)} {t['BSD-2-Clause'][0]} {prose(30)}", ["BSD-2-Clause"]), (f"{prose(30)} {t['BSD-3-Clause'][0]} {prose(30)}", ["BSD-3-Clause"]),
+        (f"{t['MIT'][2]}", ["MIT"]), (f"{t['GPL-2.0-or-later'][0]}", ["GPL-2.0-or-later"]), (f"{t['GPL-3.0-or-later'][0]}", ["GPL-3.0-or-later"]), (f"{t['AGPL-3.0-or-later'][0]}", ["AGPL-3.0-or-later"]),
+        ("Not all rights reserved.", []), ("This file is no longer subject to the terms of the Mozilla Public License, v. 2.0.", []), ("This Source Code Form is no longer subject to the terms of the Mozilla Public License, v. 2.0.", []),
+        (f"{prose(300)} {t['ISC'][0]} {prose(900)}".replace("\n", " "), ["ISC"]), ("All rights reserved. " * 3000, ["All-rights-reserved"] * 3000),
+        (f"{prose(20)} {long} {prose(20)}", ["long"]),
+    ]
+    df = spark.createDataFrame([(i, x, "en", "a", 0) for i, (x, _) in enumerate(cases)], SCHEMA)
+    got = {}
+    for r in licenses.license_notices(df, {**t, "long": [long]}).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+        assert cases[r["doc_id"]][0][r["start"] : r["end"]] == r["notice"]
+    assert {i: sorted(got.get(i, [])) for i in range(len(cases))} == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup = set(), 0
