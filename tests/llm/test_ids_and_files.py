@@ -123,8 +123,19 @@ def test_archive(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc.write_archive(pages, path)
     records = warc.read_archive(spark, path)
+    seen = set()
     for r in records.collect():
-        assert bytes(r["record"]) == r["header"].encode() + bytes(r["payload"]) + b"\r\n\r\n"
+        header, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
+        lines = header.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == warc.DATE and fields["WARC-Record-ID"] not in seen
+        seen.add(fields["WARC-Record-ID"])
+        block = rest[: int(fields["Content-Length"])]
+        assert rest == block + b"\r\n\r\n"
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(bytes(r['payload']))}".encode() in http
+        assert payload == (b"" if fields["WARC-Type"] == "revisit" else bytes(r["payload"]))
+        assert (fields.get("WARC-Profile") is not None) == (fields["WARC-Type"] == "revisit")
     got = warc.parse_records(records).collect()
     sha = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == Counter((i, len((h or "").encode()), sha(h)) for i, _, h in rows)
@@ -135,3 +146,38 @@ def test_archive(spark, tmp_path):
     assert {(r["page_id"], r["record_type"]) for r in warc.parse_records(warc.read_archive(spark, f"{path}-large")).collect() if r["record_type"] == "revisit"} == {(7, "revisit")}
     warc.write_archive(pages.limit(0), f"{path}-none")
     assert warc.read_archive(spark, f"{path}-none").count() == 0
+
+
+def test_archive_finds_damage(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "v", "<p>x</p>"), (3, "w", "y" * 100_000)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(pages, path)
+    assert warc.parse_records(warc.read_archive(spark, path)).count() == 3
+
+    def damaged(name, **columns):
+        other = f"file://{tmp_path}/{name}"
+        for t in ("payloads", "records"):
+            df = spark.read.parquet(f"{path}/{t}")
+            df.withColumns({c: F.expr(e) for c, e in columns.items() if c in df.columns}).write.parquet(f"{other}/{t}")
+        return warc.parse_records(warc.read_archive(spark, other))
+
+    for name, change in {
+        "payload": {"payload": "cast(replace(cast(payload as string), 'x', 'z') as binary)"}, "length": {"header": "replace(header, 'Content-Length: ', 'Content-Length: 1')"},
+        "digest": {"header": "regexp_replace(header, 'sha1:.', 'sha1:2')"}, "http": {"http": "replace(http, 'HTTP/1.1', 'HTTX/1.1')"},
+    }.items():
+        with pytest.raises(Exception, match="damaged payload|disagree"):
+            damaged(name, **change).collect()
+
+
+def test_archive_of_the_usual_edges(spark, tmp_path):
+    """Further columns under names that the archive uses, nulls in all columns, a very long payload, repeated rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", "é" * 3_000_000), (None, None, None), (None, None, None), (5, None, ""), (4, "u", "a"), (4, "u", "a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("id", "row", "digest", "payload", "header", "http", "kind", "first_id", "s", "f")})
+    path = f"file://{tmp_path}/edges"
+    warc.write_archive(pages, path)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.parse_records(warc.read_archive(spark, path)).collect())
+    assert got == Counter([(1, 6_000_000, "response", None), (None, 0, "revisit", 5), (None, 0, "revisit", 5), (5, 0, "response", None), (4, 1, "response", None), (4, 1, "revisit", 4)])
