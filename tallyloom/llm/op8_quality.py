@@ -210,7 +210,8 @@ def concentrated(points: DataFrame, model: DataFrame, floors: DataFrame) -> Data
     # of the last bin that is needed, the share that is needed
     part = F.least(F.lit(1.0), (F.col("_wanted") - F.col("_before")) / F.col("_n"))
     inside = placed.where("_before < _wanted").groupBy(*keys).agg(*(F.sum(F.col(c) * part).alias(c) for c in _SUMS))
-    return materialise(factorised(_estimates(inside, CONSISTENCY).join(floors, "_group")).select("_start", "_logdet", *_MODEL), "mcd")
+    was = model.select(*keys, F.col("_logdet").alias("_was"))
+    return materialise(factorised(_estimates(inside, CONSISTENCY).join(floors, "_group").join(was, keys)).select("_start", "_logdet", "_was", *_MODEL), "mcd")
 
 
 def fit(points: DataFrame) -> DataFrame:
@@ -224,7 +225,8 @@ def fit(points: DataFrame) -> DataFrame:
     floors = materialise(floors, "floors")
     spread = lambda k: F.greatest((F.col(f"_q3_{k}") - F.col(f"_q1_{k}")) / 1.349, F.sqrt(f"_f{k}"))
     wide = middle.join(floors.drop(*(f"_typical_{n}" for n in SIZES)), "_group")
-    boxes = wide.select("_group", *(F.col(f"_q2_{k}").alias(f"_m{k}") for k in range(P)), *(spread(k).alias(f"_w{k}") for k in range(P)))
+    # small tables are written before they meet the points: Spark then knows their size, and doesn't deal the points by group
+    boxes = materialise(wide.select("_group", *(F.col(f"_q2_{k}").alias(f"_m{k}") for k in range(P)), *(spread(k).alias(f"_w{k}") for k in range(P))), "boxes")
     by_median = boxes.select("_group", F.lit(1).alias("_start"), *(f"_m{k}" for k in range(P)), *((F.col(f"_w{i}") * F.col(f"_w{i}") if i == j else F.lit(0.0)).alias(f"_s{i}{j}") for i, j in _PAIRS))
     inside = reduce(lambda a, b: a & b, (F.abs(F.col(f"_x{k}") - F.col(f"_m{k}")) <= 3.0 * F.col(f"_w{k}") for k in range(P)))
     either = points.join(boxes, "_group").select("_group", *(f"_x{k}" for k in range(P)), F.explode(F.when(inside, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2)))).alias("_start"))
@@ -235,8 +237,7 @@ def fit(points: DataFrame) -> DataFrame:
     while True:
         after = concentrated(points, model, floors)
         found.append(after)
-        before = model.select("_group", "_start", F.col("_logdet").alias("_was"))
-        model = materialise(after.join(before, ["_group", "_start"]).where(F.col("_logdet") < F.col("_was") - TOLERANCE).drop("_was"), "falling")
+        model = after.where(F.col("_logdet") < F.col("_was") - TOLERANCE).drop("_was")
         if model.isEmpty():
             break
     best = reduce(DataFrame.unionByName, found).groupBy("_group").agg(F.min_by(F.struct("_logdet", "_start", *_MODEL[1:]), F.struct("_logdet", "_start")).alias("b"))
@@ -252,7 +253,7 @@ def _judged(points: DataFrame) -> DataFrame:
     named = materialise(groups(points), "groups")
     narrow = points.where(~F.col("_failed")).select("_lang", "_source", *(f"_x{k}" for k in range(P)), *(f"_v_{n}" for n in SIZES))
     model = fit(materialise(narrow.join(named, ["_lang", "_source"]).drop("_lang", "_source"), "narrow"))
-    judged = points.join(named.join(model, "_group"), ["_lang", "_source"], "left").withColumn("_distance", squared_distance(at_typical_length()))
+    judged = points.join(materialise(named.join(model, "_group"), "models"), ["_lang", "_source"], "left").withColumn("_distance", squared_distance(at_typical_length()))
     return judged.withColumn("_kept", ~F.col("_failed") & ~F.coalesce(F.col("_distance") > LIMIT, F.lit(False)))
 
 
