@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bits import bit_filter, kept, passing
+from .bits import bit_filter, can_hold, kept, passing
 from .shared import materialise, table
 from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, slices, words
 
@@ -108,9 +107,11 @@ def slice_signatures(tokens: np.ndarray, n: int, num: int, den: int, ranges) ->
     low, slices, spare = ranges
     own = int(np.searchsorted(low, n, "right")) - 1
     out = []
-    for k in (own, own - 1):
-        # a smaller partner in the range below looks at this set with that range's slices
-        if k < 0 or not slices[k] or (k < own and (low[own] - 1) * den < num * n):
+    for k in range(own, -1, -1):
+        # a smaller partner in a range below looks at this set with that range's slices
+        if k < own and (low[k + 1] - 1) * den < num * n:
+            break
+        if not slices[k]:
             continue
         m = U(slices[k])
         part = ((tokens >> U(32)) * m) >> U(32)
@@ -132,8 +133,8 @@ def _sets(batch: pa.RecordBatch, column: int, n: int):
         yield at, tokens, cuts
 
 
-def set_table(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, signatures: bool) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (the set's name) and, with signatures, the keys of its upper nodes."""
+def set_table(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 (the set's name) and signatures, the keys of its upper nodes."""
     ranges = size_ranges(num, den)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +145,28 @@ def set_table(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 k1.append(a)
                 k2.append(b)
                 n_tokens.append(np.diff(cuts))
-                if signatures:
-                    keys += [slice_signatures(tokens[x:y], int(y - x), num, den, ranges).view(np.int64) if y > x else np.zeros(0, np.int64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                keys += [slice_signatures(tokens[x:y], int(y - x), num, den, ranges).view(np.int64) if y > x else np.zeros(0, np.int64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            columns = [batch.column(0), cat(n_tokens), cat(k1), cat(k2)]
-            names = ["doc_id", "n_shingles", "k1", "k2"]
-            if signatures:
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, cat(keys)))
-                names.append("signatures")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cat(n_tokens), cat(k1), cat(k2), pa.ListArray.from_arrays(offsets, cat(keys))], names=["doc_id", "n_shingles", "k1", "k2", "signatures"])
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(cut, "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>")
+
+
+def upper_nodes(rows: DataFrame, wanted: Broadcast, sigs: Broadcast | None = None) -> DataFrame:
+    """sig, k1: a row for each upper node that a set_table's rows stand under, of the rows and nodes that the bit arrays let through."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (kept(b, 0, wanted) for b in slices(batches)):
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            sig, k1 = lists.values.to_numpy()[offsets[0] : offsets[-1]], np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
+            if sigs is not None:
+                there = can_hold(sig, sigs.value)
+                sig, k1 = sig[there], k1[there]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(k1, pa.int64())], names=["sig", "k1"])
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long" + (", signatures array<long>" if signatures else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(cut, schema)
+    return rows.select("doc_id", "k1", "signatures").mapInArrow(cut, "sig long, k1 long")
 
 
 def token_table(df: DataFrame, n: int, id_col: str, text_col: str, wanted: Broadcast) -> DataFrame:
@@ -357,6 +367,20 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct(), "components")
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Adds blk, the block of each member (sig, comp, node) in its upper node: of about BLOCK members.
+
+    A component of BLOCK members or more under the node has blocks of its own, which no block pair need compare with each
+    other; smaller components share blocks. Counts are summed up before the shuffle, and nothing orders a node's members.
+    """
+    per = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
+    small = per.where(F.col("n_comp") < BLOCK).groupBy("sig").agg(F.sum("n_comp").alias("n_small"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK)
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("node"), parts("n_comp")))
+    shared = F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("comp"), parts("n_small")))
+    return members.join(per, ["sig", "comp"]).join(small, "sig", "left").withColumn("blk", F.when(F.col("n_comp") >= BLOCK, own).otherwise(shared)).drop("n_comp", "n_small")
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -377,20 +401,13 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     aren't read.
     """
     num, den = similarity
-    rows = materialise(set_table(df, n, num, den, id_col, text_col, False), "sets")
+    rows = materialise(set_table(df, n, num, den, id_col, text_col), "sets")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"))
 
-    # upper nodes with two classes or more
-    keys = set_table(df.where(F.col(id_col).isNotNull()), n, num, den, id_col, text_col, True).select("k1", F.explode("signatures").alias("sig"))
-    under = Window.partitionBy("sig").orderBy("k1")
-    held = (
-        keys.repartition("sig").distinct()
-        .withColumn("pivot", F.first("k1").over(under.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("more", F.lead("k1").over(under).isNotNull())
-        .where((F.col("pivot") != F.col("k1")) | F.col("more"))
-        .select("sig", "k1", "pivot")
-    )
-    held = materialise(held, "nodes")
+    # upper nodes with two classes or more, each with its smallest class; one row of a class stands for it
+    first_rows = bit_filter(classes, "node")
+    pivots = materialise(upper_nodes(rows, first_rows).groupBy("sig").agg(F.min("k1").alias("pivot"), F.max("k1").alias("last")).where("pivot < last").select("sig", "pivot"), "pivots")
+    held = materialise(upper_nodes(rows, first_rows, bit_filter(pivots, "sig")).join(pivots, "sig").distinct().select("sig", "k1", "pivot"), "nodes")
 
     # token sets and bitmaps of the classes under them; equal first halves of names only add candidates
     names = materialise(classes.join(held.select("k1").distinct(), "k1").select("k1", "node"), "names")
@@ -409,14 +426,13 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     # second pass: below nodes whose other members still are in several components
     labelled = materialise(held.where("k1 <> pivot").join(names, "k1").join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "members")
     mixed = labelled.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "n")
-    order = Window.partitionBy("sig").orderBy("comp", "node")
-    members = materialise(labelled.join(mixed, "sig").withColumn("blk", ((F.row_number().over(order) - 1) / BLOCK).cast("int")), "mixed")
+    members = materialise(labelled.join(mixed, "sig"), "mixed")
     # a node of one leaf: its few pairs are what a traversal would come to
     leaf = members.where(F.col("n") <= FAN_OUT)
     x, y = leaf.alias("x"), leaf.alias("y")
     few = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     light = sets.select("node", "n_shingles", "bitmap")
-    deep = members.where(F.col("n") > FAN_OUT)
+    deep = materialise(in_blocks(members.where(F.col("n") > FAN_OUT)), "blocks")
     blocks = deep.join(light.select("node", "n_shingles"), "node").groupBy("sig", "blk").agg(F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, F.col("x.sig") == F.col("y.sig")).where(
@@ -436,7 +452,11 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
 
 
 def keep_one_of_each(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of df that have the smallest id of their class, with their columns as they are; rows without an id stay."""
+    """The rows of df that have the smallest id of their class, with their columns as they are.
+
+    Rows without an id stay, and so do those without a word, which are copies of nothing. Rows that share an id are one document:
+    all of them stay if that id does. An empty table gives an empty one.
+    """
     keep = materialise(similar_groups(df, n, similarity).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
     return df.join(keep, df["doc_id"] == keep["_gone"], "left_anti")
 

@@ -56,18 +56,35 @@ def test_large_group_of_near_copies_and_near_misses(spark, monkeypatch):
     assert got == brute_groups(rows, 4, 85, 100)
 
 
-def test_slices_always_meet():
+@pytest.mark.parametrize("num", [85, 60])
+def test_slices_always_meet(num):
     """Sets at the threshold share an upper node, whatever their sizes."""
     rng = np.random.default_rng(0)
-    ranges = jaccard.size_ranges(85, 100)
-    for _ in range(300):
-        a = np.unique(rng.integers(0, 2**64, rng.integers(2, 400), dtype=np.uint64))
-        common = a[rng.random(len(a)) < rng.choice([0.9, 0.95, 1.0])]
-        b = np.unique(np.concatenate([common, rng.integers(0, 2**64, rng.integers(0, 1 + len(a) // 8), dtype=np.uint64)]))
+    ranges = jaccard.size_ranges(num, 100)
+    met = 0
+    for k in range(300):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(2, 400) if k else 165, dtype=np.uint64))
+        common = a[rng.random(len(a)) < rng.choice([0.7, 0.9, 0.95, 1.0])] if k else a[:100]  # 100 of 165 tokens: two ranges apart
+        b = np.unique(np.concatenate([common, rng.integers(0, 2**64, rng.integers(0, 1 + len(a) // 8) if k else 0, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            x, y = (jaccard.slice_signatures(s, len(s), 85, 100, ranges) for s in (a, b))
+        if len(b) and 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            x, y = (jaccard.slice_signatures(s, len(s), num, 100, ranges) for s in (a, b))
             assert len(np.intersect1d(x, y)), (len(a), len(b), both)
+            met += 1
+    assert met > 30
+
+
+def test_blocks_of_a_hot_node(spark):
+    """A large component has blocks of its own, small ones share, and no block is much larger than asked for."""
+    from collections import Counter
+
+    rows = [(1, 5 if i < 5000 else 10_000 + i // 3, i) for i in range(9000)] + [(2, 7, i) for i in range(20)]
+    got = jaccard.in_blocks(spark.createDataFrame(rows, "sig long, comp long, node long")).collect()
+    assert len(got) == len(rows)
+    sizes = Counter((r["sig"], r["blk"]) for r in got)
+    assert max(sizes.values()) <= 1.5 * jaccard.BLOCK and len(sizes) <= 12
+    big = {r["blk"] for r in got if r["comp"] == 5}
+    assert len(big) == 5 and not big & {r["blk"] for r in got if r["comp"] != 5}
 
 
 def test_tree_bounds_lose_no_link():
