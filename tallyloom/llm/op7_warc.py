@@ -79,10 +79,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     kind = F.when((F.col("row") == F.col("first_row")) | (F.col("payload_bytes") < min_revisit_bytes), "response").otherwise("revisit")
     records = rows.join(firsts, "digest").withColumn("http", _http_header()).withColumn("header", _header(kind, date))
     records.select("id", "digest", kind.alias("kind"), "header", "http").write.parquet(f"{path}/records")
-    stored, f = pages.select(*key, payload.alias("payload")).alias("s"), firsts.alias("f")
-    at = (F.col("s.digest") == F.col("f.digest")) & F.col("s.id").eqNullSafe(F.col("f.first_id")) & F.col("s.url").eqNullSafe(F.col("f.first_url"))
-    # rows that agree in id and url as well are equal
-    stored.join(f, at, "left_semi").groupBy("digest", "id", "url").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # the join's keys are the aggregation's, so payloads are dealt out once; rows that agree in id and url as well are equal
+    who = lambda a, b: F.to_json(F.struct(F.col(a).alias("id"), F.col(b).alias("url"))).alias("who")
+    stored = pages.select(*key, payload.alias("payload")).select("digest", who("id", "url"), "payload")
+    wanted = firsts.select("digest", who("first_id", "first_url"))
+    stored.join(wanted, ["digest", "who"], "left_semi").groupBy("digest", "who").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
