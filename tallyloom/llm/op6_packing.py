@@ -4,7 +4,7 @@
 2. The histogram of piece lengths has at most `capacity` rows whatever the corpus. Best-fit decreasing runs over its
    counts on the driver: sequences with the same free space are one entry of the plan, and a run of equal pieces goes
    to the fullest sequences that still take it. The plan is a list of runs (length, first rank, sequences, pieces in
-   each, first sequence, first offset), bounded by the capacity and not by the corpus.
+   each, first sequence, first offset); it follows the lengths that occur, not the number of documents.
 3. Pieces get their rank within their length (a global row number in order of length, less the number of pieces of
    other lengths before it, so that no length is gathered in one task) and join the plan on length and rank.
 """
@@ -24,6 +24,7 @@ from .shared import materialise, table, with_row_number
 from .words import ASCII_LOWER, U, chunks, encoded, same_words, slices, words
 
 CACHE_WORDS = 600_000
+MAX_BROADCAST_RUNS = 200_000  # 48 bytes each
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAN_SCHEMA = "length long, first_rank long, sequences long, each long, first_sequence long, first_offset long"
 
@@ -176,7 +177,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = with_row_number(kept, ["length", "doc_id", "piece"], "rank")
     inside = (F.col("p.length") == F.col("r.length")) & (F.col("p.rank") >= F.col("r.first_rank")) & (F.col("p.rank") < F.col("r.first_rank") + F.col("r.sequences") * F.col("r.each"))
     nth = F.col("p.rank") - F.col("r.first_rank")
-    return ranked.alias("p").join(F.broadcast(runs).alias("r"), inside).select(  # the plan is bounded by the capacity
+    # a plan has a few runs for each length; a longer one than that is joined without the hint
+    side = F.broadcast(runs) if len(plan) <= MAX_BROADCAST_RUNS else runs
+    return ranked.alias("p").join(side.alias("r"), inside).select(
         "p.*",
         (F.col("r.first_sequence") + F.expr("(p.rank - r.first_rank) div r.each")).alias("sequence_id"),
         (F.col("r.first_offset") + (nth % F.col("r.each")) * F.col("r.length")).alias("offset"),
