@@ -6,6 +6,7 @@ Every verb reads a stored matrix (index writes it) and writes a table, FASTA or
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,17 @@ def _write(m: FeatureMatrix, extra: list[str], args: argparse.Namespace) -> None
     if args.format == "bin":
         m.df.write.parquet(args.out)
     elif args.format == "fa":
-        sources.write_fasta(m.df, args.out, "contig" if args.verb == "merge" else "feature", "score" if "score" in extra else None)
+        sources.write_fasta(m.df, args.out, "feature", "score" if "score" in extra else None)
     else:
         wide(m, args.counts == "int", *extra).write.option("sep", "\t").option("header", True).csv(args.out)
 
 
+def _contig_columns(m: FeatureMatrix, df: DataFrame, has_value: bool) -> tuple[FeatureMatrix, list]:
+    """A matrix of contigs (column feature) to be written under the headings contig, nb-merged-kmer, rep-value and the k-mers' own."""
+    value = [F.col("rep_value").alias("rep-value")] if has_value else []
+    return replace(m, df=df, feature_name="contig"), [F.col("nb_merged").alias("nb-merged-kmer"), *value, F.col("rep").alias(m.feature_name)]
+
+
 def _selection(spark: SparkSession, text: str | None, default: str) -> tuple[DataFrame | None, str]:
     if not text:
         return None, default
@@ -87,9 +94,10 @@ def _selection(spark: SparkSession, text: str | None, default: str) -> tuple[Dat
 
 
 def _restricted(m: FeatureMatrix, selection: DataFrame, how: str) -> FeatureMatrix:
-    """The matrix of a selection: its features, or its contigs with counts of their members."""
+    """The matrix of a selection: its features, or its contigs with counts of their members, and what else is known of them."""
     if "members" in selection.columns:
-        return m.with_df(merge.member_counts(selection, m, how).select(F.col("contig").alias("feature"), "counts"))
+        contigs = selection if "contig" in selection.columns else selection.withColumnRenamed("feature", "contig")
+        return m.with_df(merge.member_counts(contigs, m, how).withColumnRenamed("contig", "feature"))
     return m.with_df(m.df.join(selection.select("feature"), "feature", "left_semi"))
 
 
@@ -118,19 +126,33 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         method, _, limit = args.intervention.partition(":")
         chosen, mode = _selection(spark, args.selection, "min")
         value = F.col("score") if chosen is not None and "score" in chosen.columns else F.lit(0.0)
-        values = None if chosen is None else chosen.select("feature", value.alias("value"))
-        contigs = merge.merge(m, values, int(longest or 0) or None, int(shortest or 0) or None, (method, float(limit or 0)), mode, args.min_members)
+        scored = chosen is not None and "score" in chosen.columns
+        if args.format == "bin" and scored:
+            raise SystemExit("a bin selection can't be written from scored input: merge first, then score")
+        values = None if chosen is None else chosen.select("feature", value.alias("value"), *(["members"] if "members" in chosen.columns else []))
+        contigs = merge.merge(m, values, int(longest or 0) or None, int(shortest or 0) or None, (method, float(limit or 0)), mode)
+        enough = F.col("nb_merged") >= args.min_members
         if args.format == "bin":
-            contigs.write.parquet(args.out)
-            return
-        counted = merge.member_counts(contigs, m, args.aggregate).withColumnRenamed("contig", "feature")
-        _write(m.with_df(counted), ["nb_merged", "rep"], args)
+            contigs.where(enough).write.parquet(args.out)
+        elif args.format == "fa":
+            # numbers count the contigs that are left out, too
+            numbered = sources.in_input_order(contigs.select(F.col("rep").alias("feature"), "contig", "nb_merged"))
+            sources.write_fasta(numbered.where(enough).select("number", F.col("contig").alias("feature")), args.out, "ctg")
+        else:
+            counted = merge.member_counts(contigs.where(enough), m, args.aggregate).withColumnRenamed("contig", "feature")
+            out, extra = _contig_columns(m, counted, scored)
+            _write(out, extra, args)
     elif args.verb in ("score", "rank"):
         chosen, how = _selection(spark, args.selection, "rep")
         m = m if chosen is None else _restricted(m, chosen, how)
         by, _, folds = args.by.partition(":")
         needs = {"labels": sources.label_design(spark, args.design, m.samples)} if args.design and by not in ("pearson", "spearman") else {"target": sources.continuous_design(spark, args.design, m.samples)} if args.design else {}
-        _write(m.with_df(score.select_top(score.score(m, by, folds=int(folds or 1), **needs), by, args.top)), ["score"], args)
+        best = score.select_top(score.score(m, by, folds=int(folds or 1), **needs), by, args.top)
+        if "rep" in best.columns and args.format == "tab":
+            out, extra = _contig_columns(m, best, False)
+            _write(out, [*extra, "score"], args)
+        else:
+            _write(m.with_df(best), ["score"], args)
     else:
         found = mask.query(m, sources.read_fasta(spark, args.fasta), args.how, args.with_absent)
         _write(m.with_df(found.select(F.col("name").alias("feature"), "counts")), [], args)

@@ -1,12 +1,14 @@
-"""Sequences over ACGT as Column expressions."""
+"""Sequences over ACGT: Column expressions, and windows as two-bit codes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 256
-
 
 def revcomp(s: Column) -> Column:
     """Reverse complement; anything but ACGT becomes N."""
@@ -31,21 +33,68 @@ def encode(s: Column, k: int) -> Column:
     """Two bits per base, the first base highest; k up to 31 fits a signed long."""
     if not 0 < k <= 31:
         raise ValueError("k must lie between 1 and 31")
-    return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: a * 4 + (F.position(c, F.lit("ACGT")) - 1).cast("long"))
+    return F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("long")
 
 
 def decode(code: Column, k: int) -> Column:
-    return F.concat(*(F.substring(F.lit("ACGT"), (F.shiftright(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k)))
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def windows(df: DataFrame, seq: str, k: int, name: str = "kmer") -> DataFrame:
-    """One row for each window of k bases of column `seq` (which is dropped), repeats kept; windows with other letters go.
+def _codes(bases: np.ndarray, k: int) -> np.ndarray:
+    """Codes of all windows of k bases (0 to 3), by doubling: windows of 2 n bases from two of n."""
+    done, width = np.zeros(len(bases) - k + 1, np.int64), 0
+    part, size = bases.astype(np.int64), 1
+    while True:
+        if k & size:
+            done = (done << (2 * size)) | part[width : width + len(done)]
+            width += size
+        if 2 * size > k:
+            return done
+        part, size = (part[:-size] << (2 * size)) | part[size:], 2 * size
+
+
+_BASE = np.full(256, 4, np.uint8)
+_BASE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
+CHUNK_BASES = 1 << 20
+
 
-    The sequence is split at other letters, and long stretches are cut into overlapping chunks, since substring walks a
-    string from its start.
+def window_codes(df: DataFrame, seq: str, k: int, canonical: bool, name: str = "code") -> DataFrame:
+    """One row for each window of k bases (k up to 31) of column `seq`, which gives way to the window's code; repeats kept.
+
+    Windows with letters other than ACGT go; canonical: the smaller code of a window and its reverse complement. The
+    windows of many sequences are coded at once in Arrow tasks, in pieces of about CHUNK_BASES.
     """
-    cut = df.withColumn("_run", F.explode(F.filter(F.split(F.col(seq), "[^ACGT]+"), lambda s: F.length(s) >= k))).drop(seq)
-    starts = F.sequence(F.lit(0), F.floor((F.length("_run") - k) / CHUNK).cast("int"))
-    cut = cut.withColumn("_chunk", F.explode(F.transform(starts, lambda c: F.substring(F.col("_run"), c * CHUNK + 1, F.lit(CHUNK + k - 1))))).drop("_run")
-    inner = F.transform(F.sequence(F.lit(1), F.length("_chunk") - (k - 1)), lambda i: F.substring(F.col("_chunk"), i, F.lit(k)))
-    return cut.withColumn(name, F.explode(inner)).drop("_chunk")
+    if not 0 < k <= 31:
+        raise ValueError("k must lie between 1 and 31")
+    keep = [c for c in df.columns if c != seq]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() if t else b"" for t in batch.column(len(keep)).to_pylist()]
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BASES):
+                    size += len(texts[end]) + 1
+                    end += 1
+                b = _BASE[np.frombuffer(b" ".join(texts[at:end]) + b" ", np.uint8)]
+                bad = np.concatenate([[0], np.cumsum(b > 3)])
+                starts = np.flatnonzero(bad[k:] == bad[:-k]) if len(b) >= k else np.zeros(0, np.int64)
+                codes = np.zeros(0, np.int64)
+                if len(starts):
+                    codes = _codes(b & 3, k)[starts]
+                    if canonical:
+                        # complements in reversed order: a window's reverse complement begins where it ends
+                        codes = np.minimum(codes, _codes((3 - (b & 3))[::-1], k)[::-1][starts])
+                offsets = np.cumsum([len(t) + 1 for t in texts[at:end]])
+                rows = pa.array(at + np.searchsorted(offsets, starts, "right"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keep))), pa.array(codes)], names=[*keep, name])
+                at = end
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{name}` long"]
+    return df.select(*keep, seq).mapInArrow(cut, ", ".join(kinds))
+
+
+def windows(df: DataFrame, seq: str, k: int, name: str = "kmer") -> DataFrame:
+    """window_codes written out as sequences, in the orientation in which they stand."""
+    return window_codes(df, seq, k, False, "_code").withColumn(name, decode(F.col("_code"), k)).drop("_code")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..matrix import FeatureMatrix
+from ..storage import materialise
 
 
-def kmers(sequences: DataFrame, k: int, stranded: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All k-mers of column seq (canonical if unstranded), repeats kept, with the columns named in `keep`."""
-    clean = sequences.select(*keep, F.upper("seq").alias("seq"))
-    return seq.windows(clean, "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
+def kmer_codes(sequences: DataFrame, k: int, stranded: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Codes of all k-mers of column seq (canonical if unstranded), repeats kept, with the columns named in `keep`."""
+    return seq.window_codes(sequences.select(*keep, "seq"), "seq", k, not stranded)
 
 
 def mask(m: FeatureMatrix, select: DataFrame | None = None, suppress: DataFrame | None = None) -> FeatureMatrix:
@@ -26,7 +26,7 @@ def mask(m: FeatureMatrix, select: DataFrame | None = None, suppress: DataFrame
     for sequences, how in ((select, "left_semi"), (suppress, "left_anti")):
         if sequences is None:
             continue
-        wanted = kmers(sequences, m.k, m.stranded).distinct()
+        wanted = kmer_codes(sequences, m.k, m.stranded).distinct().select(seq.decode(F.col("code"), m.k).alias("feature"))
         if how == "left_semi" and wanted.isEmpty():
             raise ValueError("no k-mers to select")
         df = df.join(wanted, "feature", how)
@@ -34,17 +34,18 @@ def mask(m: FeatureMatrix, select: DataFrame | None = None, suppress: DataFrame
 
 
 def query(m: FeatureMatrix, sequences: DataFrame, how: str = "mean", with_absent: bool = False, key: str = "name") -> DataFrame:
-    """Counts of sequences: for each, the mean or median over its k-mers that the matrix has, repeats counted.
+    """Counts of sequence records: for each, the mean or median over its k-mers that the matrix has, repeats counted.
 
-    Returns key, n_hits, counts. Sequences without a hit are left out, or have zeros with with_absent. Only the sequences'
-    k-mers meet the matrix; the cells of each are aggregated before the shuffle for means.
+    Returns key, n_hits, counts, a row for each record: records of one name are told apart. Those without a hit are left
+    out, or have zeros with with_absent. Only the records' k-mers meet the matrix; their cells are aggregated
+    before the shuffle for means.
     """
     if how not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {how!r}")
-    hits = kmers(sequences, m.k, m.stranded, (key,)).join(m.df, "feature")
-    cells = hits.select(key, F.posexplode("counts").alias("i", "x")).groupBy(key, "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"), F.count(F.lit(1)).alias("n"))
-    vectors = cells.groupBy(key).agg(F.max("n").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
-    if not with_absent:
-        return vectors
+    records = materialise(sequences.select(key, "seq").withColumn("_record", F.monotonically_increasing_id()), "records")
+    hits = kmer_codes(records, m.k, m.stranded, ("_record",)).withColumn("feature", seq.decode(F.col("code"), m.k)).drop("code").join(m.df.select("feature", "counts"), "feature")
+    cells = hits.select("_record", F.posexplode("counts").alias("i", "x")).groupBy("_record", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"), F.count(F.lit(1)).alias("n"))
+    vectors = cells.groupBy("_record").agg(F.max("n").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
+    found = records.select("_record", key).join(vectors, "_record", "left" if with_absent else "inner")
     zeros = F.array_repeat(F.lit(0.0), len(m.samples))
-    return sequences.select(key).join(vectors, key, "left").select(key, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("counts", zeros).alias("counts"))
+    return found.select(key, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("counts", zeros).alias("counts"))

@@ -14,7 +14,7 @@ is written so that its representative reads forward.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq, vec
@@ -30,7 +30,12 @@ def _store(df: DataFrame) -> DataFrame:
 
 
 def seeds(m: FeatureMatrix, values: DataFrame | None = None) -> DataFrame:
-    """Contigs of one k-mer each: id, seq, rep, rep_value, members; values: (feature, value) to start from, else all with 0."""
+    """Contigs of one k-mer each: id, seq, rep, rep_value, members; values: (feature, value) to start from, else all with 0.
+
+    values of contigs that are already merged raise: a contig is no k-mer.
+    """
+    if values is not None and "members" in values.columns and not values.where(F.size("members") > 1).isEmpty():
+        raise ValueError("contigs of several k-mers can't be merged again")
     df = m.df.select("feature") if values is None else values.join(m.df.select("feature"), "feature", "left_semi")
     value = F.lit(0.0) if values is None else F.col("value").cast("double")
     return df.select(F.col("feature").alias("id"), F.col("feature").alias("seq"), F.col("feature").alias("rep"), value.alias("rep_value"), F.array("feature").alias("members"))
@@ -48,7 +53,7 @@ def joints(contigs: DataFrame, overlap: int, stranded: bool) -> DataFrame:
     side = lambda end, mer, is_pre: F.struct(F.col(end).alias("end"), F.col(mer).alias("mer"), F.lit(is_pre).alias("is_pre"))
     each = ends.select("id", F.explode(F.array(side("pre", "head", True), side("suf", "rear", False))).alias("e")).select("id", "e.*")
     rc = F.lit(False) if stranded else seq.flip(F.col("end")) < F.col("end")
-    each = each.withColumn("knot", seq.oriented(F.col("end"), stranded)).withColumn("rc", rc)
+    each = each.withColumn("knot", seq.encode(seq.oriented(F.col("end"), stranded), overlap)).withColumn("rc", rc)
     if not stranded:
         each = each.where(F.col("end") != seq.flip(F.col("end")))
     # a prefix read forward follows the knot, a suffix leads to it; read backward they change places
@@ -67,53 +72,61 @@ def agreeing(edges: DataFrame, m: FeatureMatrix, method: str | None, threshold:
     return both.withColumn("distance", vec.DISTANCES[method](F.col("pred_counts"), F.col("succ_counts"))).where(F.col("distance") < threshold).drop("pred_counts", "succ_counts", "distance")
 
 
+def _node(mer: str, fwd) -> Column:
+    """A contig in one reading direction, as a long: twice its representative's code, and 1 if read forward."""
+    return seq.encode(F.col(mer), 31) * 2 + F.when(fwd, 1).otherwise(0)
+
+
 def _ranked(edges: DataFrame, stranded: bool) -> DataFrame:
-    """For each contig of a path, in both reading directions if unstranded: id, fwd, path, rank (from the path's end)."""
-    arcs = edges.select(F.struct(F.col("pred").alias("id"), F.col("pred_fwd").alias("fwd")).alias("a"), F.struct(F.col("succ").alias("id"), F.col("succ_fwd").alias("fwd")).alias("b"))
+    """For each contig of a path, in both reading directions if unstranded: node, path (its last node), rank (from the path's end)."""
+    arcs = edges.select(_node("pred", F.col("pred_fwd")).alias("a"), _node("succ", F.col("succ_fwd")).alias("b"))
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(1))
     if not stranded:
-        arcs = arcs.union(edges.select(F.struct(F.col("succ").alias("id"), (~F.col("succ_fwd")).alias("fwd")).alias("a"), F.struct(F.col("pred").alias("id"), (~F.col("pred_fwd")).alias("fwd")).alias("b")))
+        arcs = arcs.union(arcs.select(turned("b"), turned("a")))
     arcs = _store(arcs)
     for _ in range(2):  # a second time where cycles had to be cut
-        now = arcs.select("a", "b", F.lit(1).cast("long").alias("d"), F.least(F.col("a.id"), F.col("b.id")).alias("low"))
         ends = arcs.select(F.col("b").alias("a")).join(arcs.select("a"), "a", "left_anti")
-        now = _store(now.union(ends.select("a", F.col("a").alias("b"), F.lit(0).cast("long"), F.col("a.id"))))
+        start = arcs.select("a", "b", F.lit(1).cast("long").alias("d"), F.least("a", "b").alias("low"), F.lit(False).alias("done"))
+        now = _store(start.union(ends.select("a", F.col("a").alias("b"), F.lit(0).cast("long"), F.col("a"), F.lit(True))))
         span, n = 1, now.count()
         while True:
-            step = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("e"), F.col("low").alias("low2"))
-            now = _store(now.join(step, "b").select("a", F.col("c").alias("b"), (F.col("d") + F.col("e")).alias("d"), F.least("low", "low2").alias("low")))
+            step = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("e"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+            moved = now.where("not done").join(step, "b").select("a", F.col("c").alias("b"), (F.col("d") + F.col("e")).alias("d"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+            now = _store(now.where("done").union(moved))
             span *= 2
-            loose = now.join(ends, now["b"] == ends["a"], "left_anti")
+            loose = now.where("not done")
             if loose.isEmpty():
-                return now.select("a.id", "a.fwd", F.col("b").alias("path"), F.col("d").alias("rank"))
+                return now.select(F.col("a").alias("node"), F.col("b").alias("path"), F.col("d").alias("rank"))
             if span > n:
                 break
-        # what still moves lies on cycles, whose smallest contig all of their nodes now know: no arc leads into it
-        cut = loose.select("a", "low").where(F.col("a.id") == F.col("low")).select(F.col("a").alias("b"))
-        keep = cut.where(F.col("b.fwd")) if stranded else cut
-        back = arcs.join(keep.where(F.col("b.fwd")), "b", "left_anti")
-        # the mirror image of that arc starts at the same contig, read backward
-        arcs = _store(back.join(keep.where(~F.col("b.fwd")).select(F.col("b").alias("a")), "a", "left_anti"))
+        # what still moves lies on cycles, whose smallest node all of their nodes now know: no arc leads into it. In unstranded data
+        # a cycle and its mirror image start at the same contig; the mirror loses the arc that leaves that contig's other reading
+        cut = loose.where(F.shiftright("a", 1) == F.shiftright("low", 1)).select("a")
+        forward = cut.where("a & 1 = 1")
+        arcs = _store(arcs.join(forward.select(F.col("a").alias("b")), "b", "left_anti").join(cut.where("a & 1 = 0"), "a", "left_anti"))
     raise AssertionError("cycles remain after their cut")
 
 
 def contract(contigs: DataFrame, edges: DataFrame, overlap: int, stranded: bool, rep_mode: str) -> DataFrame:
-    """The contigs with every path of joints made one."""
-    ranked = _store(_ranked(edges, stranded))
-    parts = ranked.join(contigs, "id")
+    """The contigs with every path of joints made one. Sequences and members move once, for the reading direction that is written."""
+    ranked = _store(_ranked(edges, stranded).withColumn("code", F.shiftright("node", 1)).withColumn("fwd", F.col("node").bitwiseAND(F.lit(1)) == 1))
+    coded = contigs.withColumn("code", seq.encode(F.col("id"), 31))
+    value = REP_MODES[rep_mode](F.col("rep_value"))
+    best = F.min(F.struct(value.alias("v"), *([-F.col("rank")] if stranded else []), F.col("rep").alias("r"), F.col("rep_value").alias("rv"), "fwd"))
+    chosen = ranked.join(coded.select("code", "rep", "rep_value"), "code").groupBy("path").agg(best.alias("best")).where("best.fwd")
+    parts = ranked.join(chosen, "path").join(coded.select("code", "seq", "members"), "code")
     turned = parts.select(
-        "path", F.col("rank"), "fwd", "rep", "rep_value",
+        "path", "best", (-F.col("rank")).alias("at"),
         F.when(F.col("fwd"), F.col("seq")).otherwise(seq.flip(F.col("seq"))).alias("seq"),
         F.when(F.col("fwd"), F.col("members")).otherwise(F.reverse("members")).alias("members"),
     )
-    value = REP_MODES[rep_mode](F.col("rep_value"))
-    best = F.min(F.struct(value.alias("v"), *([-F.col("rank")] if stranded else []), F.col("rep").alias("r"), F.col("rep_value").alias("rv"), "fwd"))
-    joined = turned.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("at"), "seq", "members"))).alias("p"), best.alias("best"))
-    whole = joined.where("best.fwd").select(
+    joined = turned.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "members"))).alias("p"), F.first("best").alias("best"))
+    whole = joined.select(
         F.col("best.r").alias("id"),
         F.concat(F.get("p", F.lit(0))["seq"], F.array_join(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda x: F.substring(x["seq"], F.lit(overlap + 1), F.length(x["seq"]))), "")).alias("seq"),
         F.col("best.r").alias("rep"), F.col("best.rv").alias("rep_value"), F.flatten(F.transform("p", lambda x: x["members"])).alias("members"),
     )
-    rest = contigs.join(ranked.select("id").distinct(), "id", "left_anti")
+    rest = coded.join(ranked.select("code").distinct(), "code", "left_anti")
     return rest.select("id", "seq", "rep", "rep_value", "members").union(whole)
 
 
@@ -144,13 +157,13 @@ def merge(
 
 
 def member_counts(contigs: DataFrame, m: FeatureMatrix, how: str = "rep") -> DataFrame:
-    """contig, nb_merged, rep, counts: of the representative k-mer, or the mean or median of each sample over the members."""
-    head = contigs.select("contig", "nb_merged", "rep")
+    """contig, nb_merged, rep, rep_value, members, counts: of the representative k-mer, or the mean or median of each sample over the members."""
+    head = contigs.select("contig", "nb_merged", "rep", "rep_value", "members")
     if how == "rep":
-        return head.join(m.df.select(F.col("feature").alias("rep"), "counts"), "rep").select("contig", "nb_merged", "rep", "counts")
+        return head.join(m.df.select(F.col("feature").alias("rep"), "counts"), "rep").select(*head.columns, "counts")
     if how not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {how!r}")
-    cells = contigs.select("contig", F.explode("members").alias("feature")).join(m.df, "feature").select("contig", F.posexplode("counts").alias("i", "x"))
-    v = cells.groupBy("contig", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"))
-    vectors = v.groupBy("contig").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
-    return head.join(vectors, "contig").select("contig", "nb_merged", "rep", "counts")
+    cells = contigs.select("rep", F.explode("members").alias("feature")).join(m.df.select("feature", "counts"), "feature").select("rep", F.posexplode("counts").alias("i", "x"))
+    v = cells.groupBy("rep", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"))
+    vectors = v.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
+    return head.join(vectors, "rep").select(*head.columns, "counts")

@@ -10,7 +10,7 @@ from ..functions import vec
 from ..functions.classify import accuracy_column
 from ..functions.student_t import student_t_p
 from ..matrix import FeatureMatrix
-from ..storage import materialise, running_sums
+from ..storage import numbered, ranges
 
 #: sort orders: "abs" largest absolute value first, "desc" and "asc"
 ORDERS = {"ttest.padj": "asc", "ttest.pi": "desc", "snr": "abs", "dids": "desc", "lr": "desc", "bayes": "desc", "svm": "desc", "pearson": "abs", "spearman": "abs", "sd": "desc", "rsd1": "desc", "rsd2": "desc", "rsd3": "desc", "entropy": "asc", "entropy_exact": "asc"}
@@ -93,8 +93,7 @@ def score(m: FeatureMatrix, by: str, labels: list[int] | None = None, target: li
         tested = m.df.withColumn("_w", welch(c, labels)).withColumn("p", F.when(F.col("_w.t").isNull(), F.lit(1.0)).otherwise(student_t_p(F.col("_w.t"), F.col("_w.df"))))
         if by == "ttest.pi":
             return tested.withColumn("score", -F.log10(F.greatest("p", F.lit(1e-300))) * F.abs(F.col("_w.diff"))).drop("_w", "p")
-        # read twice: by the correction and for the result
-        return adjust(materialise(tested.drop("_w"), "tested"), "p").withColumnRenamed("p_adjusted", "score").drop("p")
+        return adjust(tested.drop("_w"), "p").withColumnRenamed("p_adjusted", "score").drop("p")
     plain = {
         "snr": lambda: snr(c, labels), "dids": lambda: dids(c, labels), "sd": lambda: vec.sd(c), "rsd1": lambda: rsd(c, vec.mean(c)), "rsd2": lambda: rsd(c, F.array_min(c)), "rsd3": lambda: rsd(c, vec.median(c)),
         "entropy": lambda: entropy(c), "entropy_exact": lambda: entropy_exact(c),
@@ -103,28 +102,36 @@ def score(m: FeatureMatrix, by: str, labels: list[int] | None = None, target: li
 
 
 def adjust(df: DataFrame, p: str = "p", standard: bool = False) -> DataFrame:
-    """Benjamini-Hochberg: adds p_adjusted. The default multiplies rank r < m by m / (r + 1), `standard` by m / r.
+    """Benjamini-Hochberg: adds p_adjusted (null where p is). The default multiplies rank r < m by m / (r + 1), `standard` by m / r.
 
-    Rows are ranked without a window over all of them. Equal p-values end with the same value, so distinct p-values are
-    counted, the counts are summed up along ranges of p, and the running minimum from the top is taken within ranges and
-    over their minima (one for each partition).
+    Rows are dealt into ranges of p and ranked by their numbers there and the ranges' sizes; the running minimum from the top is taken
+    within ranges and over their minima. Rows with equal p spread over ranges, and yet end with the same value: that
+    of the last of them, or a smaller one above.
     """
-    counted = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("n"))
-    sums = running_sums(counted, p, ["n"])
-    m, r = F.col("total_n").cast("double"), F.col("sum_n").cast("double")
+    n = F.col(p).isNotNull()
+    placed = ranges(df, [F.col(p).asc_nulls_last()])
+    sizes = placed.groupBy("_range").agg(F.count_if(n).alias("_n"))
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(everything).alias("_m"))
+    m, r = F.col("_m").cast("double"), (F.col("_start") + F.col("_at") + 1).cast("double")
     raised = F.least(F.col(p) * m / r, F.lit(1.0)) if standard else F.col(p) * F.when(r < m, m / (r + 1.0)).otherwise(F.lit(1.0))
-    valued = materialise(sums.select(p, "_range", raised.alias("_v")), "raised")
-    tails = valued.groupBy("_range").agg(F.min("_v").alias("_least")).withColumn("_after", F.min("_least").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)))
-    down = Window.partitionBy("_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = valued.withColumn("_w", F.min("_v").over(down)).join(F.broadcast(tails.select("_range", "_after")), "_range").select(F.col(p).alias("_p"), F.least("_w", F.coalesce("_after", "_w")).alias("p_adjusted"))
-    return df.join(done, F.col(p) == F.col("_p"), "left").drop("_p")
+    # a row for each partition: bounded by their number
+    valued = placed.join(F.broadcast(starts), "_range").withColumn("_v", F.when(n, raised))
+    tails = valued.groupBy("_range").agg(F.min("_v").alias("_least"))
+    tails = tails.select("_range", F.min("_least").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    down = Window.partitionBy("_range").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = valued.withColumn("_w", F.min("_v").over(down)).join(F.broadcast(tails), "_range")
+    return done.withColumn("p_adjusted", F.when(n, F.least("_w", F.coalesce("_after", "_w")))).select(*df.columns, "p_adjusted")
+
+
+def _order(by: str) -> list[Column]:
+    s = F.col("score")
+    return [{"abs": F.abs(s).desc_nulls_last(), "desc": s.desc_nulls_last(), "asc": s.asc_nulls_last()}[ORDERS[by]], F.col("feature").asc()]
 
 
 def ordered(scored: DataFrame, by: str) -> DataFrame:
     """The scorer's order, undefined scores last, ties by feature."""
-    s = F.col("score")
-    first = {"abs": F.abs(s).desc_nulls_last(), "desc": s.desc_nulls_last(), "asc": s.asc_nulls_last()}[ORDERS[by]]
-    return scored.orderBy(first, "feature")
+    return scored.orderBy(*_order(by))
 
 
 def number_selected(n: int, top: float | None) -> int:
@@ -138,8 +145,17 @@ def number_selected(n: int, top: float | None) -> int:
     return int(top + 0.00005)
 
 
+IN_ONE_TASK = 10_000
+
+
 def select_top(scored: DataFrame, by: str, top: float | None) -> DataFrame:
-    """The best rows; a count takes one pass (top-k in each task, then of those)."""
+    """The best rows, in order. All rows are counted first, since the count tells what `top` means and whether there are enough.
+
+    Up to IN_ONE_TASK rows are the best of each task's best; more are found by their number in ranges of the order.
+    """
     if top is None or top <= 0:
         return ordered(scored, by)
-    return ordered(scored, by).limit(number_selected(scored.count(), top))
+    wanted = number_selected(scored.count(), top)
+    if wanted <= IN_ONE_TASK:
+        return ordered(scored, by).limit(wanted)
+    return ordered(numbered(scored, _order(by), "_number").where(F.col("_number") < wanted).drop("_number"), by)

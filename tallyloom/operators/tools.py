@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import seq, vec
+from ..functions.student_t import student_t_p
 from ..matrix import FeatureMatrix
 from ..storage import running_sums
 
 LIBRARY_TYPES = ("unstranded", "fr", "rf")
 
 
+def library_strand(reads: DataFrame, library_type: str) -> DataFrame:
+    """Reads (mate 1 or 2, seq, ...) turned to the strand that a library type stands for: rf turns mate 1, fr mate 2."""
+    if library_type not in LIBRARY_TYPES:
+        raise ValueError(f"unknown library type {library_type!r}: one of {', '.join(LIBRARY_TYPES)}")
+    turned = {"rf": 1, "fr": 2}.get(library_type)
+    return reads if turned is None else reads.withColumn("seq", F.when(F.col("mate") == turned, seq.revcomp(F.upper("seq"))).otherwise(F.col("seq")))
+
+
 def count_kmers(reads: DataFrame, k: int, stranded: bool = True, least: int = 2, sample: str = "sample_idx") -> DataFrame:
     """sample, feature, cnt: k-mers of column seq by sample, of at least `least` occurrences there; summed in each task first."""
-    each = seq.windows(reads.select(sample, F.upper("seq").alias("seq")), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
-    return each.groupBy(sample, "feature").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+    each = seq.window_codes(reads.select(sample, "seq"), "seq", k, not stranded)
+    counted = each.groupBy(sample, "code").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+    return counted.select(sample, seq.decode(F.col("code"), k).alias("feature"), "cnt")
 
 
 def join_counts(long: DataFrame, min_recurrence: int, min_abundance: int) -> DataFrame:
@@ -31,9 +41,8 @@ def reverse_reads(reads: DataFrame) -> DataFrame:
 
 
 def bad_samples(sheet: DataFrame) -> DataFrame:
-    """Rows (sample, ...) of a sample sheet whose name isn't letters, digits, dots, dashes and underscores, or that repeat one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("sample"))
-    return sheet.withColumn("_n", n).where(F.col("sample").isNull() | ~F.col("sample").rlike(r"^[A-Za-z0-9._-]+$") | (F.col("_n") > 1)).drop("_n")
+    """Rows (sample, ...) of a sample sheet whose name isn't a letter followed by letters, digits and underscores."""
+    return sheet.where(F.col("sample").isNull() | ~F.col("sample").rlike(r"^[A-Za-z][0-9A-Za-z_]*$"))
 
 
 def select_samples(m: FeatureMatrix, wanted: list[str]) -> FeatureMatrix:
@@ -49,6 +58,12 @@ def split_folds(sheet: DataFrame, folds: int, seed: int = 0) -> DataFrame:
     return sheet.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 
+def train_and_test(folded: DataFrame, folds: int) -> DataFrame:
+    """sample, condition, split, part: every sample of split_folds once for each split, in its test part or its training part."""
+    each = folded.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return each.select("sample", "condition", "split", F.when(F.col("fold") == F.col("split"), "test").otherwise("train").alias("part"))
+
+
 def count_zeros(m: FeatureMatrix) -> DataFrame:
     """One row: cells, zeros."""
     return m.df.agg(F.sum(F.size("counts")).alias("cells"), F.sum(F.size(F.filter("counts", lambda x: x == 0))).alias("zeros"))
@@ -60,16 +75,48 @@ def log2_fold_change(m: FeatureMatrix, labels: list[int]) -> DataFrame:
     return m.df.select("feature", F.log2((b + 1.0) / (a + 1.0)).alias("log2fc"))
 
 
+def annotation_table(scored: DataFrame, labels: list[int], samples: list[str]) -> DataFrame:
+    """Scored contigs (feature, nb_merged, rep, score, counts) as annotation wants them.
+
+    nb_merged first, then contig, rep, score, the means of both classes, their log2 fold change, and a column for each sample.
+    """
+    a, b = (vec.mean(vec.pick(F.col("counts"), [i for i, y in enumerate(labels) if y == g])) for g in (0, 1))
+    means = scored.withColumns({"meanA": a, "meanB": b})
+    change = F.round(F.log2((F.col("meanB") + 1.0) / (F.col("meanA") + 1.0)), 6).alias("log2FC")
+    return means.select("nb_merged", F.col("feature").alias("contig"), "rep", "score", "meanA", "meanB", change, *(F.get("counts", F.lit(i)).alias(s) for i, s in enumerate(samples)))
+
+
+def _contig_codes(contigs: DataFrame, name: str, k: int, stranded: bool) -> DataFrame:
+    """The distinct (name, kmer) of contigs (contig, seq)."""
+    return seq.window_codes(contigs.select(F.col("contig").alias(name), "seq"), "seq", k, not stranded, "kmer").distinct()
+
+
 def shared_kmers(left: DataFrame, right: DataFrame, k: int, stranded: bool = False, how: str = "inner") -> DataFrame:
     """left_contig, right_contig, n: distinct k-mers that contigs (contig, seq) of two lists share; how: inner or full."""
-    side = lambda d, name: seq.windows(d.select(F.col("contig").alias(name), F.upper("seq").alias("seq")), "seq", k).withColumn("kmer", seq.oriented(F.col("kmer"), stranded)).distinct()
-    return side(left, "left_contig").join(side(right, "right_contig"), "kmer", how).groupBy("left_contig", "right_contig").agg(F.count(F.lit(1)).alias("n"))
+    both = _contig_codes(left, "left_contig", k, stranded).join(_contig_codes(right, "right_contig", k, stranded), "kmer", how)
+    return both.groupBy("left_contig", "right_contig").agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare_contig_lists(lists: dict[str, DataFrame], k: int, stranded: bool = False, show_unique: bool = False) -> DataFrame:
+    """For lists of contigs (contig, seq) by name: a column for each list, nb_kmer, nb_shared_contig.
+
+    A row for each combination of contigs, one from each list, with the number of distinct k-mers that they share, and how many of
+    the lists have one of them: show_unique also counts k-mers that some lists lack, where "-" stands for their contig.
+    """
+    if len(lists) < 2:
+        raise ValueError("two lists at least are compared")
+    joined = None
+    for name, contigs in lists.items():
+        side = _contig_codes(contigs, name, k, stranded)
+        joined = side if joined is None else joined.join(side, "kmer", "full" if show_unique else "inner")
+    absent = joined.select(*(F.coalesce(n, F.lit("-")).alias(n) for n in lists))
+    counted = absent.groupBy(*lists).agg(F.count(F.lit(1)).alias("nb_kmer"))
+    return counted.withColumn("nb_shared_contig", sum((F.when(F.col(n) != "-", 1).otherwise(0) for n in lists), F.lit(0)))
 
 
 def signature_sharing(contigs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     """contigs (the sorted names that hold a k-mer, comma-joined), n_kmers."""
-    each = seq.windows(contigs.select("contig", F.upper("seq").alias("seq")), "seq", k).withColumn("kmer", seq.oriented(F.col("kmer"), stranded)).distinct()
-    lists = each.groupBy("kmer").agg(F.array_join(F.array_sort(F.collect_set("contig")), ",").alias("contigs"))
+    lists = _contig_codes(contigs, "contig", k, stranded).groupBy("kmer").agg(F.array_join(F.array_sort(F.collect_set("contig")), ",").alias("contigs"))
     return lists.groupBy("contigs").agg(F.count(F.lit(1)).alias("n_kmers"))
 
 
@@ -97,7 +144,8 @@ def samples_as_rows(m: FeatureMatrix, labels: list[int]) -> DataFrame:
 
 
 def fit_model(rows: DataFrame, kind: str, strength: float = 0.1, runs: int = 20, seed: int = 0):
-    """A pyspark.ml model of rows (label, features): lasso, elasticnet (both with stability selection), ridge or randomforest."""
+    """A pyspark.ml model of rows (label, features): lasso, elasticnet (both with stability selection over `runs` draws of
+    three quarters of each class), ridge or randomforest."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     if kind == "randomforest":
@@ -108,9 +156,14 @@ def fit_model(rows: DataFrame, kind: str, strength: float = 0.1, runs: int = 20,
     from pyspark.ml.pipeline import Pipeline
 
     net = LogisticRegression(regParam=strength, elasticNetParam={"lasso": 1.0, "elasticnet": 0.5}[kind])
+    shares = {r["label"]: 0.75 for r in rows.select("label").distinct().collect()}  # two classes
+    if len(shares) < 2:
+        raise ValueError("a model needs rows of two classes")
     kept: dict[int, int] = {}
     for run in range(runs):
-        w = net.fit(rows.sample(0.75, seed=seed + run)).coefficients.toArray()
+        drawn = rows.sampleBy("label", shares, seed=seed + run)
+        # a small class may not be drawn at all
+        w = net.fit(drawn if drawn.select("label").distinct().count() == len(shares) else rows).coefficients.toArray()
         for i in w.nonzero()[0]:
             kept[int(i)] = kept.get(int(i), 0) + 1
     stable = sorted(i for i, n in kept.items() if n >= runs / 2) or [0]
@@ -128,6 +181,13 @@ def fit_top_ridge(rows: DataFrame, top: int, strength: float = 0.1):
     return Pipeline(stages=[VectorSlicer(inputCol="features", outputCol="chosen", indices=best), LogisticRegression(featuresCol="chosen", regParam=strength)]).fit(rows)
 
 
+def predict(model, rows: DataFrame) -> DataFrame:
+    """sample_idx, prob_1 (the probability of label 1), pred_class for samples_as_rows under a fitted model."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).select("sample_idx", F.get(vector_to_array("probability"), F.lit(1)).alias("prob_1"), F.col("prediction").cast("int").alias("pred_class"))
+
+
 def balanced_accuracy(predictions: DataFrame) -> DataFrame:
     """One row, balanced_accuracy: the mean over the labels of the share predicted right (columns label, prediction)."""
     each = predictions.groupBy("label").agg(F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0)).alias("recall"))
@@ -179,9 +239,41 @@ def jaccard(a: DataFrame, b: DataFrame, key: str = "kmer") -> DataFrame:
     return both.agg((F.count_if(F.col("n") == 2) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("jaccard"))
 
 
-def alignment_quality(hits: DataFrame) -> DataFrame:
-    """One row of shares over alignments (qlen, qstart, qend, length, nident): perfect, identical, mean_coverage."""
-    return hits.agg(
-        F.avg(F.when((F.col("nident") == F.col("qlen")) & (F.col("length") == F.col("qlen")), 1.0).otherwise(0.0)).alias("perfect"),
-        F.avg(F.col("nident") / F.col("length")).alias("identical"), F.avg((F.col("qend") - F.col("qstart") + 1) / F.col("qlen")).alias("mean_coverage"),
-    )
+def alignment_quality(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """One row of percentages of all contigs, to two digits: perfect, identical, complete.
+
+    hits: alignments (qlen, qstart, qend, length, nident, pident, slen, sstart, send, qcovs). Perfect ones hold the whole
+    contig without a difference; identical ones are the whole subject too; complete: the query coverage is 100.
+    """
+    c = F.col
+    perfect = (c("qlen") == c("qend")) & (c("qstart") == 1) & (c("qlen") == c("length")) & (c("qlen") == c("nident")) & (c("pident") == 100)
+    identical = perfect & (c("sstart") == 1) & (c("send") == c("slen")) & (c("slen") == c("qlen"))
+    n = hits.agg(F.count_if(perfect).alias("p"), F.count_if(identical).alias("i"), F.count_if(c("qcovs") == 100).alias("q"), F.lit(1).alias("one"))
+    total = contigs.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))  # both sides have one row
+    share = lambda x: F.round(100.0 * F.col(x) / F.nullif(F.col("n"), F.lit(0)), 2)
+    return n.join(total, "one").select(share("p").alias("perfect"), share("i").alias("identical"), share("q").alias("complete"))
+
+
+def pairwise_t_tests(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group_1, group_2, p, p_adjusted, significant: Welch's t-test of each two groups' values, Bonferroni over all pairs.
+
+    Groups of one value, and pairs of two constant groups, have no p. Values are summed up by group before the shuffle; pairs are made of
+    the groups' sums.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
+    every = each.agg(F.array_sort(F.collect_list(F.struct("g", "n", "m", "v"))).alias("s"))
+    pairs = every.select(F.explode(F.flatten(F.transform("s", lambda a, i: F.transform(F.filter("s", lambda b: b["g"] > a["g"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("x"))
+    va, vb = (F.col(f"x.{k}.v") / F.col(f"x.{k}.n") for k in "ab")
+    some = F.coalesce(va + vb > 0, F.lit(False))
+    t = F.when(some, (F.col("x.a.m") - F.col("x.b.m")) / F.sqrt(F.when(some, va + vb)))
+    df_ = F.when(some, (va + vb) * (va + vb) / F.when(some, va * va / (F.col("x.a.n") - 1) + vb * vb / (F.col("x.b.n") - 1)))
+    tested = pairs.select(F.col("x.a.g").alias("group_1"), F.col("x.b.g").alias("group_2"), t.alias("t"), df_.alias("df"))
+    tested = tested.withColumn("p", F.when(F.col("t").isNotNull(), student_t_p(F.col("t"), F.col("df"))))
+    n = F.count("p").over(Window.partitionBy(F.lit(1)))  # a row for each pair of groups
+    done = tested.withColumn("p_adjusted", F.least(F.col("p") * n, F.lit(1.0)))
+    return done.select("group_1", "group_2", "p", "p_adjusted", (F.col("p_adjusted") < 0.05).alias("significant"))
+
+
+def fold_summary(results: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median, min, max of a value over the folds of each."""
+    return results.groupBy(*keys).agg(F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))

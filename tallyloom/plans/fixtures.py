@@ -14,7 +14,6 @@ DAYS = 31
 LABELS = [0] * 10 + [1] * 10
 THREE = [i % 3 for i in range(N)]
 STATUS = ["DOWN"] * 10 + ["UP"] * 10
-TARGET = [53.5 + (i * 37) % 101 for i in range(N)]
 
 
 def names(n: int = N) -> list[str]:
@@ -66,20 +65,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.substring("source", 4, 9).cast("int").alias("sample_idx"), dna(F.col("text")).alias("seq"))
 
 
-def kmers_long(spark: SparkSession, sf_dir: str, k: int, stranded: bool = False, least: int = 3) -> DataFrame:
-    """Cells of k-mers that occur in `least` samples or more."""
-    each = seq.windows(reads(spark, sf_dir), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
-    cells = each.groupBy("feature", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    return cells.join(cells.groupBy("feature").agg(F.count(F.lit(1)).alias("ns")).where(F.col("ns") >= least).select("feature"), "feature", "left_semi")
-
-
 def kmers(spark: SparkSession, sf_dir: str, k: int = 13, stranded: bool = False) -> FeatureMatrix:
-    """The same cells as a matrix; one grouping gives both the recurrence and the vector."""
-    each = seq.windows(reads(spark, sf_dir), "seq", k, "feature").withColumn("feature", seq.oriented(F.col("feature"), stranded))
-    cells = each.groupBy("feature", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    grouped = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "cnt"))).alias("m")).where(F.size("m") >= 3)
+    """K-mers that occur in three samples or more; codes are counted and grouped, sequences written out at the end."""
+    cells = seq.window_codes(reads(spark, sf_dir), "seq", k, not stranded).groupBy("code", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    grouped = cells.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "cnt"))).alias("m")).where(F.size("m") >= 3)
     dense = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return FeatureMatrix(grouped.select("feature", dense.alias("counts")), names(), k, stranded)
+    return FeatureMatrix(grouped.select(seq.decode(F.col("code"), k).alias("feature"), dense.alias("counts")), names(), k, stranded)
 
 
 def dna_sql(column: str = "text") -> str:

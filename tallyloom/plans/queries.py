@@ -375,10 +375,19 @@ def merge_edges_mac(spark, d):
     return _joints(spark, d, False, "mac")
 
 
+RANKED_CELLS = f"v AS (SELECT feature, sample_idx, {RANKS.format(c='x')} x FROM d)"
+
+
+@register("merge_edges_spearman", f"WITH {joints_sql(False)}, {RANKED_CELLS}, " + AGREE.format(v=f"0.5 * (1 - ({CORR.format(a='a.x', b='b.x')}))").replace("v AS (", "w AS (", 1).replace("JOIN d ", "JOIN v ").replace("JOIN v USING", "JOIN w USING"))
+def merge_edges_spearman(spark, d):
+    return _joints(spark, d, False, "spearman")
+
+
 def _contigs(spark, d, **more) -> tuple[DataFrame, FeatureMatrix]:
+    """Contigs over the operator's own overlaps, 30 to 15."""
     m = fx.kmers(spark, d, 31)
     m = m.with_df(merge.materialise(m.df, "kmers"))
-    return merge.materialise(merge.merge(m, longest=30, shortest=26, **more), "contigs"), m
+    return merge.materialise(merge.merge(m, **more), "contigs"), m
 
 
 def _counted(how: str) -> Query:
@@ -407,8 +416,9 @@ def merge_min_members(spark, d):
 def merge_scored_maxabs(spark, d):
     """Score, then merge with the score as representative value."""
     m = fx.kmers(spark, d, 31)
+    m = m.with_df(merge.materialise(m.df, "kmers"))
     values = score.score(m, "sd").select("feature", F.col("score").alias("value"))
-    return merge.merge(m, values, longest=30, shortest=29, rep_mode="maxabs").select("contig", "nb_merged", "rep", r6("rep_value").alias("rep_value"))
+    return merge.merge(m, values, rep_mode="maxabs").select("contig", "nb_merged", "rep", r6("rep_value").alias("rep_value"))
 
 
 # --- tools ---
@@ -441,10 +451,20 @@ def tool_split_cv(spark, d):
     return tools.split_folds(sheet, 5, 7)
 
 
-@register("tool_sample_sheet", "SELECT sample, condition FROM (SELECT c_name sample, c_mktsegment AS condition, count(*) OVER (PARTITION BY c_name) n FROM customer UNION ALL SELECT p_name, p_brand, count(*) OVER (PARTITION BY p_name) FROM part) WHERE NOT regexp_full_match(sample, '[A-Za-z0-9._-]+') OR n > 1")
+@register("tool_sample_sheet", "SELECT sample, condition FROM (SELECT c_name sample, c_mktsegment AS condition FROM customer UNION ALL SELECT p_name, p_brand FROM part UNION ALL SELECT replace(c_name, '#', '_'), 'renamed' FROM customer) WHERE NOT (substr(sample, 1, 1) BETWEEN 'A' AND 'Z' OR substr(sample, 1, 1) BETWEEN 'a' AND 'z') OR length(translate(sample, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_', '')) > 0")
 def tool_sample_sheet(spark, d):
-    names = fx.table(spark, d, "customer").select(F.col("c_name").alias("sample"), F.col("c_mktsegment").alias("condition"))
-    return tools.bad_samples(names).union(tools.bad_samples(fx.table(spark, d, "part").select(F.col("p_name").alias("sample"), F.col("p_brand").alias("condition"))))
+    customer = fx.table(spark, d, "customer")
+    names = customer.select(F.col("c_name").alias("sample"), F.col("c_mktsegment").alias("condition"))
+    more = fx.table(spark, d, "part").select(F.col("p_name").alias("sample"), F.col("p_brand").alias("condition"))
+    return tools.bad_samples(names.union(more).union(customer.select(F.replace("c_name", F.lit("#"), F.lit("_")), F.lit("renamed"))))
+
+
+SPLIT = "f AS (SELECT sample, condition, (row_number() OVER (PARTITION BY condition ORDER BY md5(concat(sample, ':7')), sample) - 1) % 5 AS fold FROM (SELECT CAST(c_custkey AS varchar) sample, c_mktsegment AS condition FROM customer))"
+
+
+@register("tool_train_test", f"WITH {SPLIT} SELECT sample, condition, CAST(i AS int) AS split, CASE WHEN fold = i THEN 'test' ELSE 'train' END AS part FROM f CROSS JOIN range(5) s(i)")
+def tool_train_test(spark, d):
+    return tools.train_and_test(tool_split_cv(spark, d), 5)
 
 
 @register("tool_zero_count", f"WITH {P} SELECT count(*) AS cells, count(*) FILTER (WHERE x = 0) AS zeros FROM d")
@@ -457,6 +477,15 @@ def tool_log2fc(spark, d):
     return tools.log2_fold_change(fx.parts(spark, d), fx.LABELS).select("feature", r6("log2fc").alias("log2fc"))
 
 
+ANNOTATED = f"a AS (SELECT feature, avg(x) {A} meanA, avg(x) {B} meanB, {SNR} score, " + ", ".join(f"max(x) FILTER (WHERE sample_idx = {i}) S{i:02d}" for i in range(3)) + " FROM d GROUP BY 1)"
+
+
+@register("tool_annotation", f"WITH {P}, {ANNOTATED} SELECT 1 AS nb_merged, feature AS contig, feature AS rep, round(score, 6) + 0.0 AS score, round(meanA, 6) + 0.0 AS \"meanA\", round(meanB, 6) + 0.0 AS \"meanB\", round(log2((meanB + 1) / (meanA + 1)), 6) + 0.0 AS \"log2FC\", S00, S01, S02 FROM a")
+def tool_annotation(spark, d):
+    scored = score.score(fx.parts(spark, d), "snr", labels=fx.LABELS).select("feature", F.lit(1).alias("nb_merged"), F.col("feature").alias("rep"), "score", "counts")
+    return tools.annotation_table(scored, fx.LABELS, fx.names(3)).withColumns({c: r6(c) for c in ("score", "meanA", "meanB", "log2FC")})
+
+
 def contigs_sql(name: str, source: str, key: str) -> str:
     return f"{name}_src AS (SELECT CAST({key} AS varchar) contig, {fx.dna_sql()} dna FROM {source}), {name} AS (SELECT DISTINCT contig, feature kmer FROM ({fx.windows_sql(f'{name}_src', 31, 'contig')}))"
 
@@ -475,6 +504,16 @@ def tool_contig_compare_full(spark, d):
     return tools.shared_kmers(_contig_list(spark, d, "benchmark", "item_id"), _contig_list(spark, d, "conversations", "conv_id"), 31, how="full")
 
 
+THREE_LISTS = ", ".join(contigs_sql(*x) for x in (("a", "benchmark", "item_id"), ("b", "conversations", "conv_id"), ("c", "documents", "source")))
+NAMED = "coalesce(a.contig, '-') AS bench, coalesce(b.contig, '-') AS conv, coalesce(c.contig, '-') AS docs"
+
+
+@register("tool_contig_lists", f"WITH {THREE_LISTS}, m AS (SELECT {NAMED} FROM a FULL JOIN b ON a.kmer = b.kmer FULL JOIN c ON coalesce(a.kmer, b.kmer) = c.kmer) SELECT bench, conv, docs, count(*) AS nb_kmer, CAST((bench <> '-') AS int) + CAST((conv <> '-') AS int) + CAST((docs <> '-') AS int) AS nb_shared_contig FROM m GROUP BY ALL")
+def tool_contig_lists(spark, d):
+    docs = fx.spread(fx.table(spark, d, "documents").select("source", "text")).select(F.col("source").alias("contig"), fx.dna(F.col("text")).alias("seq"))
+    return tools.compare_contig_lists({"bench": _contig_list(spark, d, "benchmark", "item_id"), "conv": _contig_list(spark, d, "conversations", "conv_id"), "docs": docs}, 31, show_unique=True)
+
+
 @register("tool_signature_sharing", f"WITH {contigs_sql('a', 'conversations', 'conv_id')}, s AS (SELECT kmer, string_agg(contig, ',' ORDER BY contig) contigs FROM a GROUP BY 1) SELECT contigs, count(*) AS n_kmers FROM s GROUP BY 1")
 def tool_signature_sharing(spark, d):
     return tools.signature_sharing(_contig_list(spark, d, "conversations", "conv_id"), 31)
@@ -539,7 +578,7 @@ def tool_top_membership(spark, d):
 
 @register("tool_kmer_jaccard", f"WITH {contigs_sql('a', 'benchmark', 'item_id')}, {contigs_sql('b', 'documents', 'doc_id')}, x AS (SELECT DISTINCT kmer FROM a), y AS (SELECT DISTINCT kmer FROM b) SELECT round((SELECT count(*) FROM x JOIN y USING (kmer)) / CAST((SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM y)) AS double), 6) AS jaccard")
 def tool_kmer_jaccard(spark, d):
-    side = lambda name, key: seq.windows(fx.sequences(spark, d, name, key), "seq", 31).select(seq.canonical(F.col("kmer")).alias("kmer"))
+    side = lambda name, key: seq.window_codes(fx.sequences(spark, d, name, key).select("seq"), "seq", 31, True, "kmer")
     return tools.jaccard(side("benchmark", "item_id"), side("documents", "doc_id")).select(r6("jaccard").alias("jaccard"))
 
 
@@ -552,6 +591,47 @@ def tool_fastq_revcomp(spark, d):
     return tools.reverse_reads(c)
 
 
+# lineitems as alignments, parts as contigs
+HITS = "SELECT l_linenumber + 1 qlen, 1 + l_orderkey % 2 qstart, l_linenumber + 1 - l_suppkey % 2 qend, l_linenumber + 1 length, l_linenumber + 1 nident, 100.0 pident, l_linenumber + 1 + l_partkey % 3 slen, 1 sstart, l_linenumber + 1 + l_partkey % 3 send, CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 90 END qcovs FROM lineitem"
+PERFECT = "qlen = qend AND qstart = 1 AND qlen = length AND qlen = nident AND pident = 100"
+
+
+@register("tool_alignment_quality", f"WITH h AS ({HITS}), n AS (SELECT count(*) n FROM part) SELECT round(100.0 * count(*) FILTER (WHERE {PERFECT}) / any_value(n), 2) AS perfect, round(100.0 * count(*) FILTER (WHERE {PERFECT} AND sstart = 1 AND send = slen AND slen = qlen) / any_value(n), 2) AS identical, round(100.0 * count(*) FILTER (WHERE qcovs = 100) / any_value(n), 2) AS complete FROM h CROSS JOIN n")
+def tool_alignment_quality(spark, d):
+    line, n = fx.table(spark, d, "lineitem"), F.col("l_linenumber") + 1
+    hits = line.select(
+        n.alias("qlen"), (1 + F.col("l_orderkey") % 2).alias("qstart"), (n - F.col("l_suppkey") % 2).alias("qend"), n.alias("length"), n.alias("nident"), F.lit(100.0).alias("pident"),
+        (n + F.col("l_partkey") % 3).alias("slen"), F.lit(1).alias("sstart"), (n + F.col("l_partkey") % 3).alias("send"), F.when(F.col("l_suppkey") % 2 == 0, 100).otherwise(90).alias("qcovs"),
+    )
+    return tools.alignment_quality(hits, fx.table(spark, d, "part"))
+
+
+TAIL = WELCH[WELCH.index("a AS (") : WELCH.index("p AS (")].rstrip().rstrip(",")
+GROUPS = "w AS (SELECT CAST(s_suppkey % 4 AS int) g, CAST(count(*) AS double) n, avg(CAST(s_acctbal AS double)) m, var_samp(CAST(s_acctbal AS double)) v FROM supplier GROUP BY 1), c AS (SELECT a.g g1, b.g g2, a.m - b.m diff, a.v / a.n va, b.v / b.n vb, a.n n1, b.n n2 FROM w a JOIN w b ON a.g < b.g), t AS (SELECT concat(g1, ':', g2) feature, g1, g2, diff / sqrt(va + vb) t, (va + vb) * (va + vb) / (va * va / (n1 - 1) + vb * vb / (n2 - 1)) df FROM c)"
+
+
+@register("tool_pairwise_t", f"WITH {GROUPS}, {TAIL}, p AS (SELECT g1, g2, least(1.0, 2 * exp(lgamma((t.df + 1) / 2) - lgamma(t.df / 2)) / sqrt(pi()) * area) p FROM t JOIN q USING (feature)) SELECT g1 AS group_1, g2 AS group_2, round(p, 6) + 0.0 AS p, round(least(1.0, p * count(*) OVER ()), 6) + 0.0 AS p_adjusted, least(1.0, p * count(*) OVER ()) < 0.05 AS significant FROM p")
+def tool_pairwise_t(spark, d):
+    s = fx.table(spark, d, "supplier").select((F.col("s_suppkey") % 4).cast("int").alias("g"), F.col("s_acctbal").cast("double").alias("v"))
+    return tools.pairwise_t_tests(s, "g", "v").withColumns({c: r6(c) for c in ("p", "p_adjusted")})
+
+
+@register("tool_fold_summary", "SELECT o_orderpriority AS method, o_orderstatus AS workflow, round(median(CAST(o_totalprice AS double)), 6) + 0.0 AS median, round(min(CAST(o_totalprice AS double)), 6) + 0.0 AS min, round(max(CAST(o_totalprice AS double)), 6) + 0.0 AS max FROM orders GROUP BY 1, 2")
+def tool_fold_summary(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("workflow"), F.col("o_totalprice").cast("double").alias("v"))
+    return tools.fold_summary(o, ["method", "workflow"], "v").withColumns({c: r6(c) for c in ("median", "min", "max")})
+
+
+@register("tool_ridge_predict")
+def tool_ridge_predict(spark, d):
+    """Ridge on the busiest parts, and its prediction of every sample."""
+    m = fx.parts(spark, d)
+    m = m.with_df(merge.materialise(m.df, "parts"))
+    best = score.select_top(score.score(m, "snr", labels=fx.LABELS), "snr", 20)
+    samples = tools.samples_as_rows(m.with_df(best.select("feature", "counts")), fx.LABELS)
+    return tools.predict(tools.fit_model(samples, "ridge"), samples).withColumn("prob_1", F.round("prob_1", 4))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index, normalise, filter, round: feature, sample_idx, value."""
     m = fx.parts(spark, sf_dir)

@@ -28,8 +28,14 @@ def up_down(samples: list[str], pairs: list[tuple[str, str]], neutral_unlisted:
     return [known.get(s, None if neutral_unlisted else "DOWN") for s in samples]
 
 
+def _once(samples: list[str]) -> None:
+    if twice := sorted({s for s in samples if samples.count(s) > 1}):
+        raise ValueError(f"sample names that occur more than once: {', '.join(twice)}")
+
+
 def labels(samples: list[str], pairs: list[tuple[str, str]]) -> list[int]:
-    """Class numbers in order of first appearance among the columns; the last of repeated lines counts."""
+    """Class numbers in order of first appearance among the columns; the last of repeated lines counts. Sample names must differ."""
+    _once(samples)
     known = dict(pairs)
     if missing := [s for s in samples if s not in known]:
         raise ValueError(f"samples without a label: {', '.join(missing)}")
@@ -38,6 +44,7 @@ def labels(samples: list[str], pairs: list[tuple[str, str]]) -> list[int]:
 
 
 def values(samples: list[str], pairs: list[tuple[str, str]]) -> list[float]:
+    _once(samples)
     known = dict(pairs)
     if missing := [s for s in samples if s not in known]:
         raise ValueError(f"samples without a value: {', '.join(missing)}")

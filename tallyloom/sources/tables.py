@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..matrix import FeatureMatrix
 
@@ -13,7 +14,8 @@ from ..matrix import FeatureMatrix
 def read_counts(spark: SparkSession, path: str, partitions: int | None = None) -> FeatureMatrix:
     """A table with a header: feature, then one numeric column for each sample, split by white space; .gz is read as such.
 
-    Gzip can't be split, so such a file is dealt out anew after reading; a row with another number of cells raises.
+    Gzip can't be split, so such a file is dealt out anew after reading; a row with another number of cells raises. Rows get
+    their place in the input as column ordinal: distinct and rising within a file, not gapless.
     """
     lines = spark.read.text(path)
     header = lines.first()
@@ -22,12 +24,17 @@ def read_counts(spark: SparkSession, path: str, partitions: int | None = None) -
     names = header[0].split()
     if len(names) < 2:
         raise ValueError("the count table has no sample columns")
+    # splits of a file by their place in it; 2^33 rows in each
+    block = F.rank().over(Window.orderBy("file", "block")) - 1
+    blocks = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).distinct().withColumn("n", block)  # a row for each split
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    lines = lines.join(blocks, ["file", "block"]).select("value", (F.col("n") * F.lit(1 << 33) + F.col("at")).alias("ordinal"))
     if path.endswith("gz"):
         lines = lines.repartition(partitions or spark.sparkContext.defaultParallelism)
     cells = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    rows = lines.where((F.col("value") != header[0]) & (F.trim("value") != "")).select(cells.alias("c"))
+    rows = lines.where((F.col("value") != header[0]) & (F.trim("value") != "")).select("ordinal", cells.alias("c"))
     good = F.when(F.size("c") == len(names), F.transform(F.slice("c", 2, len(names) - 1), lambda x: x.cast("double"))).otherwise(F.raise_error(F.lit("a row has another number of columns than the header")))
-    return FeatureMatrix(rows.select(F.get("c", F.lit(0)).alias("feature"), good.alias("counts")), names[1:], feature_name=names[0])
+    return FeatureMatrix(rows.select(F.get("c", F.lit(0)).alias("feature"), good.alias("counts"), "ordinal"), names[1:], feature_name=names[0])
 
 
 def _cells(m: FeatureMatrix, counts: str, whole: bool) -> list:
@@ -35,8 +42,10 @@ def _cells(m: FeatureMatrix, counts: str, whole: bool) -> list:
     return [value(i).alias(s) for i, s in enumerate(m.samples)]
 
 
-def wide(m: FeatureMatrix, whole: bool = False, *first: str) -> DataFrame:
-    """The matrix with a column for each sample; whole: counts rounded half up."""
+def wide(m: FeatureMatrix, whole: bool = False, *first: Column | str) -> DataFrame:
+    """The matrix with a column for each sample, after the feature and further ones; whole: counts rounded half up."""
+    if len(set(m.samples)) < len(m.samples):
+        raise ValueError("two samples have one name, and a table can't have two columns of it")
     return m.df.select(F.col("feature").alias(m.feature_name), *first, *_cells(m, "counts", whole))
 
 

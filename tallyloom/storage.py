@@ -35,6 +35,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges(df: DataFrame, order: list) -> DataFrame:
+    """df in a written table, with _range (the number of the row's range of the order), _tie and _at (its number in the range, from 0).
+
+    A row's place in the input is the last key, so equal rows spread over ranges and no task gets all of them.
+    """
+    kept = materialise(df, "rows").withColumn("_tie", F.monotonically_increasing_id())
+    dealt = kept.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_range", F.spark_partition_id())
+    return materialise(dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+
+
+def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """df with the row's number, from 0, in an order; no task holds more than a range of it. Ties are numbered in any order."""
+    placed = ranges(df, order)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each partition
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_tie", "_at", "_start")
+
+
 def running_sums(df: DataFrame, order: str, values: list[str]) -> DataFrame:
     """df, whose values of `order` must be distinct, with sum_<v> (up to and with the row) and total_<v> of each value column.
 

@@ -47,15 +47,42 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_sequence_files(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">one first\nacgt\nAC\n>two\nGG")
-    assert got(sources.read_fasta(spark, str(tmp_path / "x.fa")), "name", "seq") == {("one first", "ACGTAC"), ("two", "GG")}
+    (tmp_path / "x.fa").write_text(">one first len>5\nacgt\nAC\n>two\r\nG\r\nG\r\n>two\nA")
+    assert sorted(map(tuple, sources.read_fasta(spark, str(tmp_path / "x.fa")).collect())) == [("one first len>5", "ACGTAC"), ("two", "A"), ("two", "GG")]
     (tmp_path / "x.fq").write_text("@r1\nACGT\n+\nIII#\n@r2\nGGA\n+\n@@I\n")
     reads = sources.read_fastq(spark, str(tmp_path / "x.fq"))
     assert got(tools.reverse_reads(reads), "name", "seq", "qual") == {("r1", "ACGT", "#III"), ("r2", "TCC", "I@@")}
+    many = [(f"r{i}", "ACGT"[i % 4] * (1 + i % 90), "I" * (1 + i % 90)) for i in range(20_000)]
+    (tmp_path / "many.fq").write_text("".join(f"@{n}\n{x}\n+\n{q}\n" for n, x, q in many))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = sources.read_fastq(spark, str(tmp_path / "many.fq"))
+        assert sorted(map(tuple, split.collect())) == sorted(many)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     sources.write_fasta(spark.createDataFrame([("GG", 2.0), ("AC", 1.5)], "feature string, score double"), str(tmp_path / "fa"), score="score")
     assert got(sources.read_fasta(spark, str(tmp_path / "fa")), "name", "seq") == {("feature_0,score=1.5", "AC"), ("feature_1,score=2.0", "GG")}
 
 
+def test_input_order(spark, tmp_path):
+    """Rows keep their place in the input through filters, and FASTA is numbered by it."""
+    names = [f"f{(i * 7919) % 5000}" for i in range(5000)]
+    (tmp_path / "t.tsv").write_text("tag\ta\n" + "".join(f"{n}\t{i}\n" for i, n in enumerate(names)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        m = sources.read_counts(spark, str(tmp_path / "t.tsv"))
+        kept = filters.filter_features(m, ["UP"], (100, 1)).df
+        sources.write_fasta(kept, str(tmp_path / "fa"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r["feature"] for r in m.df.orderBy("ordinal").collect()] == names
+    files = sorted((tmp_path / "fa").glob("part-*.txt"))
+    lines = "".join(f.read_text() for f in files).split("\n")
+    assert lines[:-1] == [x for i, n in enumerate(names[100:]) for x in (f">feature_{i}", n)]
+
+
 def test_designs(spark, tmp_path):
     samples = ["a", "b", "c"]
     assert designs.up_down(samples, [("a", "UP"), ("a", "DOWN"), ("x", "UP")]) == ["UP", "DOWN", "DOWN"]
@@ -65,6 +92,8 @@ def test_designs(spark, tmp_path):
     assert designs.labels(samples, [("c", "t"), ("a", "n"), ("b", "n"), ("b", "t")]) == [0, 1, 1]
     with pytest.raises(ValueError):
         designs.labels(samples, [("a", "n")])
+    with pytest.raises(ValueError, match="more than once"):
+        designs.labels(["a", "a"], [("a", "n")])
     (tmp_path / "d").write_text("a 1.5\nb\t2 ignored\nc 3\n")
     assert sources.continuous_design(spark, str(tmp_path / "d"), samples) == [1.5, 2.0, 3.0]
     (tmp_path / "bad").write_text("a\n")
@@ -114,6 +143,9 @@ def test_mask_and_query(spark):
     assert {r["feature"] for r in mask.mask(m, seqs, one).df.collect()} == {"CCC"}
     with pytest.raises(ValueError):
         mask.mask(m, select=seqs.where("name = 'short'"))
+    twice = spark.createDataFrame([("x", "AACG"), ("x", "CCC"), ("x", "TT")], "name string, seq string")
+    assert sorted(r["counts"] for r in mask.query(m, twice).collect()) == [[2.0, 3.0], [5.0, 6.0]]
+    assert sorted(r["counts"] for r in mask.query(m, twice, "mean", True).collect()) == [[0.0, 0.0], [2.0, 3.0], [5.0, 6.0]]
     # AAC, ACG, CGT = ACG, GTT = AAC
     assert {r["name"]: (r["n_hits"], r["counts"]) for r in mask.query(m, seqs).collect()} == {"x": (4, [2.0, 3.0]), "gap": (2, [3.0, 4.0])}
     assert {r["name"]: r["counts"] for r in mask.query(m, seqs, "median", True).collect()} == {"x": [2.0, 3.0], "gap": [3.0, 4.0], "short": [0.0, 0.0]}
@@ -151,6 +183,14 @@ def test_adjustment_by_brute_force(spark):
             assert r["p_adjusted"] == pytest.approx(by_p[r["p"]])
 
 
+def test_large_selections_equal_small_ones(spark, monkeypatch):
+    m = matrix(spark, {f"f{i}": [float(i % 17), float(i % 5)] for i in range(300)})
+    scored = score.score(m, "sd")
+    want = [r["feature"] for r in score.select_top(scored, "sd", 120).collect()]
+    monkeypatch.setattr(score, "IN_ONE_TASK", 10)
+    assert [r["feature"] for r in score.select_top(scored, "sd", 120).collect()] == want
+
+
 def test_selection_sizes():
     assert [score.number_selected(100, t) for t in (None, -1, 0.1, 0.126, 1, 7)] == [100, 100, 10, 13, 1, 7]
     with pytest.raises(ValueError):
@@ -257,8 +297,17 @@ def test_tools(spark):
         tools.select_features(m, spark.createDataFrame([("GGG",)], "feature string"))
     scores = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.4), (0, 0.4)], "label int, score double")
     assert tools.roc_auc(scores).first()[0] == pytest.approx(0.875)
-    hits = spark.createDataFrame([(10, 1, 10, 10, 10), (10, 3, 7, 5, 4)], "qlen int, qstart int, qend int, length int, nident int")
-    assert tools.alignment_quality(hits).first().asDict() == pytest.approx({"perfect": 0.5, "identical": 0.9, "mean_coverage": 0.75})
+    columns = ["qlen", "qstart", "qend", "length", "nident", "pident", "slen", "sstart", "send", "qcovs"]
+    hits = spark.createDataFrame([(10, 1, 10, 10, 10, 100.0, 10, 1, 10, 100), (10, 1, 10, 10, 10, 100.0, 30, 5, 14, 100), (10, 1, 10, 10, 9, 90.0, 10, 1, 10, 100), (10, 3, 7, 5, 4, 80.0, 9, 1, 5, 50)], columns)
+    contigs = spark.createDataFrame([(i,) for i in range(8)], "contig int")
+    assert tools.alignment_quality(hits, contigs).first().asDict() == {"perfect": 25.0, "identical": 12.5, "complete": 37.5}
+    assert got(tools.bad_samples(spark.createDataFrame([("a_1",), ("1a",), ("a-b",), ("Z",), (None,)], "sample string")), "sample") == {("1a",), ("a-b",), (None,)}
+    mates = spark.createDataFrame([(1, "AAC"), (2, "AAC")], "mate int, seq string")
+    assert [got(tools.library_strand(mates, t), "mate", "seq") for t in tools.LIBRARY_TYPES] == [{(1, "AAC"), (2, "AAC")}, {(1, "AAC"), (2, "GTT")}, {(1, "GTT"), (2, "AAC")}]
+    with pytest.raises(ValueError):
+        tools.library_strand(mates, "ff")
+    t = tools.pairwise_t_tests(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 5.0), ("b", 7.0), ("c", 1.0)], "g string, v double"), "g", "v").collect()
+    assert [(r["group_1"], r["group_2"], r["p"] is None) for r in sorted(t)] == [("a", "b", False), ("a", "c", True), ("b", "c", True)]
 
 
 @pytest.mark.parametrize("kind", ["lasso", "ridge", "randomforest"])
