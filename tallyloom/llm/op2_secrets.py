@@ -9,8 +9,8 @@ Fisher's method combines them.
 The tests alone can't tell short random tokens from words, so a token also has a score against words: the logarithm of
 its p-value, less the log-likelihood ratio of its letter pairs under the corpus's own words and under uniform letters.
 What is tested is that a token is worded. The null distribution of the score is learnt, for each encoding and length
-band, from tokens put together from the corpus's words: every distinct run of RUN_WORDS words of all texts makes one token, for
-a band that its hash picks. The upper tail is taken as exponential, its mean raised by two standard errors, so a
+band, from tokens put together from the corpus's words: every run of RUN_WORDS words of all texts makes one token, for
+a band that its hash picks, and equal tokens count once. The upper tail is taken as exponential, its mean raised by two standard errors, so a
 thin tail makes the test stricter. A band of fewer than LEAST_NULL such tokens takes the tail of the next shorter band of
 its encoding that has enough (longer worded tokens score lower), or else the highest of all tails. All tokens that Benjamini-Hochberg
 rejects at MAX_FALSE within their encoding and band become spans of kind random, unless randomness itself is rejected
@@ -210,10 +210,10 @@ def findings(text: Column, pairs: list[float] = ()) -> Column:
 
 
 def word_runs(texts: DataFrame) -> DataFrame:
-    """w: the distinct runs of RUN_WORDS words, in order, of a column _t; a text's last run may be shorter. Opaque tokens give no words."""
+    """w: the runs of RUN_WORDS words, in order, of a column _t; a text's last run may be shorter. Opaque tokens give no words."""
     words = F.regexp_extract_all(F.regexp_replace("_t", TOKEN, " "), F.lit("[A-Za-z]{2,19}"), F.lit(0))
     runs = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / RUN_WORDS).cast("int")), lambda i: F.array_join(F.slice(w, i * RUN_WORDS + 1, F.lit(RUN_WORDS)), " ")))
-    return materialise(texts.where(F.length("_t") > 0).select(F.explode(runs).alias("r")).where(F.length("r") > 0).distinct().select(F.split("r", " ").alias("w")), "words")
+    return materialise(texts.where(F.length("_t") > 0).select(F.explode(runs).alias("r")).where(F.length("r") > 0).select(F.split("r", " ").alias("w")), "words")
 
 
 def letter_pairs(words: DataFrame) -> list[float]:
@@ -244,7 +244,7 @@ def worded_tokens(words: DataFrame, pairs: list[float], strata: list[int]) -> Da
         return F.concat(body, F.translate(digits, "0189", "2345") if name == "base32" else digits)
 
     of = lambda value: reduce(lambda rest, k: F.when(F.col("stratum") == k, value(k)).otherwise(rest), strata, F.lit(None))
-    tokens = chosen.select("stratum", of(made).alias("token"), of(lambda k: F.lit(ENCODINGS[k // len(BANDS)][1])).alias("alphabet"), of(lambda k: F.lit(BANDS[k % len(BANDS)])).alias("n")).where(F.length("token") == F.col("n"))
+    tokens = chosen.select("stratum", of(made).alias("token"), of(lambda k: F.lit(ENCODINGS[k // len(BANDS)][1])).alias("alphabet"), of(lambda k: F.lit(BANDS[k % len(BANDS)])).alias("n")).where(F.length("token") == F.col("n")).distinct()
     return tokens.select("stratum", let(F.col("token"), lambda t: _score(t, _p_values(t, F.col("alphabet")), pairs)).alias("score"))
 
 
