@@ -375,10 +375,11 @@ def merge_edges_mac(spark, d):
     return _joints(spark, d, False, "mac")
 
 
-RANKED_CELLS = f"v AS (SELECT feature, sample_idx, {RANKS.format(c='x')} x FROM d)"
+RANKED_CELLS = f"rk AS (SELECT feature, sample_idx, {RANKS.format(c='x')} x FROM d)"
+RANKS_AGREE = f"z AS (SELECT pred, succ, 0.5 * (1 - ({CORR.format(a='a.x', b='b.x')})) v FROM j JOIN rk a ON a.feature = pred JOIN rk b ON b.feature = succ AND a.sample_idx = b.sample_idx GROUP BY 1, 2) SELECT j.* FROM j JOIN z USING (pred, succ) WHERE v < 0.2"
 
 
-@register("merge_edges_spearman", f"WITH {joints_sql(False)}, {RANKED_CELLS}, " + AGREE.format(v=f"0.5 * (1 - ({CORR.format(a='a.x', b='b.x')}))").replace("v AS (", "w AS (", 1).replace("JOIN d ", "JOIN v ").replace("JOIN v USING", "JOIN w USING"))
+@register("merge_edges_spearman", f"WITH {joints_sql(False)}, {RANKED_CELLS}, {RANKS_AGREE}")
 def merge_edges_spearman(spark, d):
     return _joints(spark, d, False, "spearman")
 
@@ -607,13 +608,13 @@ def tool_alignment_quality(spark, d):
 
 
 TAIL = WELCH[WELCH.index("a AS (") : WELCH.index("p AS (")].rstrip().rstrip(",")
-GROUPS = "w AS (SELECT CAST(s_suppkey % 4 AS int) g, CAST(count(*) AS double) n, avg(CAST(s_acctbal AS double)) m, var_samp(CAST(s_acctbal AS double)) v FROM supplier GROUP BY 1), c AS (SELECT a.g g1, b.g g2, a.m - b.m diff, a.v / a.n va, b.v / b.n vb, a.n n1, b.n n2 FROM w a JOIN w b ON a.g < b.g), t AS (SELECT concat(g1, ':', g2) feature, g1, g2, diff / sqrt(va + vb) t, (va + vb) * (va + vb) / (va * va / (n1 - 1) + vb * vb / (n2 - 1)) df FROM c)"
+GROUPS = "w AS (SELECT CAST(c_custkey % 4 AS int) g, CAST(count(*) AS double) n, avg(CAST(c_acctbal AS double)) m, var_samp(CAST(c_acctbal AS double)) v FROM customer GROUP BY 1), c AS (SELECT a.g g1, b.g g2, a.m - b.m diff, a.v / a.n va, b.v / b.n vb, a.n n1, b.n n2 FROM w a JOIN w b ON a.g < b.g), t AS (SELECT concat(g1, ':', g2) feature, g1, g2, diff / sqrt(va + vb) t, (va + vb) * (va + vb) / (va * va / (n1 - 1) + vb * vb / (n2 - 1)) df FROM c)"
 
 
 @register("tool_pairwise_t", f"WITH {GROUPS}, {TAIL}, p AS (SELECT g1, g2, least(1.0, 2 * exp(lgamma((t.df + 1) / 2) - lgamma(t.df / 2)) / sqrt(pi()) * area) p FROM t JOIN q USING (feature)) SELECT g1 AS group_1, g2 AS group_2, round(p, 6) + 0.0 AS p, round(least(1.0, p * count(*) OVER ()), 6) + 0.0 AS p_adjusted, least(1.0, p * count(*) OVER ()) < 0.05 AS significant FROM p")
 def tool_pairwise_t(spark, d):
-    s = fx.table(spark, d, "supplier").select((F.col("s_suppkey") % 4).cast("int").alias("g"), F.col("s_acctbal").cast("double").alias("v"))
-    return tools.pairwise_t_tests(s, "g", "v").withColumns({c: r6(c) for c in ("p", "p_adjusted")})
+    c = fx.table(spark, d, "customer").select((F.col("c_custkey") % 4).cast("int").alias("g"), F.col("c_acctbal").cast("double").alias("v"))
+    return tools.pairwise_t_tests(c, "g", "v").withColumns({c: r6(c) for c in ("p", "p_adjusted")})
 
 
 @register("tool_fold_summary", "SELECT o_orderpriority AS method, o_orderstatus AS workflow, round(median(CAST(o_totalprice AS double)), 6) + 0.0 AS median, round(min(CAST(o_totalprice AS double)), 6) + 0.0 AS min, round(max(CAST(o_totalprice AS double)), 6) + 0.0 AS max FROM orders GROUP BY 1, 2")
