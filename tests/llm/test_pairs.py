@@ -232,3 +232,103 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert 5 in ids["near_duplicates"] and not {6, 7, *range(100, 120)} & ids["near_duplicates"]
     whole = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r[:5]) for r in whole) == sorted(str(r[:5]) for r in seen["packing"])
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage's rows against a plain version of it, over the rows that the stage before it returned."""
+    import re
+    import zlib
+
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm import op8_quality as quality
+
+    from .test_scans import base_secrets, counts
+
+    rng = random.Random(40)
+    items = [(i, prose(rng, rng.choice([3, 15, 40]))) for i in range(8)]
+    rows = [(i, prose(rng, rng.randint(10, 160)), rng.choice(["en", "fr", None]), rng.choice(["a", "b", None]), 9) for i in range(220)]
+    rows += [(1000 + i, edited(rng, rows[i % 7][1], rng.choice([0.0, 0.02, 0.1])), "en", "a", 9) for i in range(60)]
+    rows += [(2000 + i, f"{prose(rng, 40)} {rng.choice(items)[1]} {prose(rng, 40)}", "en", "a", 9) for i in range(20)]
+    rows += [(3000 + i, f"{prose(rng, 50)} password=abc{i}def token: zyxwvut {prose(rng, 20)}", "fr", "b", 9) for i in range(10)]
+    rows += [(4000 + i, " ".join(w + "##" for w in prose(rng, 60).split()), "en", "a", 9) for i in range(10)]
+    rows += [(None, prose(rng, 50), "en", "a", 9), (5000, None, "en", "a", 0), (5001, "", "en", "a", 0), (5002, rows[0][1], "en", "a", 9), (5002, rows[0][1], "en", "a", 9)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(pipeline.STAGES)
+    plain = lambda df: [tuple(r) for r in df.collect()]
+    key = lambda rows: sorted(map(str, rows))
+
+    def next_of(name, given):
+        out = stage[name](spark, given, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    # quality: the plain rules by brute force, the outlier test by its own report (which test_scans holds against NumPy)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = next_of("quality_rules", docs)
+    n = {str(t): counts(t or "") for _, t, *_ in rows}
+    passing = [r for r in rows if n[str(r[1])][0] >= 20 and 100 * n[str(r[1])][4] <= 30 * n[str(r[1])][0]]
+    got = key(plain(kept))
+    assert set(got) <= set(key(passing)) and all(got.count(x) == key(rows).count(x) for x in set(got))
+    report = {str(r["doc_id"]): r for r in quality.quality_report(docs).collect()}
+    assert {str(r[0]) for r in plain(kept)} == {i for i, r in report.items() if r["kept"]}
+    assert not {str(4000 + i) for i in range(10)} & {str(r[0]) for r in plain(kept)} and kept.count() > 0.9 * (len(passing) - 10)
+
+    # near duplicates
+    given = plain(kept)
+    single = next_of("near_duplicates", kept)
+    least = {i: c for i, _, c in brute_groups(given, 5, 80, 100)}
+    assert key(plain(single)) == key(r for r in given if least[str(r[0])] == str(r[0]))
+
+    # decontamination: the rule itself, over all pairs
+    clean = next_of("decontamination", single)
+    words = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
+    left = []
+    for r in plain(single):
+        t, leak = words(r[1]), False
+        for _, x in items:
+            w = words(x)
+            k = min(4, len(w))
+            grams, there = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}, {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+            if len(grams & there) >= max(1, len(grams) // leaks.KEPT):
+                number = {v: i for i, v in enumerate({*w, *t})}
+                leak |= brute_alignment([number[v] for v in w], [number[v] for v in t]) >= len(w)  # half of 2 points a word
+        if not leak:
+            left.append(r)
+    assert key(plain(clean)) == key(left) and len(left) < single.count()
+
+    # secrets: marks in place of the union of the spans
+    marked = next_of("secret_scans", clean)
+    want = []
+    for i, t, lang, source, size in left:
+        out, at = "", 0
+        for _, a, b in base_secrets(t):
+            out += t[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        want.append((i, out + t[at:], lang, source, len(out + t[at:])) if at else (i, t, lang, source, size))
+    assert key(plain(marked)) == key(want) and any("[SECRET]" in r[1] for r in want)
+
+    # packing
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = []
+    for i, t, *_ in want:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        pieces += [(i, p, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for p, at in enumerate(range(0, len(ids), 4096))]
+    packed = plain(stage["packing"](spark, marked, str(tmp_path)))
+    assert key(r[:5] for r in packed) == key(pieces)
+    assert len({r[5] for r in packed}) <= 1.1 * sum(r[3] for r in pieces) / 4096 + 1
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    """Empty tables, and documents of which none passes."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(1, prose(random.Random(1), 20))], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    empty.write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    spark.createDataFrame([(1, None, None, None, None), (None, "few words", "en", "a", 9)], SCHEMA).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
