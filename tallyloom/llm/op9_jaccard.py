@@ -13,9 +13,9 @@ over the classes is traversed against itself, and its node pairs are pruned by t
   pruned where the sizes' ratio or that bound can't reach the threshold.
 * Pairs of sets that survive are compared token by token.
 
-A first pass compares each class with the smallest class it shares a node with, and then the members of a node with its
-smallest class where those are still apart, which ties large groups of near copies together with about as many pairs
-as members. The tree below a node is traversed only where the node then still holds several
+A first pass compares each class with the smallest class it shares a node with, and then (HUB_ROUNDS times) the members of a node with
+its hub, the member with most links so far, where those are still apart: this ties large groups of near copies together with about
+as many pairs as members, since copies of one text link to those nearest to it. The tree below a node is traversed only where the node then still holds several
 components, in blocks of bounded size, and node pairs inside one component are pruned too. Links missing from such a
 component join what is already joined, so the components are those of all links. Components come from star contraction,
 tables of edges that shrink step by step.
@@ -41,6 +41,7 @@ GROWTH = 1.3  # of a size range
 BLOCK = 1024  # members of a node that one task takes in on either side
 FAN_OUT = 8
 KEYS_LISTED = 64
+HUB_ROUNDS = 1
 
 
 def size_ranges(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,6 +368,15 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct(), "components")
 
 
+def hub_pairs(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (a, b): each member (sig, node, comp) of an upper node and the node's hub, where a component doesn't hold both."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ranked = labelled.join(degree, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    hubs = ranked.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("less"), "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    apart = labelled.join(hubs.select("sig", (-F.col("h.less")).alias("hub"), F.col("h.comp").alias("of")), "sig").where(F.col("comp") != F.col("of"))
+    return _in_order(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
 def in_blocks(members: DataFrame) -> DataFrame:
     """Adds blk, the block of each member (sig, comp, node) in its upper node: of about BLOCK members.
 
@@ -385,12 +395,6 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that no component holds both of."""
-    of = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of each row under "reachable by links": doc_id, n_shingles, component_id (the smallest id in it).
 
@@ -413,18 +417,21 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     names = materialise(classes.join(held.select("k1").distinct(), "k1").select("k1", "node"), "names")
     sets = materialise(token_table(df, n, id_col, text_col, bit_filter(names, "node")), "tokens")
 
-    # first pass: every class against the smallest class it shares a node with, then nodes' members against the node's smallest
-    stars = held.select("k1", "pivot").distinct().join(names.select("k1", F.col("node").alias("a")), "k1").join(names.select(F.col("k1").alias("pivot"), F.col("node").alias("b")), "pivot").where("a <> b")
-    stars = materialise(stars.select("a", "b", "pivot"), "stars")
-    nearest = stars.groupBy("a").agg(F.min(F.struct("pivot", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    first = materialise(check_pairs(_in_order(nearest), sets, num, den), "links")
-    comps = components(first)
-    rest = _apart(stars, comps).join(nearest, ["a", "b"], "left_anti")
-    first = materialise(first.union(check_pairs(_in_order(rest), sets, num, den)), "links")
+    # first pass: every class against the smallest class it shares a node with, then nodes' members against their hubs
+    near = held.where("k1 <> pivot").groupBy("k1").agg(F.min("pivot").alias("pivot")).join(names.select("k1", F.col("node").alias("a")), "k1").join(names.select(F.col("k1").alias("pivot"), F.col("node").alias("b")), "pivot")
+    tried = materialise(_in_order(near.where("a <> b").select("a", "b")), "tried")
+    first = materialise(check_pairs(tried, sets, num, den), "links")
     comps = components(first)
-
-    # second pass: below nodes whose other members still are in several components
-    labelled = materialise(held.where("k1 <> pivot").join(names, "k1").join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    under = materialise(held.join(names, "k1").select("sig", "node"), "under")
+    relabel = lambda: materialise(under.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    for _ in range(HUB_ROUNDS):
+        more = materialise(hub_pairs(relabel(), first).join(tried, ["a", "b"], "left_anti"), "hubs")
+        tried = tried.union(more)
+        first = materialise(first.union(check_pairs(more, sets, num, den)), "links")
+        comps = components(first)
+
+    # second pass: below nodes whose members still are in several components
+    labelled = relabel()
     mixed = labelled.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "n")
     members = materialise(labelled.join(mixed, "sig"), "mixed")
     # a node of one leaf: its few pairs are what a traversal would come to
