@@ -15,6 +15,7 @@ from ..functions import seq, vec
 from ..matrix import FeatureMatrix
 from ..operators import filter as filters
 from ..operators import index, mask, merge, score, tools
+from ..storage import materialise
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,11 @@ def rows(m: FeatureMatrix) -> DataFrame:
     return m.long().select("feature", "sample_idx", r6("value").alias("value"))
 
 
+def stored(m: FeatureMatrix) -> FeatureMatrix:
+    """The matrix from a written table, as the verbs read it from an index: for what goes through it more than once."""
+    return m.with_df(materialise(m.df, "matrix"))
+
+
 P, U, K = fx.PARTS_SQL, fx.USERS_SQL, fx.kmers_sql()
 ALL = "SELECT feature, sample_idx, round(x, 6) + 0.0 AS value FROM d"
 
@@ -56,7 +62,7 @@ def index_nf(spark, d):
 
 @register("index_normalize", f"WITH {P}, {NF} SELECT feature, sample_idx, round(x * nf, 6) + 0.0 AS value FROM d JOIN nf USING (sample_idx)")
 def index_normalize(spark, d):
-    m = fx.parts(spark, d)
+    m = stored(fx.parts(spark, d))
     return rows(index.normalise(m, index.compute_nf(m, 1e6)))
 
 
@@ -106,7 +112,7 @@ def filter_neutral(spark, d):
 
 @register("round_int", f"WITH {P}, {NF} SELECT feature, sample_idx, CAST(floor(x * nf + 0.5) AS bigint) AS value FROM d JOIN nf USING (sample_idx)")
 def round_int(spark, d):
-    m = fx.parts(spark, d)
+    m = stored(fx.parts(spark, d))
     n = index.normalise(m, index.compute_nf(m, 1e6))
     return n.df.select("feature", F.posexplode(vec.half_up(F.col("counts"))).alias("sample_idx", "value"))
 
@@ -347,8 +353,7 @@ def joints_sql(stranded: bool, overlap: int = 30) -> str:
 
 
 def _joints(spark, d, stranded: bool, method: str | None = None) -> DataFrame:
-    m = fx.kmers(spark, d, 31, stranded)
-    m = m.with_df(merge.materialise(m.df, "kmers"))
+    m = stored(fx.kmers(spark, d, 31, stranded))
     return merge.agreeing(merge.joints(merge.seeds(m), 30, stranded), m, method, 0.2).select("pred", "pred_fwd", "succ", "succ_fwd")
 
 
@@ -386,9 +391,8 @@ def merge_edges_spearman(spark, d):
 
 def _contigs(spark, d, **more) -> tuple[DataFrame, FeatureMatrix]:
     """Contigs over the operator's own overlaps, 30 to 15."""
-    m = fx.kmers(spark, d, 31)
-    m = m.with_df(merge.materialise(m.df, "kmers"))
-    return merge.materialise(merge.merge(m, **more), "contigs"), m
+    m = stored(fx.kmers(spark, d, 31))
+    return materialise(merge.merge(m, **more), "contigs"), m
 
 
 def _counted(how: str) -> Query:
@@ -416,8 +420,7 @@ def merge_min_members(spark, d):
 @register("merge_scored_maxabs")
 def merge_scored_maxabs(spark, d):
     """Score, then merge with the score as representative value."""
-    m = fx.kmers(spark, d, 31)
-    m = m.with_df(merge.materialise(m.df, "kmers"))
+    m = stored(fx.kmers(spark, d, 31))
     values = score.score(m, "sd").select("feature", F.col("score").alias("value"))
     return merge.merge(m, values, rep_mode="maxabs").select("contig", "nb_merged", "rep", r6("rep_value").alias("rep_value"))
 
@@ -523,7 +526,7 @@ def tool_signature_sharing(spark, d):
 @register("tool_select_genes", f"WITH {P}, c AS (SELECT sample_idx, sum(x) t FROM d GROUP BY 1), n AS (SELECT sample_idx, round(avg(t) OVER () / t, 6) nf FROM c) SELECT feature, sample_idx, round(x * nf, 6) + 0.0 AS value FROM d JOIN n USING (sample_idx) WHERE feature IN (SELECT concat('P', CAST(l_partkey AS varchar)) FROM lineitem WHERE l_returnflag = 'R')")
 def tool_select_genes(spark, d):
     wanted = fx.table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("feature"))
-    return rows(tools.select_features(fx.parts(spark, d), wanted))
+    return rows(tools.select_features(stored(fx.parts(spark, d)), wanted))
 
 
 LABELLED = "SELECT quality AS label, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS prediction, n_chars AS score FROM labels JOIN documents USING (doc_id)"
@@ -626,8 +629,7 @@ def tool_fold_summary(spark, d):
 @register("tool_ridge_predict")
 def tool_ridge_predict(spark, d):
     """Ridge on the busiest parts, and its prediction of every sample."""
-    m = fx.parts(spark, d)
-    m = m.with_df(merge.materialise(m.df, "parts"))
+    m = stored(fx.parts(spark, d))
     best = score.select_top(score.score(m, "snr", labels=fx.LABELS), "snr", 20)
     samples = tools.samples_as_rows(m.with_df(best.select("feature", "counts")), fx.LABELS)
     return tools.predict(tools.fit_model(samples, "ridge"), samples).withColumn("prob_1", F.round("prob_1", 4))
@@ -635,7 +637,7 @@ def tool_ridge_predict(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index, normalise, filter, round: feature, sample_idx, value."""
-    m = fx.parts(spark, sf_dir)
+    m = stored(fx.parts(spark, sf_dir))
     kept = filters.filter_features(index.normalise(m, index.compute_nf(m, 1e6)), fx.STATUS, (1.0, 3), (1e9, 3))
     return kept.df.select("feature", F.posexplode(vec.half_up(F.col("counts"))).alias("sample_idx", "value"))
 
