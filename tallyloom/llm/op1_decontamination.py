@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bits import bit_filters, can_hold
-from .shared import materialise, table
+from .shared import materialise, passing, table
 from .words import U, Words, chunks, shingles, slices, words
 
 N = 4
@@ -246,7 +246,8 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null or empty text stay, and so do rows with a null id that hold no item; repeated rows stay or go together;
     an empty table gives an empty one.
     """
-    found = materialise(contaminated(df, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks")
+    with passing(df.sparkSession):
+        found = materialise(contaminated(df, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks", keep=True)
     return df.join(found, df["doc_id"].eqNullSafe(found["_id"]) & F.xxhash64(df["text"]).eqNullSafe(found["_key"]), "left_anti")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .op8_quality import let, once
-from .shared import materialise, table
+from .shared import materialise, passing, table
 
 PATTERNS = {
     "assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -313,10 +313,12 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has none (the SHA-256 is that of the empty string); null ids and repeated rows are kept, each
     row reported by itself; an empty table gives an empty result; other columns aren't read.
     """
-    words = word_runs(df.select(F.col(text_col).alias("_t")))
-    pairs = letter_pairs(words)
-    kept = materialise(df.select(F.col(id_col).alias("_id"), findings(F.col(text_col), pairs).alias("_f")), "secrets")
-    spans = kept.withColumn("_s", all_spans(F.col("_f"), fit_cuts(_exploded(kept), words, pairs, max_false)))
+    with passing(df.sparkSession):
+        words = word_runs(df.select(F.col(text_col).alias("_t")))
+        pairs = letter_pairs(words)
+        kept = materialise(df.select(F.col(id_col).alias("_id"), findings(F.col(text_col), pairs).alias("_f")), "secrets", keep=True)
+        cuts = fit_cuts(_exploded(kept), words, pairs, max_false)
+    spans = kept.withColumn("_s", all_spans(F.col("_f"), cuts))
     number = lambda i: F.size(F.filter("_s", lambda s: s["kind"] == i)).cast("long")
     base = F.filter("_s", lambda s: s["kind"] < len(PATTERNS))
     return spans.select(
@@ -359,14 +361,16 @@ def redact_secrets(df: DataFrame, mark: str = "[SECRET]", max_false: float = MAX
     """df with every secret in `text` replaced by a mark and n_chars set anew where that changed the text.
 
     All rows stay, null and empty texts as they are; repeated rows are changed alike; an empty table gives an empty one.
-    The texts are written once beside their findings, so that these are computed once.
+    Findings are computed twice, for the cuts and for the marks: a copy of the texts would take more disk than the input.
     """
     rows = df.select(F.struct("*").alias("_row"), F.col("text").alias("_t"))
-    words = word_runs(rows.select("_t"))
-    pairs = letter_pairs(words)
-    found = materialise(rows.select("_row", once(findings(F.col("_t"), pairs)).alias("_f")), "secrets")
-    cuts = fit_cuts(_exploded(found), words, pairs, max_false)
-    out = found.withColumn("_s", all_spans(F.col("_f"), cuts)).withColumn("_clean", redacted(F.col("_row.text"), F.col("_s"), mark))
+    with passing(df.sparkSession):
+        words = word_runs(rows.select("_t"))
+        pairs = letter_pairs(words)
+        found = rows.select(once(findings(F.col("_t"), pairs)).alias("_f")).select(F.struct("_f.tokens").alias("_f")).where(F.size("_f.tokens") > 0)
+        cuts = fit_cuts(_exploded(found), words, pairs, max_false)
+    spans = rows.withColumn("_f", once(findings(F.col("_t"), pairs))).withColumn("_s", once(all_spans(F.col("_f"), cuts)))
+    out = spans.withColumn("_clean", redacted(F.col("_t"), F.col("_s"), mark))
     changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_s") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`") for c in df.columns))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise, table
+from .shared import materialise, passing, table
 
 WORD_GAP = r"[\x20\x09-\x0D]"
 #: axes: name, variance of the statistic in a text of size 1, and what the size counts. The square root of a share of N
@@ -248,12 +248,18 @@ def _grouped(df: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     return df.withColumns({"_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
 
 
-def _judged(points: DataFrame) -> DataFrame:
-    """Adds _distance and _kept: false where a plain rule fails or the distance exceeds LIMIT. points: a written table."""
-    named = materialise(groups(points), "groups")
-    narrow = points.where(~F.col("_failed")).select("_lang", "_source", *(f"_x{k}" for k in range(P)), *(f"_v_{n}" for n in SIZES))
-    model = fit(materialise(narrow.join(named, ["_lang", "_source"]).drop("_lang", "_source"), "narrow"))
-    judged = points.join(materialise(named.join(model, "_group"), "models"), ["_lang", "_source"], "left").withColumn("_distance", squared_distance(at_typical_length()))
+def _model(points: DataFrame) -> DataFrame:
+    """The estimates for each _lang and _source of a written table of points."""
+    with passing(points.sparkSession):
+        named = materialise(groups(points), "groups")
+        narrow = points.where(~F.col("_failed")).select("_lang", "_source", *(f"_x{k}" for k in range(P)), *(f"_v_{n}" for n in SIZES))
+        model = fit(materialise(narrow.join(named, ["_lang", "_source"]).drop("_lang", "_source"), "narrow"))
+        return materialise(named.join(model, "_group"), "models", keep=True)
+
+
+def _judged(points: DataFrame, model: DataFrame) -> DataFrame:
+    """Adds _distance and _kept: false where a plain rule fails or the distance exceeds LIMIT."""
+    judged = points.join(model, ["_lang", "_source"], "left").withColumn("_distance", squared_distance(at_typical_length()))
     return judged.withColumn("_kept", ~F.col("_failed") & ~F.coalesce(F.col("_distance") > LIMIT, F.lit(False)))
 
 
@@ -264,7 +270,8 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows are judged alike, each in its own row; an empty table gives an empty result; other columns aren't read.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), text_counts(F.col(text_col)).alias("_c"))
-    judged = _judged(materialise(_with_point(_grouped(rows, "_l", "_s")).drop("_l", "_s"), "points"))
+    points = materialise(_with_point(_grouped(rows, "_l", "_s")).drop("_l", "_s"), "points")
+    judged = _judged(points, _model(points))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(F.col("_id").alias(id_col), *(F.col(f"_c.{c}").alias(c) for c in counts), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
 
@@ -273,11 +280,15 @@ def keep_quality(df: DataFrame) -> DataFrame:
     """The rows of df that quality_report keeps, with their columns as they are.
 
     Null texts go, as they fail; null ids stay or go by their texts; repeated rows stay or go together; an empty table
-    gives an empty one. The texts are written once beside their counts, so that these are computed once.
+    gives an empty one. The counts are computed twice, for the estimates and for the verdict: a copy of the texts beside
+    the counts would take more disk than the input.
     """
     rows = df.select(F.struct("*").alias("_row"), F.col("lang").alias("_l"), F.col("source").alias("_s"), once(text_counts(F.col("text"))).alias("_c"))
-    flagged = materialise(_with_point(_grouped(rows, "_l", "_s")).drop("_l", "_s", "_c"), "points")
-    return _judged(flagged).where("_kept").select("_row.*")
+    flagged = _with_point(_grouped(rows, "_l", "_s"))
+    with passing(df.sparkSession):
+        points = materialise(flagged.select("_lang", "_source", "_failed", *(f"_x{k}" for k in range(P)), *(f"_v_{n}" for n in SIZES)), "points")
+        model = _model(points)
+    return _judged(flagged, model).where("_kept").select("_row.*")
 
 
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .bits import bit_filter, can_hold, kept, passing
 from .shared import materialise, table
+from .shared import passing as scratch
 from .words import ASCII_LOWER, U, chunks, encoded, mix, shingles, slices, words
 
 GROWTH = 1.3  # of a size range
@@ -464,7 +465,8 @@ def keep_one_of_each(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (8
     Rows without an id stay, and so do those without a word, which are copies of nothing. Rows that share an id are one document:
     all of them stay if that id does. An empty table gives an empty one.
     """
-    keep = materialise(similar_groups(df, n, similarity).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    with scratch(df.sparkSession):
+        keep = materialise(similar_groups(df, n, similarity).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies", keep=True)
     return df.join(keep, df["doc_id"] == keep["_gone"], "left_anti")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialise, shared_root
+from ..storage import materialise, passing, shared_root
 
-__all__ = ["materialise", "scratch_path", "shared_root", "table", "with_row_number"]
+__all__ = ["materialise", "passing", "scratch_path", "shared_root", "table", "with_row_number"]
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
