@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,38 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors. Removed with the JVM."""
+_open: list[list[str]] = []  # tables made inside each passing() block that is open
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Inside, tables are written for a result that is written itself or gathered before the block ends; at its end they are removed.
+
+    What the block returns must not read them: write it with materialise(..., keep=True).
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Removed with the JVM, or at the end of the passing() block that it is made in, unless it is kept.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
