@@ -139,13 +139,17 @@ _MODEL = ["_group", *(f"_m{i}" for i in range(P)), *(f"_c{i}" for i in range(P))
 
 
 def factorised(df: DataFrame) -> DataFrame:
-    """From the scatter _s00.. and the least pivots _f0..: its variances _c, pivots _d and factors _l, and _logdet."""
-    df = df.withColumns({f"_c{k}": F.greatest(f"_s{k}{k}", f"_f{k}") for k in range(P)})
+    """From the scatter _s00.. and the least pivots _f0..: its variances _c, pivots _d and factors _l, and _logdet.
+
+    One projection, whose later columns name earlier ones: _e<k><i><j> is the scatter after k steps of elimination.
+    """
+    left = lambda k, i, j: f"_e{k}{i}{j}" if k else f"_s{i}{j}"
+    steps = [f"greatest(_s{k}{k}, _f{k}) AS _c{k}" for k in range(P)]
     for k in range(P):
-        df = df.withColumn(f"_d{k}", F.greatest(f"_s{k}{k}", f"_f{k}"))
-        df = df.withColumns({f"_l{k}{i}": F.col(f"_s{k}{i}") / F.col(f"_d{k}") for i in range(k + 1, P)})
-        df = df.withColumns({f"_s{i}{j}": F.col(f"_s{i}{j}") - F.col(f"_l{k}{i}") * F.col(f"_s{k}{j}") for i in range(k + 1, P) for j in range(i, P)})
-    return df.withColumn("_logdet", reduce(lambda a, b: a + b, (F.log(f"_d{k}") for k in range(P))))
+        steps.append(f"greatest({left(k, k, k)}, _f{k}) AS _d{k}")
+        steps += [f"{left(k, k, i)} / _d{k} AS _l{k}{i}" for i in range(k + 1, P)]
+        steps += [f"{left(k, i, j)} - _l{k}{i} * {left(k, k, j)} AS _e{k + 1}{i}{j}" for i in range(k + 1, P) for j in range(i, P)]
+    return df.selectExpr("*", *steps, f"{' + '.join(f'ln(_d{k})' for k in range(P))} AS _logdet")
 
 
 def squared_distance(deviations: list[Column]) -> Column:
