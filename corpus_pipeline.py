@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared folder and read
 again as the next stage's docs. All stages but the last return the columns of documents.
+
+Null and empty texts fail the quality rules, so later stages see none; null ids and repeated rows are told apart by no
+stage and stay or go by their texts (near duplicates: rows without an id stay; rows that share an id are one document).
+Empty tables give empty results; further columns of documents are dropped.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: the stages use hashes, tokens and iterations that SQL can't express; tests hold them against brute force
+#: the stages use tokens, estimates and iterations that SQL can't express; tests hold each against a plain version
 ORACLE_SQL = None
 
 
