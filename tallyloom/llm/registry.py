@@ -16,6 +16,7 @@ _QUERIES = [
     ("op9_signature_trees", "op9_jaccard", "sql.OP9_SQL"),
     ("op7_content_addressed_warc", "op7_warc", "op7_warc.OP7_SQL"),
     ("op10_language_mixture", "op10_language", None),
+    ("op11_perfect_hash_alignment", "op11_alignment", None),
 ]
 
 
