@@ -106,7 +106,7 @@ def find_personal_data(text: str) -> list[tuple[int, int, int]]:
         if anchor == "digit":
             run_goes_on = at > 0 and "0" <= text[at - 1] <= "9"
             if at >= end["ip"] and (not run_goes_on or at == end["ip"]) and (m := _IP.match(text, at)):
-                take("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+                take("ip", at, m.end(), all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))))
             if at >= end["card"] and (not run_goes_on or at == end["card"]) and (m := _CARD.match(text, at)):
                 d = _digits(m[0])
                 take("card", at, m.end(), 12 <= len(d) <= 19 and passes_luhn(d))

@@ -166,7 +166,7 @@ def test_uniform_p_values_for_uniform_tokens(spark):
 def base_pii(t):
     digits = lambda s: re.sub(r"[^0-9]", "", s)
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in m[0].split(".")))]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and pii.passes_luhn(digits(m[0]))]
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
     return sorted(out)
@@ -177,6 +177,8 @@ def test_personal_data_by_brute_force(spark, docs, wide, empty):
     for _ in range(20000):
         t = "".join(rng.choice("a1.@+- 09(:/25%İé4") for _ in range(rng.randint(0, 45)))
         assert base_pii(t) == [s for s in pii.find_personal_data(t) if s[1] < 4], t
+    for t in ("0" * 5000 + ".1.1.1", "1.1.1." + "0" * 4301, "1.1.1." + "9" * 5000, "1.1." + "1" * 6000 + ".1", "+" + "1" * 5000, "4" * 5000):
+        assert base_pii(t) == [s for s in pii.find_personal_data(t) if s[1] < 4]
     found = pii.personal_data(docs)
     assert found.count() == docs.count() and same(found, pii.personal_data(wide))
     assert pii.personal_data(empty).count() == 0
