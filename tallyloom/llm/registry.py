@@ -17,6 +17,7 @@ _QUERIES = [
     ("op7_content_addressed_warc", "op7_warc", "op7_warc.OP7_SQL"),
     ("op10_language_mixture", "op10_language", None),
     ("op11_perfect_hash_alignment", "op11_alignment", None),
+    ("op12_pair_maxscore", "op12_search", "sql.OP12_SQL"),
     ("op13_order_minhash", "op13_fingerprints", None),
 ]
 

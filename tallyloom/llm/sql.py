@@ -50,3 +50,23 @@ SELECT o.doc_id, o.size, o.text_crc32, 'rows' AS law, CAST(w.v % {shards} AS int
 
 
 OP3_SQL = shards_sql(24, 20240229)
+
+
+def search_sql(k: int) -> str:
+    """All terms of all documents, and the sum of impacts of every document and item that share one."""
+    terms = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms("text")} w FROM documents),
+t AS (SELECT doc_id, unnest(w) term FROM d),
+p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(len(w) AS bigint) n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) docs, CAST(sum(n) AS bigint) total FROM n),
+f AS (SELECT term, count(*) df FROM p GROUP BY 1),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS double) / CAST(2 * df + 1 AS double))) AS bigint) w FROM f, s),
+i AS (SELECT DISTINCT item_id, unnest({terms("text")}) term FROM benchmark),
+m AS (SELECT doc_id, 50 + ((50 * n * docs) // total) m FROM n, s),
+c AS (SELECT i.item_id, p.doc_id, CAST(sum(v.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m))) AS bigint) score FROM i JOIN p ON p.term = i.term JOIN v ON v.term = i.term JOIN m ON m.doc_id = p.doc_id GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {k}"""
+
+
+OP12_SQL = search_sql(50)
