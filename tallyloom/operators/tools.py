@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import seq, vec
+from ..functions import seq, superkmers, vec
 from ..functions.student_t import student_t_p
 from ..matrix import FeatureMatrix
 from ..storage import running_sums
@@ -23,9 +23,8 @@ def library_strand(reads: DataFrame, library_type: str) -> DataFrame:
 
 
 def count_kmers(reads: DataFrame, k: int, stranded: bool = True, least: int = 2, sample: str = "sample_idx") -> DataFrame:
-    """sample, feature, cnt: k-mers of column seq by sample, of at least `least` occurrences there; summed in each task first."""
-    each = seq.window_codes(reads.select(sample, "seq"), "seq", k, not stranded)
-    counted = each.groupBy(sample, "code").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
+    """sample, feature, cnt: k-mers of column seq by sample, of at least `least` occurrences there; stretches that share a minimiser are shuffled."""
+    counted = superkmers.counted(reads, "seq", sample, k, not stranded).where(F.col("cnt") >= least)
     return counted.select(sample, seq.decode(F.col("code"), k).alias("feature"), "cnt")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import seq, superkmers
 from ..matrix import FeatureMatrix, from_long
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -66,11 +66,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmers(spark: SparkSession, sf_dir: str, k: int = 13, stranded: bool = False) -> FeatureMatrix:
-    """K-mers that occur in three samples or more; codes are counted and grouped, sequences written out at the end."""
-    cells = seq.window_codes(reads(spark, sf_dir), "seq", k, not stranded).groupBy("code", "sample_idx").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    grouped = cells.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "cnt"))).alias("m")).where(F.size("m") >= 3)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return FeatureMatrix(grouped.select(seq.decode(F.col("code"), k).alias("feature"), dense.alias("counts")), names(), k, stranded)
+    """K-mers that occur in three samples or more; sequences are written out at the end."""
+    cells = superkmers.vectors(reads(spark, sf_dir), "seq", "sample_idx", k, not stranded, N, 3)
+    return FeatureMatrix(cells.select(seq.decode(F.col("code"), k).alias("feature"), "counts"), names(), k, stranded)
 
 
 def dna_sql(column: str = "text") -> str:
