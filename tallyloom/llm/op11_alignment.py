@@ -36,7 +36,10 @@ from .shared import materialise, table
 from .words import U, Words, chunks, mix, same_words, slices, word_hashes
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-CACHE_UNITS = 300_000
+CACHE_UNITS = 400_000
+TOGETHER = 2000
+SHORT = 1000
+WHITE = " \t\n\r\x0b\x0c"
 MAX_KEYS = 1 << 22
 BUCKET_KEYS = 1 << 14
 SEGMENT = 1 << 16
@@ -62,7 +65,9 @@ class Pair:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(_path(a))
@@ -74,21 +79,35 @@ class Pair:
         self.a_bytes = [bytes(letters[c] for c in names[i]) if all(c in letters for c in names.get(i, "\0")) else b"" for i in range(max(names) + 1)]
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        # the same vocabulary and pattern in the quicker of two libraries, for many short units at once
+        self.units = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes) if t}, special_tokens={})
         self.a_size, self.b_size = np.array([len(t) for t in self.a_bytes]), np.array([len(t) for t in self.b_bytes])
         # each id in decimal with what can follow it: A's ids "," or "|", B's "," or ";"
         self.written = [b"%d%s" % (i, e) for i in range(len(self.a_bytes)) for e in (b",", b"|")] + [b"%d%s" % (i, e) for i in range(len(self.b_bytes)) for e in (b",", b";")]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of texts that begin with a space, and which texts both tokenizers give back; others get no ids."""
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        ok = np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            want = t.encode("utf-8", "surrogatepass")
-            ok[i] = b"".join(map(self.a_bytes.__getitem__, a[i])) == want == b"".join(map(self.b_bytes.__getitem__, b[i]))
-            if not ok[i]:
-                a[i], b[i] = [], []
-        return a, b, ok
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their numbers in each text, for A and for B, of texts that begin with a space; which texts both give back: others get no ids."""
+        parts = [self._together(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts encoded as one, where each but the first begins a unit: then its ids are its own. Where bytes are lost, each by itself."""
+        joined = "".join(texts)
+        want = joined.encode("utf-8", "surrogatepass")
+        short = max(map(len, texts)) <= SHORT
+        a = self.units.encode_ordinary(joined) if short else self.a.encode(joined, add_special_tokens=False).ids
+        b = self.b.encode(joined[1:], num_threads=1)
+        own = len(texts) == 1 or short and all(t[-1] not in WHITE for t in texts[:-1])
+        if own and b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b)):
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+            upto = [np.searchsorted(np.cumsum(size[ids]), ends, "right") for size, ids in ((self.a_size, a), (self.b_size, b))]
+            if all((np.cumsum(size[ids])[n - 1] == ends).all() for size, ids, n in ((self.a_size, a, upto[0]), (self.b_size, b, upto[1]))):
+                return a, np.diff(upto[0], prepend=0), b, np.diff(upto[1], prepend=0), np.ones(len(texts), bool)
+        if len(texts) == 1:
+            none = np.zeros(0, np.int64)
+            return none, np.zeros(1, np.int64), none, np.zeros(1, np.int64), np.zeros(1, bool)
+        return tuple(np.concatenate(x) for x in zip(*(self._together([t]) for t in texts), strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -120,12 +139,12 @@ def align(pair: Pair, texts: list[str]) -> Aligned:
     The elementary stretches between all ends of tokens are the links: each lies in one token of either kind, and two tokens
     that overlap have one of them in common.
     """
-    a, b, ok = pair.encode(texts)
-    n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    ids_a, ids_b = np.fromiter((i for x in a for i in x), np.int64, int(n_a.sum())), np.fromiter((i for x in b for i in x), np.int64, int(n_b.sum()))
+    ids_a, n_a, ids_b, n_b, ok = pair.encode(texts)
     ends_a, ends_b = np.cumsum(pair.a_size[ids_a]), np.cumsum(pair.b_size[ids_b])
     last = np.concatenate([[0], ends_a])[np.cumsum(n_a)]  # each text's end
-    every, joint = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+    every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    twice = np.append(every[1:] == every[:-1], False)[: len(every)]
+    joint, every = every[twice], every[~twice]
     keys = (ids_a[np.searchsorted(ends_a, every)] << ID_BITS) | ids_b[np.searchsorted(ends_b, every)]
     upto = np.searchsorted(every, last, "right")
     n_links, n_groups = np.diff(upto, prepend=0), np.diff(np.searchsorted(joint, last, "right"), prepend=0)
@@ -159,15 +178,15 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.hashes, self.at = Aligned.none(), np.zeros(0, U), np.zeros(0, np.int64)
-        self.bytes: dict[int, bytes] = {}
+        self.known, self.hashes, self.at, self.sizes = Aligned.none(), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes: dict[int, bytes] = {}  # of hashes of more than eight bytes: up to eight, hash and size tell
 
     def chunk(self, texts: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
         """Units, the numbers of the units that the texts consist of, and for each text the place of its first (one entry more than texts).
 
         Null and empty texts have none, nor have texts that a tokenizer doesn't give back.
         """
-        whole = [bool(t) and (t[-1] in " \t\n\r\x0b\x0c" or bool(_ODD_SPACE.search(t))) for t in texts]
+        whole = [bool(t) and (t[-1] in WHITE or bool(_ODD_SPACE.search(t))) for t in texts]
         w = units([b"" if x or not t else t.encode("utf-8", "surrogatepass") for t, x in zip(texts, whole, strict=True)])
         distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE_UNITS:
@@ -175,18 +194,20 @@ class Aligner:
         at = np.searchsorted(self.hashes, distinct)
         seen = at < len(self.hashes)
         seen[seen] = self.hashes[at[seen]] == distinct[seen]
-        if not same_words(w, first[which]) or any(self.bytes[h] != w.bytes(i) for h, i in zip(distinct[seen].tolist(), first[seen], strict=True)):
+        size = (w.ends - w.starts)[first]
+        long = seen & (size > 8)
+        if not same_words(w, first[which]) or (self.sizes[at[seen]] != size[seen]).any() or any(self.bytes[h] != w.bytes(i) for h, i in zip(distinct[long].tolist(), first[long].tolist(), strict=True)):
             whole = [bool(t) for t in texts]  # two units of one hash
         else:
             new = np.flatnonzero(~seen)
             if len(new):
                 found = [w.bytes(i) for i in first[new]]
-                self.bytes.update(zip(distinct[new].tolist(), found, strict=True))
+                self.bytes.update((h, t) for h, t in zip(distinct[new].tolist(), found, strict=True) if len(t) > 8)
                 number = len(self.known.ok) + np.arange(len(new))
                 self.known = self.known.and_(align(self.pair, [t.decode("utf-8", "surrogatepass") for t in found]))
                 h, n = np.concatenate([self.hashes, distinct[new]]), np.concatenate([self.at, number])
                 order = np.argsort(h, kind="stable")
-                self.hashes, self.at = h[order], n[order]
+                self.hashes, self.at, self.sizes = h[order], n[order], np.concatenate([self.sizes, size[new]])[order]
                 at = np.searchsorted(self.hashes, distinct)
             which = self.at[at][which]
             bad = np.flatnonzero(~self.known.ok[which])
@@ -195,8 +216,7 @@ class Aligner:
         plain = np.array([bool(t) and not x for t, x in zip(texts, whole, strict=True)], bool)
         rest = [i for i, x in enumerate(whole) if x]
         if not rest:
-            size = np.where(plain, np.diff(w.first), 0)
-            return self.known, which[np.repeat(plain, np.diff(w.first))], np.concatenate([[0], np.cumsum(size)])
+            return self.known, which[np.repeat(plain, np.diff(w.first))], np.concatenate([[0], np.cumsum(np.where(plain, np.diff(w.first), 0))])
         out = self.known.and_(align(self.pair, [" " + texts[i] for i in rest]))
         number = dict(zip(rest, range(len(self.known.ok), len(out.ok)), strict=True))
         each = [which[w.first[i] : w.first[i + 1]] if plain[i] else np.array([number[i]] if i in number and out.ok[number[i]] else [], np.int64) for i in range(len(texts))]

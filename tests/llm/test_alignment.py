@@ -14,7 +14,8 @@ def plain(pair, texts):
     """The contract's columns for each text, from all pairs of tokens."""
     docs = []
     for t in texts:
-        (a,), (b,), _ = pair.encode([" " + t]) if t else ([[]], [[]], None)
+        a, _, b, _, _ = pair.encode([" " + t] if t else [])
+        a, b = a.tolist(), b.tolist()
         ends = lambda ids, size: np.cumsum([0] + [len(size[i]) for i in ids]).tolist()
         x, y = ends(a, pair.a_bytes), ends(b, pair.b_bytes)
         links = [(a[i], b[j]) for i in range(len(a)) for j in range(len(b)) if x[i] < y[j + 1] and y[j] < x[i + 1]]
@@ -40,6 +41,19 @@ def pair():
     return al.Pair(*al.VOCABULARIES)
 
 
+def test_ids_are_those_of_the_whole_text(pair):
+    """One text at a time by the tokenizers themselves, and many units encoded together."""
+    rng = random.Random(6)
+    letters = [*"abc de.,'éñ日本 AB12🙂▁\x00", " the ", "'s", "  x", "<|endoftext|>"]
+    texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    a, n_a, b, n_b, ok = pair.encode(texts)
+    assert 100 < ok.sum() < len(texts)
+    for t, x, y, good in zip(texts, np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1]), ok, strict=True):
+        want = pair.a.encode(t, add_special_tokens=False).ids, pair.b.encode(t[1:])
+        given = all(b"".join(map(size.__getitem__, ids)) == t.encode() for size, ids in zip((pair.a_bytes, pair.b_bytes), want, strict=True))
+        assert (x.tolist(), y.tolist()) == (want if given else ([], [])) and given == good
+
+
 ODD = ["a  b", "x ▁ y", "tail ", " head", "\n\t", "<|endoftext|> <s></s> <0x41>", "日本語 中文", "a\x00b", "é é", "the the the"]
 
 
@@ -65,8 +79,8 @@ def test_long_text_clashing_columns_and_no_rows(spark, pair, rows, wide, empty):
     assert al.align_documents(empty).count() == 0
     text = "long " * 60000 + "　 tail"
     r = al.align_documents(spark.createDataFrame([("x", text)], "doc_id string, text string"), with_groups=True).first()
-    a, b, _ = pair.encode([" " + text])
-    assert (r["doc_id"], r["n_a"], r["n_b"]) == ("x", len(a[0]), len(b[0])) and hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"]
+    a, _, b, _, _ = pair.encode([" " + text])
+    assert (r["doc_id"], r["n_a"], r["n_b"]) == ("x", len(a), len(b)) and hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"]
 
 
 def test_aligner_is_the_same_for_units_and_whole_texts(pair):
