@@ -40,6 +40,14 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def flip_code(code: Column, k: int) -> Column:
+    """The code of the reverse complement: bases swapped in ever larger groups."""
+    x = F.bitwise_not(code)
+    for shift, keep in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(keep)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(keep)), shift))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
 def _codes(bases: np.ndarray, k: int) -> np.ndarray:
     """Codes of all windows of k bases (0 to 3), by doubling: windows of 2 n bases from two of n."""
     done, width = np.zeros(len(bases) - k + 1, np.int64), 0

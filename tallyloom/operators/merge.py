@@ -3,25 +3,41 @@
 For each overlap length, longest first, the contigs' ends of that length are grouped by sequence (canonical if unstranded). A knot
 where exactly one contig ends and exactly one other begins is a joint; an optional test on the counts of the two k-mers
 at the joint must pass. Every contig then has at most one joint at either side, so joints form paths, which are
-contracted at once: pointer doubling ranks the contigs of every path, and a grouping concatenates them. The overlap is repeated
-until nothing joins, since contraction can free a knot that a contig occupied with both ends.
-
-Choices where the order of work would otherwise decide: in unstranded data, ends that are their own reverse complement are no knots;
-a contig both of whose ends lie at one knot joins nothing there; cycles are cut before their smallest contig;
-among equal representative values the smallest k-mer (stranded: the leftmost) represents the contig, and the contig
-is written so that its representative reads forward.
+contracted at once: paths are walked within buckets of the joints' minimisers and glued where they cross buckets (functions/paths.py),
+and a grouping concatenates their contigs. Contigs are handled by two-bit codes: of their representative k-mer, their outer k-mers and the k - 1 bases
+at either end; sequences and members move only when they are joined.
+
+Where the order of work would otherwise decide, there are two rules (`palindromes`):
+
+"skip": in unstranded data, ends that are their own reverse complement are no knots; a contig both of whose ends lie at one knot joins nothing there;
+cycles are cut before their smallest contig; among equal representative values the smallest k-mer (stranded: the leftmost)
+represents the contig, and the contig is written so that its representative reads forward. Contraction changes no end that isn't joined,
+so one pass settles an overlap.
+
+"orient": what one worker does that takes contigs in the order of their representatives' codes and knots in the order of theirs. An end
+that is its own reverse complement counts as its contig is written at the time. A contig both of whose ends lie at one knot is entered once, as
+what the knot lacks. In a pass, a joint is made unless one of its contigs has already been taken up by another; of the two, the one with the better
+representative value (of equal ones the first in the knot's orientation) takes up the other and keeps its orientation. Passes follow until nothing
+joins. Here, a pass needs no sequence: whether a joint is made depends on the joint before it at the same contig alone, so the joints
+that hinge on each other form chains and take turns along them, and a chain is settled by the distances from its beginning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seq, vec
+from ..functions import paths, seq, superkmers, vec
 from ..matrix import FeatureMatrix
 from ..storage import materialise
 
 REP_MODES = {"min": lambda v: v, "max": lambda v: -v, "minabs": lambda v: F.abs(v), "maxabs": lambda v: -F.abs(v)}
+PALINDROMES = ("skip", "orient")
+_COLUMNS = ["code", "seq", "rep_value", "members", "head", "rear", "pre", "suf"]
 
 
 def _store(df: DataFrame) -> DataFrame:
@@ -29,8 +45,12 @@ def _store(df: DataFrame) -> DataFrame:
     return materialise(df, "merge")
 
 
+def _low(code: Column, bases: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << 2 * bases) - 1))
+
+
 def seeds(m: FeatureMatrix, values: DataFrame | None = None) -> DataFrame:
-    """Contigs of one k-mer each: id, seq, rep, rep_value, members; values: (feature, value) to start from, else all with 0.
+    """Contigs of one k-mer each: code, seq, rep_value, members, head, rear, pre, suf; values: (feature, value) to start from, else all with 0.
 
     values of contigs that are already merged raise: a contig is no k-mer.
     """
@@ -38,101 +58,154 @@ def seeds(m: FeatureMatrix, values: DataFrame | None = None) -> DataFrame:
         raise ValueError("contigs of several k-mers can't be merged again")
     df = m.df.select("feature") if values is None else values.join(m.df.select("feature"), "feature", "left_semi")
     value = F.lit(0.0) if values is None else F.col("value").cast("double")
-    return df.select(F.col("feature").alias("id"), F.col("feature").alias("seq"), F.col("feature").alias("rep"), value.alias("rep_value"), F.array("feature").alias("members"))
+    coded = df.select(seq.encode(F.col("feature"), m.k).alias("code"), F.col("feature").alias("seq"), value.alias("rep_value"))
+    c = F.col("code")
+    return coded.select("code", "seq", "rep_value", F.array(c).alias("members"), c.alias("head"), c.alias("rear"), F.shiftright(c, 2).alias("pre"), _low(c, m.k - 1).alias("suf"))
 
 
-def joints(contigs: DataFrame, overlap: int, stranded: bool) -> DataFrame:
-    """pred, pred_fwd, succ, succ_fwd and the k-mers at the joint (pred_mer, succ_mer) of each mergeable knot.
+def _ends(contigs: DataFrame, overlap: int, k: int, stranded: bool) -> DataFrame:
+    """code, mer (at the end), is_pre, knot, rc (whether the end is read backward at the knot), own (its own reverse complement), of both ends."""
+    side = lambda end, mer, is_pre: F.struct(end.alias("end"), F.col(mer).alias("mer"), F.lit(is_pre).alias("is_pre"))
+    pre, suf = F.shiftrightunsigned("pre", 2 * (k - 1 - overlap)), _low(F.col("suf"), overlap)
+    each = contigs.select("code", F.explode(F.array(side(pre, "head", True), side(suf, "rear", False))).alias("e")).select("code", "e.*")
+    other = F.col("end") + 1 if stranded else seq.flip_code(F.col("end"), overlap)
+    return each.withColumn("other", other).select("code", "mer", "is_pre", F.least("end", "other").alias("knot"), (F.col("other") < F.col("end")).alias("rc"), (F.col("other") == F.col("end")).alias("own"))
+
+
+def joints(contigs: DataFrame, overlap: int, k: int, stranded: bool) -> DataFrame:
+    """knot, pred, pred_fwd, succ, succ_fwd (codes of contigs) and the k-mers at the joint (pred_mer, succ_mer) of each mergeable knot.
 
     pred_fwd and succ_fwd tell whether the contig is read forward in the knot's orientation.
     """
-    n = F.length("seq")
-    ends = contigs.where(n > overlap).select(
-        "id", F.get("members", F.lit(0)).alias("head"), F.element_at("members", -1).alias("rear"), F.substring("seq", 1, overlap).alias("pre"), F.substring(F.col("seq"), n - overlap + 1, F.lit(overlap)).alias("suf")
-    )
-    side = lambda end, mer, is_pre: F.struct(F.col(end).alias("end"), F.col(mer).alias("mer"), F.lit(is_pre).alias("is_pre"))
-    each = ends.select("id", F.explode(F.array(side("pre", "head", True), side("suf", "rear", False))).alias("e")).select("id", "e.*")
-    rc = F.lit(False) if stranded else seq.flip(F.col("end")) < F.col("end")
-    each = each.withColumn("knot", seq.encode(seq.oriented(F.col("end"), stranded), overlap)).withColumn("rc", rc)
-    if not stranded:
-        each = each.where(F.col("end") != seq.flip(F.col("end")))
+    each = _ends(contigs, overlap, k, stranded).where("not own")
     # a prefix read forward follows the knot, a suffix leads to it; read backward they change places
     pred = F.col("is_pre") == F.col("rc")
-    one = lambda is_pred: F.max(F.when(pred == is_pred, F.struct("id", (~F.col("rc")).alias("fwd"), "mer")))
-    knots = each.groupBy("knot").agg(F.count_if(pred).alias("np"), F.count_if(~pred).alias("ns"), one(True).alias("p"), one(False).alias("s"))
-    return knots.where("np = 1 and ns = 1 and p.id <> s.id").select(F.col("p.id").alias("pred"), F.col("p.fwd").alias("pred_fwd"), F.col("s.id").alias("succ"), F.col("s.fwd").alias("succ_fwd"), F.col("p.mer").alias("pred_mer"), F.col("s.mer").alias("succ_mer"))
+    of = lambda is_pred, c: F.max(F.when(pred == is_pred, c))  # noqa: E731  looked at where there is one
+    knots = each.groupBy("knot").agg(
+        F.count_if(pred).alias("np"), F.count_if(~pred).alias("ns"), *(of(is_pred, F.col(c)).alias(f"{name}{c}") for is_pred, name in ((True, "p"), (False, "s")) for c in ("code", "rc", "mer"))
+    )
+    return knots.where("np = 1 and ns = 1 and pcode <> scode").select("knot", F.col("pcode").alias("pred"), (~F.col("prc")).alias("pred_fwd"), F.col("scode").alias("succ"), (~F.col("src")).alias("succ_fwd"), F.col("pmer").alias("pred_mer"), F.col("smer").alias("succ_mer"))
 
 
-def agreeing(edges: DataFrame, m: FeatureMatrix, method: str | None, threshold: float) -> DataFrame:
-    """The joints whose k-mers' count vectors are nearer than the threshold; method: pearson, spearman, mac or None."""
+def oriented_joints(contigs: DataFrame, overlap: int, k: int, stranded: bool) -> DataFrame:
+    """The same under the rule "orient": ends by how their contigs are written, contigs with both ends at a knot once.
+
+    A knot takes one contig before it and one behind; with a third entry it is ambiguous, so only knots of two are looked at.
+    """
+    each = _ends(contigs, overlap, k, stranded).groupBy("knot", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("is_pre"), F.col("rc"))).alias("prc"), F.max(F.when(~F.col("is_pre"), F.col("rc"))).alias("src"), F.max(F.when(F.col("is_pre"), F.col("mer"))).alias("head"), F.max(F.when(~F.col("is_pre"), F.col("mer"))).alias("rear"),
+    )
+    entry = F.struct("code", F.col("n").alias("n"), "prc", "src", "head", "rear")
+    pairs = each.groupBy("knot").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("a"), F.max(entry).alias("b")).where("n = 2")
+    prc, src = lambda e: F.col(f"{e}.prc"), lambda e: F.col(f"{e}.src")
+    # the role of a contig with one end there, and of one with both, entered into a knot that lacks a predecessor or not
+    single = lambda e: F.when(prc(e).isNotNull(), prc(e)).otherwise(~src(e))  # noqa: E731  is it a predecessor?
+    single_rc = lambda e: F.coalesce(prc(e), src(e))
+    as_pred = lambda e: F.when(~src(e), F.lit(False)).when(prc(e), F.lit(True))  # noqa: E731  read backward? null: can't
+    as_succ = lambda e: F.when(~prc(e), F.lit(False)).when(src(e), F.lit(True))
+    first_pred = F.when(F.col("a.n") == 1, single("a")).otherwise(as_pred("a").isNotNull())
+    first_rc = F.when(F.col("a.n") == 1, single_rc("a")).when(as_pred("a").isNotNull(), as_pred("a")).otherwise(as_succ("a"))
+    second_rc = F.when(F.col("b.n") == 1, F.when(single("b") != first_pred, single_rc("b"))).when(first_pred, as_succ("b")).otherwise(as_pred("b"))
+    known = pairs.select("knot", "a", "b", first_pred.alias("first_pred"), first_rc.alias("arc"), second_rc.alias("brc")).where("brc is not null")
+    pick = lambda x, y: F.when(F.col("first_pred"), x).otherwise(y)
+    both = known.select("knot", pick(F.col("a"), F.col("b")).alias("p"), pick(F.col("b"), F.col("a")).alias("s"), pick(F.col("arc"), F.col("brc")).alias("prc"), pick(F.col("brc"), F.col("arc")).alias("src"))
+    mer = lambda e, head: F.when(head, F.col(f"{e}.head")).otherwise(F.col(f"{e}.rear"))
+    return both.select("knot", F.col("p.code").alias("pred"), (~F.col("prc")).alias("pred_fwd"), F.col("s.code").alias("succ"), (~F.col("src")).alias("succ_fwd"), mer("p", F.col("prc")).alias("pred_mer"), mer("s", ~F.col("src")).alias("succ_mer"))
+
+
+def agreeing(edges: DataFrame, coded: DataFrame | None, method: str | None, threshold: float) -> DataFrame:
+    """The joints whose k-mers' count vectors (coded: code, counts) are nearer than the threshold; method: pearson, spearman, mac or None."""
     if method in (None, "none"):
         return edges
-    side = lambda name: m.df.select(F.col("feature").alias(f"{name}_mer"), F.col("counts").alias(f"{name}_counts"))
+    side = lambda name: coded.select(F.col("code").alias(f"{name}_mer"), F.col("counts").alias(f"{name}_counts"))
     both = edges.join(side("pred"), "pred_mer").join(side("succ"), "succ_mer")
-    return both.withColumn("distance", vec.DISTANCES[method](F.col("pred_counts"), F.col("succ_counts"))).where(F.col("distance") < threshold).drop("pred_counts", "succ_counts", "distance")
-
-
-def _node(mer: str, fwd) -> Column:
-    """A contig in one reading direction, as a long: twice its representative's code, and 1 if read forward."""
-    return seq.encode(F.col(mer), 31) * 2 + F.when(fwd, 1).otherwise(0)
-
-
-def _ranked(edges: DataFrame, stranded: bool) -> DataFrame:
-    """For each contig of a path, in both reading directions if unstranded: node, path (its last node), rank (from the path's end)."""
-    arcs = edges.select(_node("pred", F.col("pred_fwd")).alias("a"), _node("succ", F.col("succ_fwd")).alias("b"))
-    turned = lambda c: F.col(c).bitwiseXOR(F.lit(1))
-    if not stranded:
-        arcs = arcs.union(arcs.select(turned("b"), turned("a")))
-    arcs = _store(arcs)
-    for _ in range(2):  # a second time where cycles had to be cut
-        ends = arcs.select(F.col("b").alias("a")).join(arcs.select("a"), "a", "left_anti")
-        start = arcs.select("a", "b", F.lit(1).cast("long").alias("d"), F.least("a", "b").alias("low"), F.lit(False).alias("done"))
-        now = _store(start.union(ends.select("a", F.col("a").alias("b"), F.lit(0).cast("long"), F.col("a"), F.lit(True))))
-        span, n = 1, now.count()
-        while True:
-            step = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("e"), F.col("low").alias("low2"), F.col("done").alias("done2"))
-            moved = now.where("not done").join(step, "b").select("a", F.col("c").alias("b"), (F.col("d") + F.col("e")).alias("d"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
-            now = _store(now.where("done").union(moved))
-            span *= 2
-            loose = now.where("not done")
-            if loose.isEmpty():
-                return now.select(F.col("a").alias("node"), F.col("b").alias("path"), F.col("d").alias("rank"))
-            if span > n:
-                break
-        # what still moves lies on cycles, whose smallest node all of their nodes now know: no arc leads into it. In unstranded data
-        # a cycle and its mirror image start at the same contig; the mirror loses the arc that leaves that contig's other reading
-        cut = loose.where(F.shiftright("a", 1) == F.shiftright("low", 1)).select("a")
-        forward = cut.where("a & 1 = 1")
-        arcs = _store(arcs.join(forward.select(F.col("a").alias("b")), "b", "left_anti").join(cut.where("a & 1 = 0"), "a", "left_anti"))
-    raise AssertionError("cycles remain after their cut")
-
-
-def contract(contigs: DataFrame, edges: DataFrame, overlap: int, stranded: bool, rep_mode: str) -> DataFrame:
-    """The contigs with every path of joints made one. Sequences and members move once, for the reading direction that is written."""
-    ranked = _store(_ranked(edges, stranded).withColumn("code", F.shiftright("node", 1)).withColumn("fwd", F.col("node").bitwiseAND(F.lit(1)) == 1))
-    coded = contigs.withColumn("code", seq.encode(F.col("id"), 31))
+    return both.withColumn("distance", vec.DISTANCES[method](F.col("pred_counts"), F.col("succ_counts"))).where(F.col("distance") < threshold).select(*edges.columns)
+
+
+def coded_counts(m: FeatureMatrix) -> DataFrame:
+    """code, counts of a matrix of k-mers."""
+    return m.df.select(seq.encode(F.col("feature"), m.k).alias("code"), "counts")
+
+
+def _arcs(edges: DataFrame, overlap: int, stranded: bool) -> DataFrame:
+    """a, b, key: the joints as arcs of path_ranks, in both reading directions if unstranded; the key is the knot's minimiser."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = superkmers.minimiser_length(overlap)
+        for batch in batches:
+            knot, p, pf, s, sf = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            least = np.min([superkmers._order((knot >> 2 * j) & ((1 << 2 * m) - 1), m) for j in range(overlap - m + 1)], axis=0).view(np.int64)
+            a, b = 2 * p + pf, 2 * s + sf
+            if not stranded:
+                a, b, least = np.concatenate([a, b ^ 1]), np.concatenate([b, a ^ 1]), np.concatenate([least, least])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least)], names=["a", "b", "key"])
+
+    return edges.select("knot", "pred", "pred_fwd", "succ", "succ_fwd").mapInArrow(cut, "a long, b long, key long")
+
+
+def _ranked(edges: DataFrame, overlap: int, stranded: bool) -> DataFrame:
+    """path, rank, code, fwd of every contig of a path, in both reading directions if unstranded."""
+    ranks = paths.path_ranks(_store(_arcs(edges, overlap, stranded)))
+    return _store(ranks.select("path", "rank", F.shiftright("node", 1).alias("code"), (F.col("node").bitwiseAND(F.lit(1)) == 1).alias("fwd")))
+
+
+def _representatives(contigs: DataFrame, ranked: DataFrame, stranded: bool, rep_mode: str) -> DataFrame:
+    """path, code, rep_value: of every path in the reading direction in which its best contig reads forward."""
     value = REP_MODES[rep_mode](F.col("rep_value"))
-    best = F.min(F.struct(value.alias("v"), *([-F.col("rank")] if stranded else []), F.col("rep").alias("r"), F.col("rep_value").alias("rv"), "fwd"))
-    chosen = ranked.join(coded.select("code", "rep", "rep_value"), "code").groupBy("path").agg(best.alias("best")).where("best.fwd")
-    parts = ranked.join(chosen, "path").join(coded.select("code", "seq", "members"), "code")
+    best = F.min(F.struct(value.alias("v"), *([-F.col("rank")] if stranded else []), F.col("code").alias("code"), "rep_value", "fwd"))
+    return ranked.join(contigs.select("code", "rep_value"), "code").groupBy("path").agg(best.alias("best")).where("best.fwd").select("path", F.col("best.code").alias("best"), F.col("best.rep_value").alias("rep_value"))
+
+
+def contract(contigs: DataFrame, ranked: DataFrame, chosen: DataFrame, overlap: int, k: int) -> DataFrame:
+    """The contigs with every path made one. Sequences and members move once, for the reading direction that is written (chosen: path, best, rep_value)."""
+    parts = ranked.join(chosen, "path").join(contigs.select("code", "seq", "members"), "code")
     turned = parts.select(
-        "path", "best", (-F.col("rank")).alias("at"),
+        "path", "best", "rep_value", (-F.col("rank")).alias("at"),
         F.when(F.col("fwd"), F.col("seq")).otherwise(seq.flip(F.col("seq"))).alias("seq"),
         F.when(F.col("fwd"), F.col("members")).otherwise(F.reverse("members")).alias("members"),
     )
-    joined = turned.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "members"))).alias("p"), F.first("best").alias("best"))
+    joined = turned.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "members"))).alias("p"), F.first("best").alias("code"), F.first("rep_value").alias("rep_value"))
     whole = joined.select(
-        F.col("best.r").alias("id"),
+        "code", "rep_value",
         F.concat(F.get("p", F.lit(0))["seq"], F.array_join(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda x: F.substring(x["seq"], F.lit(overlap + 1), F.length(x["seq"]))), "")).alias("seq"),
-        F.col("best.r").alias("rep"), F.col("best.rv").alias("rep_value"), F.flatten(F.transform("p", lambda x: x["members"])).alias("members"),
+        F.flatten(F.transform("p", lambda x: x["members"])).alias("members"),
     )
-    rest = coded.join(ranked.select("code").distinct(), "code", "left_anti")
-    return rest.select("id", "seq", "rep", "rep_value", "members").union(whole)
+    ends = {"head": F.get("members", F.lit(0)), "rear": F.element_at("members", -1), "pre": seq.encode(F.substring("seq", 1, k - 1), k - 1), "suf": seq.encode(F.right(F.col("seq"), F.lit(k - 1)), k - 1)}
+    rest = contigs.join(ranked.select("code").distinct(), "code", "left_anti")
+    return rest.select(*_COLUMNS).union(whole.withColumns(ends).select(*_COLUMNS))
+
+
+def made_joints(edges: DataFrame, contigs: DataFrame, rep_mode: str) -> DataFrame:
+    """The joints that one pass of the sequential worker makes, with loser: the contig that is taken up.
+
+    A joint hinges on an earlier one (a smaller knot) at the same contig if that one takes the contig up. Then exactly one of the two
+    is made, unless the joint hinges on two. Nothing hinges on a joint that hinges on two: both its neighbours come before it.
+    """
+    value = REP_MODES[rep_mode](F.col("rep_value"))
+    side = lambda name: contigs.select(F.col("code").alias(name), value.alias(f"{name}_value"))
+    ruled = _store(edges.join(side("pred"), "pred").join(side("succ"), "succ").withColumn("loser", F.when(F.col("pred_value") <= F.col("succ_value"), F.col("succ")).otherwise(F.col("pred"))).select(*edges.columns, "loser"))
+    at = ruled.select("knot", "loser", F.explode(F.array("pred", "succ")).alias("contig"))
+    both = at.groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("knot", "loser")).alias("first"), F.max("knot").alias("then")).where("n = 2 and first.loser = contig")
+    hinges = _store(both.select(F.col("then").alias("a"), F.col("first.knot").alias("b")))
+    twice = hinges.groupBy("a").count().where("count > 1").select("a")
+    turns = paths.distances(_store(hinges.join(twice, "a", "left_anti")))
+    later = _store(turns.select(F.col("node").alias("b"), (F.col("rank") % 2 == 0).alias("made")))
+    # a joint that hinges on two is made if neither is; what no other hinges on and hinges on none is always made
+    lost = hinges.join(twice, "a", "left_semi").join(later.where("not made"), "b", "left_anti").select("a").distinct()
+    never = later.where("not made").select(F.col("b").alias("knot")).union(lost.withColumnRenamed("a", "knot"))
+    return ruled.join(never, "knot", "left_anti")
+
+
+def _survivors(contigs: DataFrame, ranked: DataFrame, made: DataFrame) -> DataFrame:
+    """path, best, rep_value: the contig of each path that no joint takes up, in its own reading direction."""
+    left = ranked.where("fwd").join(made.select(F.col("loser").alias("code")), "code", "left_anti")
+    return left.join(contigs.select("code", "rep_value"), "code").select("path", F.col("code").alias("best"), "rep_value")
 
 
 def merge(
-    m: FeatureMatrix, values: DataFrame | None = None, longest: int | None = None, shortest: int | None = None, intervention: tuple[str | None, float] = ("pearson", 0.20), rep_mode: str = "min", min_members: int = 1
-) -> DataFrame:
+    m: FeatureMatrix, values: DataFrame | None = None, longest: int | None = None, shortest: int | None = None, intervention: tuple[str | None, float] = ("pearson", 0.20), rep_mode: str = "min", min_members: int = 1,
+    palindromes: str = "skip",
+) -> DataFrame:
     """Contigs of the matrix's k-mers: contig, nb_merged, rep, rep_value, members (from the contig's start).
 
     Overlaps go from `longest` (default k - 1) down to `shortest` (default k // 2).
@@ -144,15 +217,26 @@ def merge(
         raise ValueError("overlaps must satisfy 1 <= shortest <= longest < k")
     if rep_mode not in REP_MODES:
         raise ValueError(f"unknown representative {rep_mode!r}")
+    if palindromes not in PALINDROMES:
+        raise ValueError(f"unknown rule {palindromes!r}: one of {', '.join(PALINDROMES)}")
     method, threshold = intervention
     contigs = _store(seeds(m, values))
+    coded = None if method in (None, "none") else _store(coded_counts(m))
     for overlap in range(longest, shortest - 1, -1):
         while True:
-            edges = _store(agreeing(joints(contigs, overlap, m.stranded), m, method, threshold))
+            found = (joints if palindromes == "skip" else oriented_joints)(contigs, overlap, m.k, m.stranded)
+            edges = _store(agreeing(found, coded, method, threshold))
             if edges.isEmpty():
                 break
-            contigs = _store(contract(contigs, edges, overlap, m.stranded, rep_mode))
-    out = contigs.select(F.col("seq").alias("contig"), F.size("members").alias("nb_merged"), "rep", "rep_value", "members")
+            if palindromes == "skip":
+                ranked = _ranked(edges, overlap, m.stranded)
+                contigs = _store(contract(contigs, ranked, _representatives(contigs, ranked, m.stranded, rep_mode), overlap, m.k))
+                break
+            made = _store(made_joints(edges, contigs, rep_mode))
+            ranked = _ranked(made, overlap, m.stranded)
+            contigs = _store(contract(contigs, ranked, _survivors(contigs, ranked, made), overlap, m.k))
+    kmer = lambda c: seq.decode(c, m.k)
+    out = contigs.select(F.col("seq").alias("contig"), F.size("members").alias("nb_merged"), kmer(F.col("code")).alias("rep"), "rep_value", F.transform("members", kmer).alias("members"))
     return out.where(F.col("nb_merged") >= min_members)
 
 

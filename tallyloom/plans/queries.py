@@ -354,7 +354,9 @@ def joints_sql(stranded: bool, overlap: int = 30) -> str:
 
 def _joints(spark, d, stranded: bool, method: str | None = None) -> DataFrame:
     m = stored(fx.kmers(spark, d, 31, stranded))
-    return merge.agreeing(merge.joints(merge.seeds(m), 30, stranded), m, method, 0.2).select("pred", "pred_fwd", "succ", "succ_fwd")
+    edges = merge.agreeing(merge.joints(merge.seeds(m), 30, 31, stranded), merge.coded_counts(m), method, 0.2)
+    kmer = lambda c: seq.decode(F.col(c), 31).alias(c)
+    return edges.select(kmer("pred"), "pred_fwd", kmer("succ"), "succ_fwd")
 
 
 @register("merge_edges_stranded", f"WITH {joints_sql(True)} SELECT * FROM j")
