@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import seq, vec
 from ..matrix import FeatureMatrix
 from ..operators import filter as filters
-from ..operators import index, mask, merge, score, tools
+from ..operators import index, mask, merge, models, score, tools
 from ..storage import materialise
 from . import fixtures as fx
 
@@ -637,6 +637,38 @@ def tool_ridge_predict(spark, d):
     return tools.predict(tools.fit_model(samples, "ridge"), samples).withColumn("prob_1", F.round("prob_1", 4))
 
 
+def _busiest(spark, d) -> FeatureMatrix:
+    """The twenty parts that tell the classes apart best."""
+    m = stored(fx.parts(spark, d))
+    return m.with_df(score.select_top(score.score(m, "snr", labels=fx.LABELS), "snr", 20).select("feature", "counts"))
+
+
+@register("tool_lasso_path")
+def tool_lasso_path(spark, d):
+    """Cross-validated deviance along the path of penalties."""
+    found = models.cross_validation(spark, models.design(_busiest(spark, d), fx.LABELS), 1.0, 5, 50)
+    return found.withColumns({c: r6(c) for c in ("penalty", "mean", "sd")})
+
+
+@register("tool_stability_selection")
+def tool_stability_selection(spark, d):
+    """In how many of 2,000 resamples a lasso at the chosen penalty selects each feature."""
+    design = models.design(_busiest(spark, d), fx.LABELS)
+    return models.stability(spark, design, models.fit_path(spark, design, 1.0, 5, 50).penalty, 1.0)
+
+
+@register("tool_elastic_net")
+def tool_elastic_net(spark, d):
+    """Coefficients of an elastic net over the features that 2,000 resamples agree on."""
+    return models.fit_model(_busiest(spark, d), fx.LABELS, "elasticnet", folds=5).table(spark).withColumn("coefficient", r6("coefficient"))
+
+
+@register("tool_top_ridge")
+def tool_top_ridge(spark, d):
+    """Coefficients of ridge on the five features with the largest ones among all."""
+    return models.fit_top_ridge(_busiest(spark, d), fx.LABELS, 5, 5).table(spark).withColumn("coefficient", r6("coefficient"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index, normalise, filter, round: feature, sample_idx, value."""
     m = stored(fx.parts(spark, sf_dir))
