@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, table
-from .words import U, Words, chunks, mix, same_words, slices, word_hashes
+from .words import U, Words, blocks, chunks, mix, same_words, slices, word_hashes
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 CACHE_UNITS = 400_000
 TOGETHER = 2000
 SHORT = 1000
-WHITE = " \t\n\r\x0b\x0c"
+WHITE = b" \t\n\r\x0b\x0c"
 MAX_KEYS = 1 << 22
 BUCKET_KEYS = 1 << 14
 SEGMENT = 1 << 16
@@ -47,7 +47,7 @@ TREE = 16
 PENDING = 1 << 20  # partial sums that a task of the first pass holds
 ID_BITS = 32  # of the second id of a pair's key
 
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]|[\x1c-\x1f]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space beyond WHITE
 
 
 def _path(name: str) -> str:
@@ -85,25 +85,29 @@ class Pair:
         # each id in decimal with what can follow it: A's ids "," or "|", B's "," or ";"
         self.written = [b"%d%s" % (i, e) for i in range(len(self.a_bytes)) for e in (b",", b"|")] + [b"%d%s" % (i, e) for i in range(len(self.b_bytes)) for e in (b",", b";")]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and their numbers in each text, for A and for B, of texts that begin with a space; which texts both give back: others get no ids."""
         parts = [self._together(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
 
-    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Texts encoded as one, where each but the first begins a unit: then its ids are its own. Where bytes are lost, each by itself."""
-        joined = "".join(texts)
-        want = joined.encode("utf-8", "surrogatepass")
-        short = max(map(len, texts)) <= SHORT
+        want = b"".join(texts)
+        joined = want.decode("utf-8", "surrogatepass")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        short = sizes.max() <= SHORT
         a = self.units.encode_ordinary(joined) if short else self.a.encode(joined, add_special_tokens=False).ids
         b = self.b.encode(joined[1:], num_threads=1)
-        own = len(texts) == 1 or short and all(t[-1] not in WHITE for t in texts[:-1])
+        own = len(texts) == 1 or short and not any(t[-1] in WHITE for t in texts[:-1])
         if own and b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b)):
             a, b = np.array(a, np.int64), np.array(b, np.int64)
-            ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
-            upto = [np.searchsorted(np.cumsum(size[ids]), ends, "right") for size, ids in ((self.a_size, a), (self.b_size, b))]
-            if all((np.cumsum(size[ids])[n - 1] == ends).all() for size, ids, n in ((self.a_size, a, upto[0]), (self.b_size, b, upto[1]))):
-                return a, np.diff(upto[0], prepend=0), b, np.diff(upto[1], prepend=0), np.ones(len(texts), bool)
+            ends, cuts = np.cumsum(sizes), []
+            for size, ids in ((self.a_size, a), (self.b_size, b)):
+                upto = np.cumsum(size[ids])
+                cuts.append(np.searchsorted(upto, ends, "right"))
+                own = own and bool((upto[cuts[-1] - 1] == ends).all())
+            if own:
+                return a, np.diff(cuts[0], prepend=0), b, np.diff(cuts[1], prepend=0), np.ones(len(texts), bool)
         if len(texts) == 1:
             none = np.zeros(0, np.int64)
             return none, np.zeros(1, np.int64), none, np.zeros(1, np.int64), np.zeros(1, bool)
@@ -133,7 +137,7 @@ class Aligned:
         return Aligned(np.concatenate([self.counts, more.counts]), np.concatenate([self.ok, more.ok]), self.written + more.written, np.concatenate([self.first, more.first + len(self.keys)]), np.concatenate([self.keys, more.keys]))
 
 
-def align(pair: Pair, texts: list[str]) -> Aligned:
+def align(pair: Pair, texts: list[bytes]) -> Aligned:
     """Align texts that begin with a space, each by itself.
 
     The elementary stretches between all ends of tokens are the links: each lies in one token of either kind, and two tokens
@@ -179,15 +183,16 @@ class Aligner:
 
     def clear(self) -> None:
         self.known, self.hashes, self.at, self.sizes = Aligned.none(), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.bytes: dict[int, bytes] = {}  # of hashes of more than eight bytes: up to eight, hash and size tell
+        self.buffer, self.begin = b" " * 8, np.zeros(0, np.int64)  # the units' bytes, and where each is
 
     def chunk(self, texts: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
         """Units, the numbers of the units that the texts consist of, and for each text the place of its first (one entry more than texts).
 
         Null and empty texts have none, nor have texts that a tokenizer doesn't give back.
         """
-        whole = [bool(t) and (t[-1] in WHITE or bool(_ODD_SPACE.search(t))) for t in texts]
-        w = units([b"" if x or not t else t.encode("utf-8", "surrogatepass") for t, x in zip(texts, whole, strict=True)])
+        every = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = [bool(t) and (t[-1] in WHITE or bool(_ODD_SPACE.search(s))) for s, t in zip(texts, every, strict=True)]
+        w = units([b"" if x else t for t, x in zip(every, whole, strict=True)])
         distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE_UNITS:
             self.clear()
@@ -195,19 +200,24 @@ class Aligner:
         seen = at < len(self.hashes)
         seen[seen] = self.hashes[at[seen]] == distinct[seen]
         size = (w.ends - w.starts)[first]
-        long = seen & (size > 8)
-        if not same_words(w, first[which]) or (self.sizes[at[seen]] != size[seen]).any() or any(self.bytes[h] != w.bytes(i) for h, i in zip(distinct[long].tolist(), first[long].tolist(), strict=True)):
+        # up to eight bytes, hash and size tell units apart
+        long = np.flatnonzero(seen & (size > 8))
+        old, mine = self.begin[at[long]], w.starts[first[long]]
+        same = zip(blocks(self.buffer, old, old + size[long]), blocks(w.buffer, mine, mine + size[long]), strict=True)
+        if not same_words(w, first[which]) or (self.sizes[at[seen]] != size[seen]).any() or not all((x == y).all() for (_, x), (_, y) in same):
             whole = [bool(t) for t in texts]  # two units of one hash
         else:
             new = np.flatnonzero(~seen)
             if len(new):
                 found = [w.bytes(i) for i in first[new]]
-                self.bytes.update((h, t) for h, t in zip(distinct[new].tolist(), found, strict=True) if len(t) > 8)
                 number = len(self.known.ok) + np.arange(len(new))
-                self.known = self.known.and_(align(self.pair, [t.decode("utf-8", "surrogatepass") for t in found]))
-                h, n = np.concatenate([self.hashes, distinct[new]]), np.concatenate([self.at, number])
+                self.known = self.known.and_(align(self.pair, found))
+                begin = len(self.buffer) - 8 + np.cumsum(size[new]) - size[new]
+                self.buffer = self.buffer[:-8] + b"".join(found) + b" " * 8
+                h = np.concatenate([self.hashes, distinct[new]])
                 order = np.argsort(h, kind="stable")
-                self.hashes, self.at, self.sizes = h[order], n[order], np.concatenate([self.sizes, size[new]])[order]
+                self.hashes = h[order]
+                self.at, self.sizes, self.begin = (np.concatenate(x)[order] for x in ((self.at, number), (self.sizes, size[new]), (self.begin, begin)))
                 at = np.searchsorted(self.hashes, distinct)
             which = self.at[at][which]
             bad = np.flatnonzero(~self.known.ok[which])
@@ -217,7 +227,7 @@ class Aligner:
         rest = [i for i, x in enumerate(whole) if x]
         if not rest:
             return self.known, which[np.repeat(plain, np.diff(w.first))], np.concatenate([[0], np.cumsum(np.where(plain, np.diff(w.first), 0))])
-        out = self.known.and_(align(self.pair, [" " + texts[i] for i in rest]))
+        out = self.known.and_(align(self.pair, [b" " + every[i] for i in rest]))
         number = dict(zip(rest, range(len(self.known.ok), len(out.ok)), strict=True))
         each = [which[w.first[i] : w.first[i + 1]] if plain[i] else np.array([number[i]] if i in number and out.ok[number[i]] else [], np.int64) for i in range(len(texts))]
         return out, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])

@@ -14,7 +14,7 @@ def plain(pair, texts):
     """The contract's columns for each text, from all pairs of tokens."""
     docs = []
     for t in texts:
-        a, _, b, _, _ = pair.encode([" " + t] if t else [])
+        a, _, b, _, _ = pair.encode([(" " + t).encode()] if t else [])
         a, b = a.tolist(), b.tolist()
         ends = lambda ids, size: np.cumsum([0] + [len(size[i]) for i in ids]).tolist()
         x, y = ends(a, pair.a_bytes), ends(b, pair.b_bytes)
@@ -46,7 +46,7 @@ def test_ids_are_those_of_the_whole_text(pair):
     rng = random.Random(6)
     letters = [*"abc de.,'éñ日本 AB12🙂▁\x00", " the ", "'s", "  x", "<|endoftext|>"]
     texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    a, n_a, b, n_b, ok = pair.encode(texts)
+    a, n_a, b, n_b, ok = pair.encode([t.encode() for t in texts])
     assert 100 < ok.sum() < len(texts)
     for t, x, y, good in zip(texts, np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1]), ok, strict=True):
         want = pair.a.encode(t, add_special_tokens=False).ids, pair.b.encode(t[1:])
@@ -79,7 +79,7 @@ def test_long_text_clashing_columns_and_no_rows(spark, pair, rows, wide, empty):
     assert al.align_documents(empty).count() == 0
     text = "long " * 60000 + "　 tail"
     r = al.align_documents(spark.createDataFrame([("x", text)], "doc_id string, text string"), with_groups=True).first()
-    a, _, b, _, _ = pair.encode([" " + text])
+    a, _, b, _, _ = pair.encode([(" " + text).encode()])
     assert (r["doc_id"], r["n_a"], r["n_b"]) == ("x", len(a), len(b)) and hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"]
 
 
@@ -90,7 +90,7 @@ def test_aligner_is_the_same_for_units_and_whole_texts(pair):
     for _ in range(30):
         texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(40)]
         known, of, first = aligner.chunk(texts)
-        whole = al.align(pair, [" " + t for t in texts if t])
+        whole = al.align(pair, [(" " + t).encode() for t in texts if t])
         mine = [b";".join(known.written[x] for x in of[i:j]) for (i, j), t in zip(zip(first[:-1], first[1:], strict=True), texts, strict=True) if t]
         assert mine == whole.written
 
@@ -99,7 +99,7 @@ def test_units_that_share_a_hash_are_told_apart(pair, monkeypatch):
     monkeypatch.setattr(al, "word_hashes", lambda buffer, starts, ends: np.zeros(len(starts), np.uint64))
     texts = ["some words here", "other words there", "some words here"]
     known, of, first = al.Aligner(*al.VOCABULARIES).chunk(texts)
-    assert [b";".join(known.written[x] for x in of[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)] == al.align(pair, [" " + t for t in texts]).written
+    assert [b";".join(known.written[x] for x in of[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)] == al.align(pair, [(" " + t).encode() for t in texts]).written
 
 
 def test_perfect_hash_is_minimal_and_verified():
