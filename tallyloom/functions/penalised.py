@@ -12,7 +12,8 @@ import numpy as np
 
 LEAST_VARIANCE = 1e-5
 TOLERANCE = 1e-11
-SWEEPS = 500
+SWEEPS = 100
+STEPS = 50
 SOLVED = 300  # features, at most, whose coefficients are solved for at once
 
 
@@ -50,6 +51,35 @@ def _solved(z, u, target, l1, l2, usable, b, b0) -> bool:
     return True
 
 
+def _descend(z, z2, y, share, eta, l1, l2, usable, b, b0, live) -> None:
+    """One quadratic approximation of the fits numbered in `live`, minimised; b and b0 change."""
+    q = 1 / (1 + np.exp(-np.clip(eta[live], -50, 50)))
+    v = np.maximum(q * (1 - q), LEAST_VARIANCE)
+    u, target = share[live] * v, eta[live] + (y - q) / v
+    left = np.arange(len(live))  # places in live
+    for sweep in range(SWEEPS):
+        if sweep % 5 == 0:
+            left = np.array([k for k in left if not _solved(z, u[k], target[k], l1[live[k]], l2[live[k]], usable[live[k]], b[live[k]], b0[live[k] : live[k] + 1])], np.int64)
+            if not len(left):
+                return
+        at = live[left]
+        ul, bl = u[left], b[at]
+        rl, curve = target[left] - bl @ z.T - b0[at, None], ul @ z2
+        moved = 0.0
+        for j in np.flatnonzero(usable[at].any(axis=0)):
+            slope = (ul * rl) @ z[:, j] + curve[:, j] * bl[:, j]
+            new = np.sign(slope) * np.maximum(np.abs(slope) - l1[at, j], 0) / np.where(usable[at, j], curve[:, j] + l2[at, j], 1.0)
+            step = np.where(usable[at, j], new, 0.0) - bl[:, j]
+            if step.any():
+                rl -= step[:, None] * z[:, j]
+                bl[:, j] += step
+                moved = max(moved, float(np.max(curve[:, j] * step * step)))
+        step = (ul * rl).sum(axis=1) / ul.sum(axis=1)
+        b[at], b0[at] = bl, b0[at] + step
+        if max(moved, float(np.max(step * step))) < TOLERANCE:
+            return
+
+
 def fits(x: np.ndarray, y: np.ndarray, w: np.ndarray, path: np.ndarray, alpha: float, standardise: bool = True, enough: float = 0.999) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (penalty, fit, feature) and intercepts (penalty, fit) for each row of weights, along the path.
 
@@ -71,34 +101,14 @@ def fits(x: np.ndarray, y: np.ndarray, w: np.ndarray, path: np.ndarray, alpha: f
     coefficients, intercepts = [], []
     for penalty in path:
         l1, l2 = penalty * alpha * factor, penalty * (1 - alpha) * factor**2
-        for _ in range(100):  # quadratic approximations
-            start, start0 = b.copy(), b0.copy()
-            q = 1 / (1 + np.exp(-np.clip(eta, -50, 50)))
-            v = np.maximum(q * (1 - q), LEAST_VARIANCE)
-            u, r = share * v, (y - q) / v
-            target, curve = eta + r, u @ z2
-            left = np.arange(runs)
-            for sweep in range(SWEEPS):
-                if sweep % 5 == 0:
-                    left = np.array([i for i in left if not _solved(z, u[i], target[i], l1[i], l2[i], usable[i], b[i], b0[i : i + 1])], np.int64)
-                    if not len(left):
-                        break
-                    r = target - b @ z.T - b0[:, None]
-                moved, ul, rl, bl = 0.0, u[left], r[left], b[left]
-                for j in np.flatnonzero(usable[left].any(axis=0)):
-                    slope = (ul * rl) @ z[:, j] + curve[left, j] * bl[:, j]
-                    new = np.sign(slope) * np.maximum(np.abs(slope) - l1[left, j], 0) / np.where(usable[left, j], curve[left, j] + l2[left, j], 1.0)
-                    step = np.where(usable[left, j], new, 0.0) - bl[:, j]
-                    if step.any():
-                        rl -= step[:, None] * z[:, j]
-                        bl[:, j] += step
-                        moved = max(moved, float(np.max(curve[left, j] * step * step)))
-                step = (ul * rl).sum(axis=1) / ul.sum(axis=1)
-                b[left], b0[left], r[left] = bl, b0[left] + step, rl - step[:, None]
-                if max(moved, float(np.max(step * step))) < TOLERANCE:
-                    break
-            eta = b @ z.T + b0[:, None]
-            if max(np.max(np.abs(b - start), initial=0), np.max(np.abs(b0 - start0))) < 1e-7:
+        live = np.arange(runs)
+        for _ in range(STEPS):  # quadratic approximations, of the fits that still move
+            start, start0 = b[live].copy(), b0[live].copy()
+            _descend(z, z2, y, share, eta, l1, l2, usable, b, b0, live)
+            eta[live] = b[live] @ z.T + b0[live, None]
+            change = np.maximum(np.max(np.abs(b[live] - start) / (1 + np.abs(start)), axis=1, initial=0), np.abs(b0[live] - start0) / (1 + np.abs(start0)))
+            live = live[change > 1e-7]
+            if not len(live):
                 break
         raw = b / np.where(spread > 0, spread, 1.0)
         coefficients.append(raw)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,22 @@ log = logging.getLogger(__name__)
 
 
 def column_sums(m: FeatureMatrix) -> DataFrame:
-    """sample_idx, total: one partial sum for each sample and task crosses the shuffle."""
-    return m.long().groupBy("sample_idx").agg(F.sum("value").alias("total"))
+    """sample_idx, total: every task adds up its rows' vectors, and one number for each sample and task crosses the shuffle.
+
+    A matrix without rows has no totals. Missing counts add nothing.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                part = rows.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(rows), -1).sum(axis=0)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["sample_idx", "part"])
+
+    return m.df.select("counts").mapInArrow(add, "sample_idx int, part double").groupBy("sample_idx").agg(F.sum("part").alias("total"))
 
 
 def factors(m: FeatureMatrix, base: float) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import classify, seq, student_t, vec
+from tallyloom.matrix import FeatureMatrix
 
 
 def one(spark, c):
@@ -95,3 +96,22 @@ def test_classifiers(method, folds):
     if method != "lr":
         three = np.arange(42) % 3
         assert classify.accuracy((three * 20 + rng.normal(size=42))[None, :], three, method, 1)[0] > (0.95 if method == "bayes" else 0.6)
+
+
+def test_ranks_of_long_rows(spark):
+    rng = random.Random(3)
+    rows = [[float(rng.randint(0, 40)) for _ in range(1000)], [rng.random() for _ in range(1000)], [5.0] * 1000, [1.0], [], [2.0, -0.5, 2.0]]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<double>").select("i", vec.ranks(F.col("c")).alias("r"), vec.argsort(F.col("c")).alias("a")).collect()
+    for r in got:
+        x = np.array(rows[r["i"]])
+        assert r["r"] == [float((x < v).sum() + ((x == v).sum() - 1) / 2) for v in x]
+        assert r["a"] == np.argsort(x, kind="stable").tolist()
+
+
+def test_column_sums_add_vectors(spark):
+    from tallyloom.operators import index
+
+    m = FeatureMatrix(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, None]), ("c", None)], "feature string, counts array<double>").repartition(3), ["x", "y"])
+    assert {tuple(r) for r in index.column_sums(m).collect()} == {(0, 4.0), (1, 2.0)}
+    assert "Generate" not in index.column_sums(m)._jdf.queryExecution().executedPlan().toString()
+    assert index.column_sums(m.with_df(m.df.limit(0))).count() == 0
