@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--intervention", default="pearson:0.20")
     v.add_argument("--aggregate", choices=("rep", "mean", "median"), default="rep")
     v.add_argument("--min-members", type=int, default=1)
+    v.add_argument("--palindromes", choices=merge.PALINDROMES, default="skip")
     v = verb("score", "score and rank features", "tab", "fa", "bin", aliases=("rank",))
     v.add_argument("--by", required=True, help="scorer, for classifiers with :folds")
     v.add_argument("--design")
@@ -70,13 +71,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _write(m: FeatureMatrix, extra: list[str], args: argparse.Namespace) -> None:
-    """tab: a column for each sample; fa: sequences; bin: the rows as Parquet for another verb's --with."""
+def _write(m: FeatureMatrix, extra: list[str], args: argparse.Namespace, in_order: bool = True) -> None:
+    """tab: a column for each sample, in the order of the input where that is known and asked for; fa: sequences; bin: the rows as Parquet for another verb's --with."""
     if args.format == "bin":
         m.df.write.parquet(args.out)
     elif args.format == "fa":
         sources.write_fasta(m.df, args.out, "feature", "score" if "score" in extra else None)
     else:
+        m = m.with_df(m.df.orderBy("ordinal")) if in_order and "ordinal" in m.df.columns else m
         wide(m, args.counts == "int", *extra).write.option("sep", "\t").option("header", True).csv(args.out)
 
 
@@ -130,7 +132,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         if args.format == "bin" and scored:
             raise SystemExit("a bin selection can't be written from scored input: merge first, then score")
         values = None if chosen is None else chosen.select("feature", value.alias("value"), *(["members"] if "members" in chosen.columns else []))
-        contigs = merge.merge(m, values, int(longest or 0) or None, int(shortest or 0) or None, (method, float(limit or 0)), mode)
+        contigs = merge.merge(m, values, int(longest or 0) or None, int(shortest or 0) or None, (method, float(limit or 0)), mode, palindromes=args.palindromes)
         enough = F.col("nb_merged") >= args.min_members
         if args.format == "bin":
             contigs.where(enough).write.parquet(args.out)
@@ -152,7 +154,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             out, extra = _contig_columns(m, best, False)
             _write(out, [*extra, "score"], args)
         else:
-            _write(m.with_df(best), ["score"], args)
+            _write(m.with_df(best), ["score"], args, chosen is not None)
     else:
         found = mask.query(m, sources.read_fasta(spark, args.fasta), args.how, args.with_absent)
         _write(m.with_df(found.select(F.col("name").alias("feature"), "counts")), [], args)

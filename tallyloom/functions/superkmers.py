@@ -13,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .seq import _BASE, _codes
@@ -60,6 +61,21 @@ def minimisers(bases: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(value[: len(value) - (need - width)], value[need - width :])
 
 
+def code_minimisers(codes: np.ndarray, k: int) -> np.ndarray:
+    """The minimiser of each k-mer given as a code, as a long; the same for its reverse complement."""
+    m = minimiser_length(k)
+    return np.min([_order((codes >> 2 * j) & ((1 << 2 * m) - 1), m) for j in range(k - m + 1)], axis=0).view(np.int64)
+
+
+def minimiser_column(code: Column, k: int) -> Column:
+    @F.pandas_udf("long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for codes in batches:
+            yield pd.Series(code_minimisers(codes.to_numpy(np.int64), k))
+
+    return of(code)
+
+
 def stretches(bases: np.ndarray, k: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of each stretch of usable windows; and the windows that are repeats, apart."""
     value = minimisers(bases, k)

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import seq, superkmers
 from ..matrix import FeatureMatrix
 from ..storage import materialise
 
+MAX_MINIMISERS = 500
+
 
 def kmer_codes(sequences: DataFrame, k: int, stranded: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """Codes of all k-mers of column seq (canonical if unstranded), repeats kept, with the columns named in `keep`."""
     return seq.window_codes(sequences.select(*keep, "seq"), "seq", k, not stranded)
 
 
+def _any_of(column: str, values: list[int]) -> Column:
+    """column is one of the values, as a balanced tree of comparisons: a reader prunes by each, where a long list becomes one range."""
+    if len(values) == 1:
+        return F.col(column) == values[0]
+    half = len(values) // 2
+    return _any_of(column, values[:half]) | _any_of(column, values[half:])
+
+
+def near(df: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """The rows of a stored index among whose pages k-mers (column code) can be, where these have MAX_MINIMISERS minimisers at most; else all."""
+    if "mini" not in df.columns:
+        return df
+    found = codes.select(superkmers.minimiser_column(F.col("code"), k).alias("mini")).distinct().limit(MAX_MINIMISERS + 1).collect()
+    if len(found) > MAX_MINIMISERS:
+        return df
+    return df.where(_any_of("mini", sorted(r["mini"] for r in found))) if found else df.limit(0)
+
+
+def _joined(df: DataFrame, codes: DataFrame, k: int, how: str) -> DataFrame:
+    """df joined with rows of k-mer codes (and what else they have): on the code where it is stored, else on the k-mer."""
+    if "code" in df.columns:
+        return df.join(codes, "code", how)
+    return df.join(codes.withColumn("feature", seq.decode(F.col("code"), k)).drop("code"), "feature", how)
+
+
 def mask(m: FeatureMatrix, select: DataFrame | None = None, suppress: DataFrame | None = None) -> FeatureMatrix:
     """Keep features among the k-mers of `select` (if given) and not among those of `suppress` (if given).
 
-    Both are joins on the k-mer, whose size Spark looks at before it broadcasts.
+    Both are joins on the k-mer, whose size Spark looks at before it broadcasts. Of a stored index, selecting reads the pages that can hold the k-mers.
     """
     if not m.k:
         raise ValueError("masking needs a matrix of k-mers")
@@ -26,10 +53,10 @@ def mask(m: FeatureMatrix, select: DataFrame | None = None, suppress: DataFrame
     for sequences, how in ((select, "left_semi"), (suppress, "left_anti")):
         if sequences is None:
             continue
-        wanted = kmer_codes(sequences, m.k, m.stranded).distinct().select(seq.decode(F.col("code"), m.k).alias("feature"))
+        wanted = kmer_codes(sequences, m.k, m.stranded).distinct()
         if how == "left_semi" and wanted.isEmpty():
             raise ValueError("no k-mers to select")
-        df = df.join(wanted, "feature", how)
+        df = _joined(near(df, wanted, m.k) if how == "left_semi" else df, wanted, m.k, how)
     return m.with_df(df)
 
 
@@ -43,7 +70,9 @@ def query(m: FeatureMatrix, sequences: DataFrame, how: str = "mean", with_absent
     if how not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {how!r}")
     records = materialise(sequences.select(key, "seq").withColumn("_record", F.monotonically_increasing_id()), "records")
-    hits = kmer_codes(records, m.k, m.stranded, ("_record",)).withColumn("feature", seq.decode(F.col("code"), m.k)).drop("code").join(m.df.select("feature", "counts"), "feature")
+    codes = kmer_codes(records, m.k, m.stranded, ("_record",))
+    keys = [c for c in ("code", "mini") if c in m.df.columns] or ["feature"]
+    hits = _joined(near(m.df.select(*keys, "counts"), codes, m.k), codes, m.k, "inner")
     cells = hits.select("_record", F.posexplode("counts").alias("i", "x")).groupBy("_record", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"), F.count(F.lit(1)).alias("n"))
     vectors = cells.groupBy("_record").agg(F.max("n").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
     found = records.select("_record", key).join(vectors, "_record", "left" if with_absent else "inner")

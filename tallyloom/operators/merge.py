@@ -131,10 +131,9 @@ def _arcs(edges: DataFrame, overlap: int, stranded: bool) -> DataFrame:
     """a, b, key: the joints as arcs of path_ranks, in both reading directions if unstranded; the key is the knot's minimiser."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = superkmers.minimiser_length(overlap)
         for batch in batches:
             knot, p, pf, s, sf = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            least = np.min([superkmers._order((knot >> 2 * j) & ((1 << 2 * m) - 1), m) for j in range(overlap - m + 1)], axis=0).view(np.int64)
+            least = superkmers.code_minimisers(knot, overlap)
             a, b = 2 * p + pf, 2 * s + sf
             if not stranded:
                 a, b, least = np.concatenate([a, b ^ 1]), np.concatenate([b, a ^ 1]), np.concatenate([least, least])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import seq, superkmers
 from ..matrix import FeatureMatrix
 
 
@@ -54,13 +55,37 @@ def write_counts(m: FeatureMatrix, path: str, whole: bool = True, compression: s
     (writer.option("compression", compression) if compression else writer).csv(path)
 
 
+PAGE_ROWS = 200  # rows of a page of an index, which is what a lookup reads at least
+
+
+def keyed(m: FeatureMatrix) -> DataFrame:
+    """The rows of a matrix of k-mers with code (two bits a base) and mini (their minimiser)."""
+    return m.df.withColumn("code", seq.encode(F.col("feature"), m.k)).withColumn("mini", superkmers.minimiser_column(F.col("code"), m.k))
+
+
 def write_index(m: FeatureMatrix, path: str) -> None:
-    """Store the matrix: features as Parquet, metadata as one line of JSON."""
-    m.df.write.parquet(f"{path}/features")
+    """Store the matrix: features as Parquet, metadata as one line of JSON.
+
+    K-mers are stored with their codes in ranges of (minimiser, code), in small pages with their bounds: neighbouring k-mers of a
+    sequence mostly lie side by side, so a lookup of a sequence reads a few pages. Other matrices keep their order.
+    """
+    if m.k:
+        rows = keyed(m).repartitionByRange("mini", "code").sortWithinPartitions("mini", "code")
+        rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.enable.dictionary", False).parquet(f"{path}/features")
+    else:
+        m.df.write.parquet(f"{path}/features")
     meta = json.dumps({"samples": m.samples, "k": m.k, "stranded": m.stranded, "nf": m.nf, "feature_name": m.feature_name})
     m.df.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
+def write_buckets(m: FeatureMatrix, name: str, buckets: int) -> FeatureMatrix:
+    """Store a matrix of k-mers as a table in buckets of their codes: joins on the code with it move the other side alone."""
+    if not m.k:
+        raise ValueError("buckets need a matrix of k-mers")
+    keyed(m).write.bucketBy(buckets, "code").sortBy("code").saveAsTable(name)
+    return m.with_df(m.df.sparkSession.table(name))
+
+
 def read_index(spark: SparkSession, path: str) -> FeatureMatrix:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     return FeatureMatrix(spark.read.parquet(f"{path}/features"), **meta)
