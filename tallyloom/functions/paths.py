@@ -30,15 +30,15 @@ def rank_arcs(a: np.ndarray, b: np.ndarray, length: np.ndarray, low: np.ndarray)
     at = np.searchsorted(nodes, a)
     to = np.arange(len(nodes))
     to[at] = np.searchsorted(nodes, b)
-    rank, least = np.zeros(len(nodes), np.int64), nodes.copy()
-    rank[at], least[at] = length, low
+    rank, least, last = np.zeros(len(nodes), np.int64), nodes.copy(), np.ones(len(nodes), bool)
+    rank[at], least[at], last[at] = length, low, False
     for _ in range(len(nodes).bit_length() + 1):
-        if (to[to] == to).all():
+        if last[to].all():
             break
         least = np.minimum(least, least[to])
         rank = rank + rank[to]
         to = to[to]
-    return nodes, nodes[to], rank, to[to] != to, least
+    return nodes, nodes[to], rank, ~last[to], least
 
 
 def opened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seq, superkmers
+from ..functions import medians, seq, superkmers
 from ..matrix import FeatureMatrix
 from ..storage import materialise
 
@@ -64,8 +64,7 @@ def query(m: FeatureMatrix, sequences: DataFrame, how: str = "mean", with_absent
     """Counts of sequence records: for each, the mean or median over its k-mers that the matrix has, repeats counted.
 
     Returns key, n_hits, counts, a row for each record: records of one name are told apart. Those without a hit are left
-    out, or have zeros with with_absent. Only the records' k-mers meet the matrix; their cells are aggregated
-    before the shuffle for means.
+    out, or have zeros with with_absent. Only the records' k-mers meet the matrix; their vectors are added up before the shuffle for means.
     """
     if how not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {how!r}")
@@ -73,8 +72,8 @@ def query(m: FeatureMatrix, sequences: DataFrame, how: str = "mean", with_absent
     codes = kmer_codes(records, m.k, m.stranded, ("_record",))
     keys = [c for c in ("code", "mini") if c in m.df.columns] or ["feature"]
     hits = _joined(near(m.df.select(*keys, "counts"), codes, m.k), codes, m.k, "inner")
-    cells = hits.select("_record", F.posexplode("counts").alias("i", "x")).groupBy("_record", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"), F.count(F.lit(1)).alias("n"))
-    vectors = cells.groupBy("_record").agg(F.max("n").alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
+    each = hits.select("_record", "counts")
+    vectors = (medians.group_medians(each, "_record", len(m.samples)) if how == "median" else medians.group_means(each, "_record")).withColumnRenamed("n", "n_hits")
     found = records.select("_record", key).join(vectors, "_record", "left" if with_absent else "inner")
     zeros = F.array_repeat(F.lit(0.0), len(m.samples))
     return found.select(key, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("counts", zeros).alias("counts"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, seq, superkmers, vec
+from ..functions import medians, paths, seq, superkmers, vec
 from ..matrix import FeatureMatrix
 from ..storage import materialise
 
@@ -246,7 +246,6 @@ def member_counts(contigs: DataFrame, m: FeatureMatrix, how: str = "rep") -> Dat
         return head.join(m.df.select(F.col("feature").alias("rep"), "counts"), "rep").select(*head.columns, "counts")
     if how not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {how!r}")
-    cells = contigs.select("rep", F.explode("members").alias("feature")).join(m.df.select("feature", "counts"), "feature").select("rep", F.posexplode("counts").alias("i", "x"))
-    v = cells.groupBy("rep", "i").agg((F.avg("x") if how == "mean" else F.median("x")).alias("v"))
-    vectors = v.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("counts"))
+    each = contigs.select("rep", F.explode("members").alias("feature")).join(m.df.select("feature", "counts"), "feature").select("rep", "counts")
+    vectors = medians.group_medians(each, "rep", len(m.samples)).drop("n") if how == "median" else medians.group_means(each, "rep").drop("n")
     return head.join(vectors, "rep").select(*head.columns, "counts")

@@ -152,10 +152,10 @@ def test_path_ranks(spark, monkeypatch, one_task):
     monkeypatch.setattr(paths, "ONE_TASK", one_task)
     monkeypatch.setattr(paths, "BUCKET_ARCS", 40)
     rng = random.Random(4)
-    nodes = list(range(400))
+    nodes = list(range(500))
     rng.shuffle(nodes)
     arcs, at = [], 0
-    for length, ring in ((60, False), (1, False), (35, True), (2, True), (100, False), (80, True)):
+    for length, ring in ((60, False), (1, False), (35, True), (2, True), (100, False), (80, True), (3, True), (63, True)):
         part = nodes[at : at + length + 1]
         at += length + 1
         key = rng.randint(0, 3)
@@ -170,7 +170,7 @@ def test_path_ranks(spark, monkeypatch, one_task):
 
     got = paths.path_ranks(materialise(spark.createDataFrame(arcs, "a long, b long, key long"), "test")).collect()
     a, b = paths.opened(np.array([x[0] for x in arcs]), np.array([x[1] for x in arcs]))
-    assert len(arcs) - len(a) == 6  # each ring and its mirror image is cut once
+    assert len(arcs) - len(a) == 10  # each ring and its mirror image is cut once
     assert {r["node"]: (r["path"], r["rank"]) for r in got} == plain_ranks(list(zip(a.tolist(), b.tolist(), strict=True))) and len(got) == len({x for arc in arcs for x in arc[:2]})
 
 
