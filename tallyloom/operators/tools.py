@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import seq, superkmers, vec
 from ..functions.student_t import student_t_p
 from ..matrix import FeatureMatrix
-from ..storage import running_sums
+from ..storage import materialise, running_sums
 
 LIBRARY_TYPES = ("unstranded", "fr", "rf")
 
@@ -90,10 +90,28 @@ def _contig_codes(contigs: DataFrame, name: str, k: int, stranded: bool) -> Data
     return seq.window_codes(contigs.select(F.col("contig").alias(name), "seq"), "seq", k, not stranded, "kmer").distinct()
 
 
+def _by_sets(lists: dict[str, DataFrame], k: int, stranded: bool, how: str) -> DataFrame:
+    """A column for each list, n: distinct k-mers of each combination of contigs, one from each list; how: inner or full (a missing contig is null).
+
+    K-mers are joined and counted by the set of contigs that hold them in each list, told by the set's size and two hashes that are
+    combined without order, so no set is gathered; sets become contigs at the end. A k-mer in n contigs of one list and m of another is one row until then.
+    """
+    joined, members = None, {}
+    for name, contigs in lists.items():
+        codes = materialise(_contig_codes(contigs, name, k, stranded), "contig_codes")
+        held = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(name)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), name)).alias("y"))
+        sets = codes.groupBy("kmer").agg(held.alias(f"_set_{name}"))
+        members[name] = codes.join(sets, "kmer").select(f"_set_{name}", name).distinct()
+        joined = sets if joined is None else joined.join(sets, "kmer", how)
+    out = joined.groupBy(*(f"_set_{name}" for name in lists)).agg(F.count(F.lit(1)).alias("n"))
+    for name in lists:
+        out = out.join(members[name], f"_set_{name}", "left" if how == "full" else "inner").drop(f"_set_{name}")
+    return out.groupBy(*lists).agg(F.sum("n").alias("n"))
+
+
 def shared_kmers(left: DataFrame, right: DataFrame, k: int, stranded: bool = False, how: str = "inner") -> DataFrame:
     """left_contig, right_contig, n: distinct k-mers that contigs (contig, seq) of two lists share; how: inner or full."""
-    both = _contig_codes(left, "left_contig", k, stranded).join(_contig_codes(right, "right_contig", k, stranded), "kmer", how)
-    return both.groupBy("left_contig", "right_contig").agg(F.count(F.lit(1)).alias("n"))
+    return _by_sets({"left_contig": left, "right_contig": right}, k, stranded, how)
 
 
 def compare_contig_lists(lists: dict[str, DataFrame], k: int, stranded: bool = False, show_unique: bool = False) -> DataFrame:
@@ -104,12 +122,8 @@ def compare_contig_lists(lists: dict[str, DataFrame], k: int, stranded: bool = F
     """
     if len(lists) < 2:
         raise ValueError("two lists at least are compared")
-    joined = None
-    for name, contigs in lists.items():
-        side = _contig_codes(contigs, name, k, stranded)
-        joined = side if joined is None else joined.join(side, "kmer", "full" if show_unique else "inner")
-    absent = joined.select(*(F.coalesce(n, F.lit("-")).alias(n) for n in lists))
-    counted = absent.groupBy(*lists).agg(F.count(F.lit(1)).alias("nb_kmer"))
+    found = _by_sets(lists, k, stranded, "full" if show_unique else "inner")
+    counted = found.select(*(F.coalesce(n, F.lit("-")).alias(n) for n in lists), F.col("n").alias("nb_kmer"))
     return counted.withColumn("nb_shared_contig", sum((F.when(F.col(n) != "-", 1).otherwise(0) for n in lists), F.lit(0)))
 
 
