@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import seq, superkmers, vec
 from ..functions.student_t import student_t_p
 from ..matrix import FeatureMatrix
-from ..storage import materialise, running_sums
+from ..storage import materialise, numbered, running_sums
+from .score import IN_ONE_TASK
 
 LIBRARY_TYPES = ("unstranded", "fr", "rf")
 
@@ -237,8 +238,9 @@ def rank_correlation(scores: DataFrame, names: list[str]) -> DataFrame:
 
 
 def top_membership(scores: DataFrame, names: list[str], top: int, key: str = "feature") -> DataFrame:
-    """members (the score columns in whose top rows a key is, comma-joined), n."""
-    tops = [scores.orderBy(F.desc(n), key).limit(top).select(key, F.lit(n).alias("which")) for n in names]
+    """members (the score columns in whose top rows a key is, comma-joined), n. Large tops are numbered in ranges of the order, not gathered."""
+    few = lambda n: scores.orderBy(F.desc(n), key).limit(top) if top <= IN_ONE_TASK else numbered(scores.select(key, n), [F.desc(n), F.col(key)]).where(F.col("number") < top)
+    tops = [few(n).select(key, F.lit(n).alias("which")) for n in names]
     every = tops[0]
     for t in tops[1:]:
         every = every.union(t)

@@ -49,3 +49,11 @@ def test_a_kmer_of_many_contigs_is_one_row_until_the_end(spark):
     side = lambda c: spark.createDataFrame([(f"{c}{i}", stock + "".join(rng.choice("ACGT") for _ in range(31))) for i in range(300)], "contig string, seq string")
     got = tools.shared_kmers(side("l"), side("r"), 31).collect()
     assert len(got) == 300 * 300 and min(r["n"] for r in got) == 40
+
+
+def test_large_tops_equal_small_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(f"f{i}", rng.random(), float(rng.randint(0, 5))) for i in range(200)], "feature string, a double, b double").repartition(3)
+    small = {tuple(r) for r in tools.top_membership(df, ["a", "b"], 40).collect()}
+    monkeypatch.setattr(tools, "IN_ONE_TASK", 10)
+    assert {tuple(r) for r in tools.top_membership(df, ["a", "b"], 40).collect()} == small
