@@ -223,7 +223,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, min_coverage:
     Returns one row for each id, text and item: doc_id, key (the text's xxhash64), item_id, n_seeds, score, coverage,
     passage_start (in words), of the best passage. An item of fewer than n words is found where all its words stand in a
     row. A copy that keeps fewer than 1 / KEPT of an item's n-grams isn't found. Null or empty texts and items match nothing; null ids
-    are kept; repeated rows give one row; empty tables give none; other columns aren't read.
+    are kept; repeated rows give one row; empty tables give none; other columns aren't read. Ids of both tables must cast to long.
     """
     grams = materialise(item_grams(benchmark, n, item_col, item_text_col).withColumn("class", _class(n)), "grams")
     by_class = length_classes(grams)

@@ -191,7 +191,7 @@ def pack_documents(df: DataFrame, capacity: int = 4096, vocabulary: str = "word_
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; every document gives at least one piece,
     since each ends with `end_id`. Repeated rows are packed as often as they occur; an empty table gives no rows; other
-    columns aren't read.
+    columns aren't read. Ids must cast to long.
     """
     return pack(token_pieces(df, capacity, vocabulary, end_id), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -403,7 +403,7 @@ def similar_groups(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (80,
     lower-cased, words end at ASCII white space; a text of fewer than n words has its word sequence as its one
     shingle. Null, empty and wordless texts have the empty set and are a class by themselves. Rows with a null id link nothing
     and have a null class; rows with one id are one document, which links as each of them does; an empty table gives an empty result; other columns
-    aren't read.
+    aren't read. Ids must cast to long.
     """
     num, den = similarity
     rows = materialise(set_table(df, n, num, den, id_col, text_col), "sets")
