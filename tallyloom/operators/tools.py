@@ -91,28 +91,53 @@ def _contig_codes(contigs: DataFrame, name: str, k: int, stranded: bool) -> Data
     return seq.window_codes(contigs.select(F.col("contig").alias(name), "seq"), "seq", k, not stranded, "kmer").distinct()
 
 
-def _by_sets(lists: dict[str, DataFrame], k: int, stranded: bool, how: str) -> DataFrame:
-    """A column for each list, n: distinct k-mers of each combination of contigs, one from each list; how: inner or full (a missing contig is null).
+HOT_KMER = 64  # contigs of one list that hold a k-mer
+
+
+def _by_sets(codes: dict[str, DataFrame], how: str) -> DataFrame:
+    """The same as _combinations, by sets of contigs.
 
     K-mers are joined and counted by the set of contigs that hold them in each list, told by the set's size and two hashes that are
     combined without order, so no set is gathered; sets become contigs at the end. A k-mer in n contigs of one list and m of another is one row until then.
     """
     joined, members = None, {}
-    for name, contigs in lists.items():
-        codes = materialise(_contig_codes(contigs, name, k, stranded), "contig_codes")
+    for name, each in codes.items():
         held = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(name)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), name)).alias("y"))
-        sets = codes.groupBy("kmer").agg(held.alias(f"_set_{name}"))
-        members[name] = codes.join(sets, "kmer").select(f"_set_{name}", name).distinct()
+        sets = each.groupBy("kmer").agg(held.alias(f"_set_{name}"))
+        members[name] = each.join(sets, "kmer").select(f"_set_{name}", name).distinct()
         joined = sets if joined is None else joined.join(sets, "kmer", how)
-    out = joined.groupBy(*(f"_set_{name}" for name in lists)).agg(F.count(F.lit(1)).alias("n"))
-    for name in lists:
+    out = joined.groupBy(*(f"_set_{name}" for name in codes)).agg(F.count(F.lit(1)).alias("n"))
+    for name in codes:
         out = out.join(members[name], f"_set_{name}", "left" if how == "full" else "inner").drop(f"_set_{name}")
-    return out.groupBy(*lists).agg(F.sum("n").alias("n"))
+    return out.groupBy(*codes).agg(F.sum("n").alias("n"))
+
+
+def _combinations(lists: dict[str, DataFrame], k: int, stranded: bool, how: str) -> DataFrame:
+    """A column for each list, n: distinct k-mers of each combination of contigs, one from each list; how: inner or full (a missing contig is null).
+
+    K-mers that more than HOT_KMER contigs of a list hold are counted by sets, the others joined as they are.
+    """
+    codes = {name: materialise(_contig_codes(contigs, name, k, stranded), "contig_codes") for name, contigs in lists.items()}
+    hot = None
+    for each in codes.values():
+        many = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KMER).select("kmer")
+        hot = many if hot is None else hot.union(many)
+    hot = materialise(hot.distinct(), "hot_kmers")
+    some = not hot.isEmpty()
+    joined = None
+    for each in codes.values():
+        each = each.join(hot, "kmer", "left_anti") if some else each
+        joined = each if joined is None else joined.join(each, "kmer", how)
+    out = joined.groupBy(*lists).agg(F.count(F.lit(1)).alias("n"))
+    if not some:
+        return out
+    sets = _by_sets({name: each.join(hot, "kmer", "left_semi") for name, each in codes.items()}, how)
+    return out.union(sets.select(*out.columns)).groupBy(*lists).agg(F.sum("n").alias("n"))
 
 
 def shared_kmers(left: DataFrame, right: DataFrame, k: int, stranded: bool = False, how: str = "inner") -> DataFrame:
     """left_contig, right_contig, n: distinct k-mers that contigs (contig, seq) of two lists share; how: inner or full."""
-    return _by_sets({"left_contig": left, "right_contig": right}, k, stranded, how)
+    return _combinations({"left_contig": left, "right_contig": right}, k, stranded, how)
 
 
 def compare_contig_lists(lists: dict[str, DataFrame], k: int, stranded: bool = False, show_unique: bool = False) -> DataFrame:
@@ -123,7 +148,7 @@ def compare_contig_lists(lists: dict[str, DataFrame], k: int, stranded: bool = F
     """
     if len(lists) < 2:
         raise ValueError("two lists at least are compared")
-    found = _by_sets(lists, k, stranded, "full" if show_unique else "inner")
+    found = _combinations(lists, k, stranded, "full" if show_unique else "inner")
     counted = found.select(*(F.coalesce(n, F.lit("-")).alias(n) for n in lists), F.col("n").alias("nb_kmer"))
     return counted.withColumn("nb_shared_contig", sum((F.when(F.col(n) != "-", 1).otherwise(0) for n in lists), F.lit(0)))
 

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from itertools import product
 
+import pytest
+
 from tallyloom.operators import tools
 from tests.test_operators import rc
 
@@ -17,7 +19,9 @@ def held(contigs, k):
     return out
 
 
-def test_lists_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [tools.HOT_KMER, 2, 0])
+def test_lists_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(tools, "HOT_KMER", hot)
     rng = random.Random(3)
     base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
     lists = {}
