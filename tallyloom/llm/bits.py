@@ -18,11 +18,12 @@ BITS_EACH = 64
 
 def bit_filters(df: DataFrame, group: str, column: str, most_bits: int = MAX_BITS) -> dict[int, Broadcast]:
     """For each value of an int column `group` (few), the bits of a long column's values: two bits set by each (places from its
-    low and its high half) in BITS_EACH bits a value, between 2^16 and 2^most_bits in all."""
+    low and its high half) in BITS_EACH bits a value, at least 2^16, and 2^most_bits over all groups at most (groups of 2^16 apart)."""
     values = df.select(F.col(group).alias("g"), F.col(column).alias("v")).distinct()
-    bits = {r["g"]: min(most_bits, max(16, (BITS_EACH * r["n"] - 1).bit_length())) for r in values.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not bits:
+    sizes = values.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()  # few groups
+    if not sizes:
         return {}
+    bits = {r["g"]: max(16, min(most_bits - (len(sizes) - 1).bit_length(), (BITS_EACH * r["n"] - 1).bit_length())) for r in sizes}
     mask = F.try_element_at(F.create_map(*(F.lit(x) for g, b in bits.items() for x in (g, (1 << b) - 1))), F.col("g"))
     place = values.select("g", F.explode(F.array(F.col("v"), F.shiftright("v", 32))).alias("v")).select("g", F.col("v").bitwiseAND(mask.cast("long")).alias("at"))
     part = place.select("g", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("g", "word").agg(F.bit_or("bit").alias("bits")).toArrow()

@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The benchmark's items are cut into word n-grams (items of fewer than n words: their whole sequence), and each gram's
-   documents are counted over the whole corpus. What counts as a copy keeps at least 1 / KEPT of an item's grams (t of
-   G). Any such copy then holds one of the G - t + 1 rarest: these are the item's seeds, and the most frequent t - 1,
+1. The benchmark's items are cut into gapped grams: two runs of n / 2 words with 0 to GAP words of any kind between them
+   (items of fewer than n words: their whole sequence). A gram's hash doesn't say how wide its gap is, so words changed, added or
+   left out between the runs don't hide it. Each gram's documents are counted over the whole corpus. What counts as a copy
+   keeps at least 1 / KEPT of an item's grams (t of G). Any such copy then holds one of the G - t + 1 rarest: these are the item's seeds, and the most frequent t - 1,
    which match half the corpus in vain, are none. An item whose grams are all frequent still has its rarest.
-2. Corpus tasks look n-grams up in bit arrays, of all grams and of the seeds, one pair for each class of item lengths. A
+2. Corpus tasks look grams up in bit arrays, of all grams and of the seeds, one pair for each class of item lengths. A
    stretch of hits of one class with at least t distinct grams and a seed is a passage, as wide to either side as the class's
    longest item, so a long item doesn't widen the others' passages. The arrays' sizes have a fixed bound, whatever the
    benchmark, and only pre-select: passages are joined to items by the seeds' 64-bit hashes.
@@ -29,12 +30,13 @@ from pyspark.sql.window import Window
 
 from .bits import bit_filters, can_hold
 from .shared import materialise, passing, table
-from .words import U, Words, chunks, shingles, slices, words
+from .words import U, Words, chunks, mix, shingles, slices, words
 
 N = 4
-KEPT = 8
+GAP = 3
+KEPT = 16
 MIN_COVERAGE = 0.5
-MATCH, MISMATCH, GAP = 2, 1, 1
+MATCH, MISMATCH, SKIP = 2, 1, 1
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TABLE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -47,6 +49,28 @@ def _words(texts: list[bytes]) -> Words:
     return words(texts, _TABLE)
 
 
+def gapped(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of word runs, of n words together, with 0 to GAP words between them within one text, and the number of
+    the word each begins with; in order of that."""
+    half, size = n // 2, len(w.hashes)
+    runs = {k: np.zeros(max(0, size - k + 1), U) for k in {half, n - half}}
+    for k, h in runs.items():
+        for j in range(k):
+            with np.errstate(over="ignore"):
+                h[:] = mix(h * U(0xFF51AFD7ED558CCD) + w.hashes[j : j + len(h)])
+    owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    found, first = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for gap in range(GAP + 1):
+        count = size - n - gap + 1
+        if count > 0:
+            at = np.flatnonzero(owner[:count] == owner[n + gap - 1 :])
+            with np.errstate(over="ignore"):
+                found.append(mix(runs[half][at] * U(0xC4CEB9FE1A85EC53) + runs[n - half][at + half + gap]))
+            first.append(at)
+    order = np.argsort(np.concatenate(first), kind="stable")
+    return np.concatenate(found)[order], np.concatenate(first)[order]
+
+
 def _least_kept(grams):
     """t: the distinct grams of an item's `grams` that a copy of it holds at least."""
     return F.greatest(F.lit(1), F.floor(grams / KEPT)).cast("int")
@@ -62,7 +86,7 @@ def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Data
                 w = _words(run)
                 count = np.diff(w.first)
                 for k in range(1, n + 1):
-                    h, first = shingles(w, k)
+                    h, first = shingles(w, k) if k < n else gapped(w, n)
                     owner = np.searchsorted(w.first, first, "right") - 1
                     mine = count[owner] >= n if k == n else count[owner] == k
                     items.append(owner[mine] + at)
@@ -82,9 +106,10 @@ def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Data
 
 @dataclass
 class LengthClass:
-    """Items of about one length: the words in a gram, the longest item, t, and the bits of all grams and of the seeds."""
+    """Items of about one length: the words in a gram, whether it has a gap, the longest item, t, and the bits of all grams and of the seeds."""
 
     n: int
+    gaps: bool
     longest: int
     least: int
     grams: Broadcast
@@ -97,16 +122,16 @@ def _class(n: int):
     return F.when(words < n, words).otherwise(n + F.floor(F.log2(words.cast("double")))).cast("int")
 
 
-def length_classes(grams: DataFrame) -> dict[int, LengthClass]:
+def length_classes(grams: DataFrame, n: int) -> dict[int, LengthClass]:
     """Classes of the items in `grams`, which has a column class: one for each doubling of the length."""
     rows = grams.groupBy("class").agg(F.max("n").alias("n"), F.max("item_words").alias("longest"), F.min(_least_kept(F.col("grams"))).alias("least")).collect()  # about log2 of the longest item
     bits = bit_filters(grams, "class", "gram")
-    return {r["class"]: LengthClass(r["n"], r["longest"], r["least"], bits[r["class"]]) for r in rows}
+    return {r["class"]: LengthClass(r["n"], r["n"] == n, r["longest"], r["least"], bits[r["class"]]) for r in rows}
 
 
 def _hits(w: Words, hashed: dict[int, tuple[np.ndarray, np.ndarray]], c: LengthClass) -> tuple[np.ndarray, np.ndarray]:
     if c.n not in hashed:
-        hashed[c.n] = shingles(w, c.n)
+        hashed[c.n] = gapped(w, c.n) if c.gaps else shingles(w, c.n)
     h, first = hashed[c.n]
     at = np.flatnonzero(can_hold(h, c.grams.value)) if len(h) else np.zeros(0, np.int64)
     return h[at], first[at]
@@ -163,7 +188,7 @@ def passages(df: DataFrame, id_col: str, text_col: str, classes: list[LengthClas
                         if not len(mine) or b - a < c.least or len(np.unique(g[a:b])) < c.least:
                             continue
                         doc = owner[a]
-                        lo, hi = max(w.first[doc], p[mine[0]] - c.longest), min(w.first[doc + 1], p[mine[-1]] + c.n + c.longest)
+                        lo, hi = max(w.first[doc], p[mine[0]] - c.longest), min(w.first[doc + 1], p[mine[-1]] + c.n + GAP + c.longest)
                         rows.append(at + doc)
                         first_words.append(lo - w.first[doc])
                         text.append(w.text(lo, hi))
@@ -180,10 +205,10 @@ def passages(df: DataFrame, id_col: str, text_col: str, classes: list[LengthClas
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     """The best local alignment score of two word sequences; one row of the table at a time."""
-    best, slope = 0, GAP * np.arange(len(b) + 1)
+    best, slope = 0, SKIP * np.arange(len(b) + 1)
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
-        step = np.maximum(row - GAP, 0)
+        step = np.maximum(row - SKIP, 0)
         step[1:] = np.maximum(step[1:], row[:-1] + np.where(b == x, MATCH, -MISMATCH))
         row = np.maximum.accumulate(step + slope) - slope
         best = max(best, int(row.max()))
@@ -222,11 +247,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, min_coverage:
 
     Returns one row for each id, text and item: doc_id, key (the text's xxhash64), item_id, n_seeds, score, coverage,
     passage_start (in words), of the best passage. An item of fewer than n words is found where all its words stand in a
-    row. A copy that keeps fewer than 1 / KEPT of an item's n-grams isn't found. Null or empty texts and items match nothing; null ids
+    row. A copy that keeps fewer than 1 / KEPT of an item's gapped grams isn't found: a test holds the share of those against alignment alone. Null or empty texts and items match nothing; null ids
     are kept; repeated rows give one row; empty tables give none; other columns aren't read. Ids of both tables must cast to long.
     """
     grams = materialise(item_grams(benchmark, n, item_col, item_text_col).withColumn("class", _class(n)), "grams")
-    by_class = length_classes(grams)
+    by_class = length_classes(grams, n)
     classes = list(by_class.values())
     seeds = materialise(rare_seeds(grams, document_counts(df, text_col, classes)), "seeds")
     for k, bits in bit_filters(seeds, "class", "gram").items():
