@@ -152,12 +152,16 @@ def factorised(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *steps, f"{' + '.join(f'ln(_d{k})' for k in range(P))} AS _logdet")
 
 
-def squared_distance(deviations: list[Column]) -> Column:
-    """Mahalanobis distance of deviations from a centre, by forward substitution through the columns of a model."""
-    rest: list[Column] = []
+def with_distance(df: DataFrame, deviations: list[Column]) -> DataFrame:
+    """Adds _distance, the squared Mahalanobis distance of deviations from a centre, by forward substitution through a model's columns.
+
+    A column for each step: as one expression the steps would hold each other, doubling its size with each axis. Filters
+    aren't moved below it for the same reason.
+    """
     for i, x in enumerate(deviations):
-        rest.append(reduce(lambda a, k: a - F.col(f"_l{k}{i}") * rest[k], range(i), x))
-    return reduce(lambda a, b: a + b, (r * r / F.col(f"_d{k}") for k, r in enumerate(rest)))
+        df = df.withColumn(f"_r{i}", reduce(lambda a, k: a - F.col(f"_l{k}{i}") * F.col(f"_r{k}"), range(i), x))  # noqa: B023
+    total = reduce(lambda a, b: a + b, (F.col(f"_r{k}") * F.col(f"_r{k}") / F.col(f"_d{k}") for k in range(P)))
+    return df.withColumn("_distance", once(total)).drop(*(f"_r{k}" for k in range(P)))
 
 
 def _deviations() -> list[Column]:
@@ -207,8 +211,8 @@ def groups(points: DataFrame) -> DataFrame:
 def concentrated(points: DataFrame, model: DataFrame, floors: DataFrame) -> DataFrame:
     """One concentration step for all groups and starts of a model: the estimates from the nearest SUBSET of each group's points."""
     keys = ["_group", "_start"]
-    at = F.floor(F.log2(F.greatest(squared_distance(_deviations()), F.lit(1e-12))) * _BINS_PER_DOUBLING)
-    binned = materialise(_moments(points.join(model, "_group").withColumn("_bin", F.least(F.greatest(at, F.lit(-_BIN_RANGE)), F.lit(_BIN_RANGE)).cast("int")), [*keys, "_bin"]), "bins")
+    at = F.floor(F.log2(F.greatest(F.col("_distance"), F.lit(1e-12))) * _BINS_PER_DOUBLING)
+    binned = materialise(_moments(with_distance(points.join(model, "_group"), _deviations()).withColumn("_bin", F.least(F.greatest(at, F.lit(-_BIN_RANGE)), F.lit(_BIN_RANGE)).cast("int")), [*keys, "_bin"]), "bins")
     of = Window.partitionBy(*keys)
     placed = binned.withColumn("_before", F.coalesce(F.sum("_n").over(of.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_wanted", SUBSET * F.sum("_n").over(of))
     # of the last bin that is needed, the share that is needed
@@ -263,7 +267,7 @@ def _model(points: DataFrame) -> DataFrame:
 
 def _judged(points: DataFrame, model: DataFrame) -> DataFrame:
     """Adds _distance and _kept: false where a plain rule fails or the distance exceeds LIMIT."""
-    judged = points.join(model, ["_lang", "_source"], "left").withColumn("_distance", squared_distance(at_typical_length()))
+    judged = with_distance(points.join(model, ["_lang", "_source"], "left"), at_typical_length())
     return judged.withColumn("_kept", ~F.col("_failed") & ~F.coalesce(F.col("_distance") > LIMIT, F.lit(False)))
 
 

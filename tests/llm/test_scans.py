@@ -384,7 +384,7 @@ def test_distances_are_chi_squared_for_normal_points(spark):
     x = rng.normal(size=(4000, quality.P)) @ a.T
     points = as_points(spark, x, 1e6)
     model = quality.fit(points)
-    d = sorted(r[0] for r in points.join(model, "_group").select(quality.squared_distance([F.col(f"_x{k}") - F.col(f"_m{k}") for k in range(quality.P)])).collect())
+    d = sorted(r[0] for r in quality.with_distance(points.join(model, "_group"), [F.col(f"_x{k}") - F.col(f"_m{k}") for k in range(quality.P)]).select("_distance").collect())
     assert abs(d[2000] / quality.chi_squared_quantile(0.5, quality.P) - 1) < 0.08 and abs(d[3600] / quality.chi_squared_quantile(0.9, quality.P) - 1) < 0.08
 
 
