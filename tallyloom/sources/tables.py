@@ -10,28 +10,37 @@ from pyspark.sql.window import Window
 
 from ..functions import seq, superkmers
 from ..matrix import FeatureMatrix
+from . import bgzf
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """value, ordinal of lines that Spark reads from text files."""
+    # splits of a file by their place in it; 2^33 rows in each
+    block = F.rank().over(Window.orderBy("file", "block")) - 1
+    blocks = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).distinct().withColumn("n", block)  # a row for each split
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    return lines.join(blocks, ["file", "block"]).select("value", (F.col("n") * F.lit(1 << 33) + F.col("at")).alias("ordinal"))
 
 
 def read_counts(spark: SparkSession, path: str, partitions: int | None = None) -> FeatureMatrix:
     """A table with a header: feature, then one numeric column for each sample, split by white space; .gz is read as such.
 
-    Gzip can't be split, so such a file is dealt out anew after reading; a row with another number of cells raises. Rows get
-    their place in the input as column ordinal: distinct and rising within a file, not gapless.
+    Block gzip (BGZF) is read by many tasks. Other gzip can't be split, so such a file is dealt out anew after reading; a row
+    with another number of cells raises. Rows get their place in the input as column ordinal: distinct and rising
+    within a file, not gapless.
     """
-    lines = spark.read.text(path)
-    header = lines.first()
+    blocks_of_gzip = bgzf.is_block_gzip(path)
+    lines = bgzf.read_lines(spark, path) if blocks_of_gzip else spark.read.text(path)
+    header = bgzf.first_line(path) if blocks_of_gzip else lines.first()
     if header is None:
         raise ValueError("the count table is empty")
     names = header[0].split()
     if len(names) < 2:
         raise ValueError("the count table has no sample columns")
-    # splits of a file by their place in it; 2^33 rows in each
-    block = F.rank().over(Window.orderBy("file", "block")) - 1
-    blocks = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).distinct().withColumn("n", block)  # a row for each split
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    lines = lines.join(blocks, ["file", "block"]).select("value", (F.col("n") * F.lit(1 << 33) + F.col("at")).alias("ordinal"))
-    if path.endswith("gz"):
-        lines = lines.repartition(partitions or spark.sparkContext.defaultParallelism)
+    if not blocks_of_gzip:
+        lines = _placed(lines)
+        if path.endswith("gz"):
+            lines = lines.repartition(partitions or spark.sparkContext.defaultParallelism)
     cells = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = lines.where((F.col("value") != header[0]) & (F.trim("value") != "")).select("ordinal", cells.alias("c"))
     good = F.when(F.size("c") == len(names), F.transform(F.slice("c", 2, len(names) - 1), lambda x: x.cast("double"))).otherwise(F.raise_error(F.lit("a row has another number of columns than the header")))
