@@ -84,3 +84,29 @@ def test_one_repeated_kmer_is_summed_up_before_the_shuffle(spark):
     rows = superkmers.bucketed(df, "seq", "sample_idx", 31, 64, True).collect()
     assert sum(len(r["n"]) + len(r["codes"]) for r in rows) < 50
     assert {r["cnt"] for r in tools.count_kmers(df, 31, stranded=False).collect()} == {200 * 4970, 3000}
+
+
+def test_a_large_bucket_is_counted_in_classes(spark, monkeypatch):
+    """One bucket of many k-mers: no more than MOST pairs at a time, all of a code in one class where asked, and the same counts."""
+    rng = random.Random(11)
+    rows = [(i % 3, "".join(rng.choice("ACGT") for _ in range(400))) for i in range(20)] + [(0, "A" * 200), (None, "ACGT" * 30)]
+    df = spark.createDataFrame(rows, "sample_idx int, seq string").repartition(2)
+    group = superkmers.bucketed(df, "seq", "sample_idx", 13, 1, True).toArrow().to_batches(max_chunksize=1)
+    monkeypatch.setattr(superkmers, "MOST", 500)
+    monkeypatch.setattr(superkmers, "SLICE", 64)
+    for whole in (False, True):
+        got, pieces = Counter(), []
+        for code, of, count, names in superkmers.bucket_counts(iter(group), 13, True, whole):
+            keys = names.take(of).to_pylist()
+            assert len(set(zip(code.tolist(), keys, strict=True))) == len(code) <= 500
+            got.update(dict(zip(zip(keys, code.tolist(), strict=True), count.tolist(), strict=True)))
+            pieces.append(set(code.tolist()))
+        assert got == plain(rows, 13, True) and len(pieces) > 8
+        assert not whole or sum(map(len, pieces)) == len(set().union(*pieces))
+
+
+def test_buckets_grow_with_the_bases(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "ACGT" * 1000)] * 10, "sample_idx int, seq string")
+    assert superkmers._buckets(df, "seq") == superkmers.BUCKETS_EACH * 4
+    monkeypatch.setattr(superkmers, "BASES_EACH", 100)
+    assert superkmers._buckets(df, "seq") == 400
