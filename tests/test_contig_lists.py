@@ -55,6 +55,27 @@ def test_a_kmer_of_many_contigs_is_one_row_until_the_end(spark):
     assert len(got) == 300 * 300 and min(r["n"] for r in got) == 40
 
 
+@pytest.mark.parametrize("few", [tools.FEW_KMERS, 0])
+def test_lists_met_with_few_kmers_or_by_sets(spark, monkeypatch, few):
+    """Inner comparisons give the same either way; a filtered list never shuffles windows that the smallest list lacks."""
+    monkeypatch.setattr(tools, "FEW_KMERS", few)
+    rng = random.Random(13)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(4)]
+    left = [(f"l{i}", rng.choice(base)[: rng.randint(20, 60)]) for i in range(5)]
+    right = [(f"r{i}", rng.choice(base)[rng.randint(0, 20) :] + "A" * 15) for i in range(40)] + [("none", None), ("r0", "ACGT" * 9)]
+    frames = [spark.createDataFrame(x, "contig string, seq string") for x in (left, right)]
+    a, b = held(left, 9), held([(n, s or "") for n, s in right], 9)
+    want = Counter(p for w in a if w in b for p in product(a[w], b[w]))
+    got = tools.shared_kmers(*frames, 9).collect()
+    assert {(r["left_contig"], r["right_contig"]): r["n"] for r in got} == dict(want) and len(got) == len(want)
+    assert tools.kmer_jaccard(*frames, 9).first()["jaccard"] == len(set(a) & set(b)) / len(set(a) | set(b))
+    tables = []
+    monkeypatch.setattr(tools, "materialise", lambda df, name, make=tools.materialise: tables.append((name, make(df, name))) or tables[-1][1])
+    tools.shared_kmers(*frames, 9)
+    written = [t.count() for n, t in tables if n == "contig_codes"]
+    assert max(written) <= (sum(len(b[w]) for w in a if w in b) + sum(map(len, a.values())) if few else sum(map(len, a.values())))
+
+
 def test_large_tops_equal_small_ones(spark, monkeypatch):
     rng = random.Random(8)
     df = spark.createDataFrame([(f"f{i}", rng.random(), float(rng.randint(0, 5))) for i in range(200)], "feature string, a double, b double").repartition(3)
