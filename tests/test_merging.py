@@ -210,3 +210,16 @@ def test_a_path_of_a_million_kmers_takes_few_jobs(spark, monkeypatch):
     assert len(got) == 2 * n and got["path"].nunique() == 2
     place = got[got["path"] == 2 * kmers[-1] + forward[-1]].set_index("code").loc[kmers]
     assert (place["rank"].to_numpy() == np.arange(n)[::-1]).all() and (place["fwd"].to_numpy() == forward).all()
+
+
+def test_passes_move_neither_sequences_nor_members(spark, monkeypatch):
+    """What a pass writes has numbers only: contigs are written out once, at the end."""
+    rng = random.Random(17)
+    s = "".join(rng.choice("ACGT") for _ in range(60))
+    kmers = sorted({min(w, rc(w)) for w in (s[i : i + 9] for i in range(52))})
+    m = matrix(spark, {x: [1.0, 2.0] for x in kmers}, k=9, stranded=False)
+    written = []
+    monkeypatch.setattr(merge, "materialise", lambda df, name, make=merge.materialise: written.append(df.dtypes) or make(df, name))
+    out = merge.merge(m, longest=8, shortest=7, intervention=(None, 0)).collect()
+    assert sum(r["nb_merged"] for r in out) == len(kmers) and max(r["nb_merged"] for r in out) > 20
+    assert written and not [t for each in written for t in each if t[1] == "string" or t[1].startswith("array")]
